@@ -1,0 +1,12 @@
+"""The query catalogue: every operator of the retrieval engine as a query over the driver's tables, with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
