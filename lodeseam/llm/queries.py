@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import mixing, rankwalk, spans, tokens
+from . import mixing, rankwalk, secrets, spans, tokens
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,14 @@ def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankwalk.rank(_lists(spark, sf_dir)).select("query_id", F.col("item").alias("chunk_rowid"), F.round("weight", 9).alias("weight"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "chunks"))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redact(table(spark, sf_dir, "chunks"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -64,5 +72,5 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_fraction(docs, materialize(found, "spans"), members)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_redacted, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_shared)}
 ORACLES: dict[str, str] = {}
