@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from ..session import broadcast_if_small, materialize, shared_dir
 
 MIN_CHARS = 300
-#: Bits of the bitmap for each indexed window, and the bitmap's bound (64 MB: 33 million windows, about 2.5 GB of text).
-BITS_EACH, MAX_BITS = 16, 1 << 29
+#: Bits of the bitmap for each indexed window (each sets PLACES of them: 0.2 % of other windows pass), and the bitmap's
+#: bound (64 MB: 33 million windows, about 2.5 GB of text).
+BITS_EACH, PLACES, MAX_BITS = 16, 4, 1 << 29
 #: Characters hashed at once in a worker; longer texts are hashed alone.
 BATCH_CHARS = 500_000
 
@@ -149,8 +150,8 @@ def write_bitmap(index: DataFrame, bits: int) -> str:
         out.move(part, f"{at}/{number}")
         return pd.DataFrame({"piece": [number]})
 
-    place = F.col("h").bitwiseAND(bits - 1)
-    rows = index.select((F.shiftright(place, piece.bit_length() - 1)).alias("piece"), place.bitwiseAND(piece - 1).cast("int").alias("at")).distinct()
+    places = F.array(*[F.shiftrightunsigned("h", 9 * k).bitwiseAND(bits - 1) for k in range(PLACES)])
+    rows = index.select(F.explode(places).alias("place")).select((F.shiftright("place", piece.bit_length() - 1)).alias("piece"), F.col("place").bitwiseAND(piece - 1).cast("int").alias("at")).distinct()
     rows.groupBy("piece").applyInPandas(build, "piece long").count()
     return folder
 
@@ -168,19 +169,24 @@ def read_bitmap(folder: str, bits: int) -> np.ndarray:
 
 
 def probes(texts: DataFrame, min_chars: int, folder: str, bits: int) -> DataFrame:
-    """Every rolling window whose bit is set."""
-    _, width = _sizes(min_chars)
+    """Every rolling window whose bits are set, but for those that the text itself has in the index."""
+    block, width = _sizes(min_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = read_bitmap(folder, bits)
         for batch in batches:
             for ids, at, cps in _batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = window_hashes(cps, width)
-                place = (h & np.uint64(bits - 1)).astype(np.int64)
-                pos = np.flatnonzero(bitmap[place >> 3] & (np.uint8(128) >> (place & 7).astype(np.uint8)))
+                pos = np.arange(len(h))
+                for k in range(PLACES):
+                    place = ((h[pos] >> np.uint64(9 * k)) & np.uint64(bits - 1)).astype(np.int64)
+                    pos = pos[(bitmap[place >> 3] & (np.uint8(128) >> (place & 7).astype(np.uint8))) > 0]
                 which = np.searchsorted(at, pos, side="right") - 1
-                inside = pos + width <= at[which + 1]
-                pos, which = pos[inside], which[inside]
+                own = pos - at[which]
+                size = at[which + 1] - at[which]
+                indexed_ = ((own % block == 0) & (own + block <= size)) | ((own + width) % block == 0)
+                keep = (own + width <= size) & ~(indexed_ & (size >= min_chars))
+                pos, which = pos[keep], which[keep]
                 yield _rows(ids[which], pos - at[which], h[pos])
 
     return texts.mapInArrow(run, _ROWS)
@@ -222,11 +228,11 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
     bits = 1 << max(10, (BITS_EACH * 2 * (n_chars // (min_chars // 2) + 1)).bit_length())
     if bits <= max_bits:
         index = materialize(indexed(unique, min_chars), "index")
-        hits = materialize(probes(unique, min_chars, write_bitmap(index, bits), bits), "probes")
+        hits = index.unionByName(materialize(probes(unique, min_chars, write_bitmap(index, bits), bits), "probes"))
     else:
         index = hits = materialize(picked(unique, min_chars), "anchors")
-    a = index.select("h", F.col("doc").alias("doc_i"), F.col("pos").alias("pos_i")).distinct()
-    b = hits.select("h", F.col("doc").alias("doc_p"), F.col("pos").alias("pos_p")).distinct()
+    a = index.select("h", F.col("doc").alias("doc_i"), F.col("pos").alias("pos_i"))
+    b = hits.select("h", F.col("doc").alias("doc_p"), F.col("pos").alias("pos_p"))
     low = F.col("doc_i") < F.col("doc_p")
     shift = F.when(low, F.col("pos_i") - F.col("pos_p")).otherwise(F.col("pos_p") - F.col("pos_i"))
     pairs = a.join(b, "h").filter(F.col("doc_i") != F.col("doc_p")).select(F.least("doc_i", "doc_p").alias("doc_a"), F.greatest("doc_i", "doc_p").alias("doc_b"), shift.alias("shift"))
