@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import mixing, rankwalk, secrets, spans, tokens
+from . import mixing, provenance, rankwalk, secrets, spans, syntax, tokens
+from .files import LANGUAGES, current_files
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,30 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redact(table(spark, sf_dir, "chunks"))
 
 
+def _files(spark: SparkSession, sf_dir: str, suffixes: list[str] | None = None) -> DataFrame:
+    return materialize(current_files(table(spark, sf_dir, "chunks"), suffixes), "files")
+
+
+def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.find(_files(spark, sf_dir))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_kinds(spark, sf_dir).select("repo_id", "path")
+
+
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.check(_files(spark, sf_dir, list(LANGUAGES)))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_files(spark, sf_dir).filter("not parses").select("repo_id", "path")
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(p5_files(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -72,5 +97,5 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_fraction(docs, materialize(found, "spans"), members)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_redacted, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_redacted, p3_found, p3_kinds, p5_found, p5_files, p5_rates, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_shared)}
 ORACLES: dict[str, str] = {}
