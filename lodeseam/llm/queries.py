@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import mixing, provenance, rankwalk, secrets, spans, syntax, tokens
+from . import mixing, neighbours, provenance, rankwalk, secrets, spans, splitting, syntax, tokens
 from .files import LANGUAGES, current_files
 
 
@@ -45,6 +45,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_kinds(spark, sf_dir).select("repo_id", "path")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").select(F.col("chunk_rowid").alias("id"), F.col("embedding_model").alias("model"), F.col("embedding").alias("vector"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.expand(*neighbours.similar_pairs(_vectors(spark, sf_dir))).select(F.col("a").alias("rowid_a"), F.col("b").alias("rowid_b"))
+
+
+def p4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    return neighbours.top_k(vectors, vectors.filter("id % 50 = 0").select("id")).withColumnsRenamed({"id": "chunk_rowid", "neighbour": "neighbour_rowid"})
+
+
 def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.check(_files(spark, sf_dir, list(LANGUAGES)))
 
@@ -57,6 +70,19 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(p5_files(spark, sf_dir))
 
 
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks")
+    pieces = splitting.split_texts(chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")))
+    at = chunks.select("chunk_id", "path", "start_line").filter(F.octet_length("content") > splitting.Plan().limit).dropDuplicates(["chunk_id"])
+    rows = pieces.join(at, pieces["id"] == at["chunk_id"])
+    base = F.coalesce("start_line", F.lit(1))
+    return rows.select("chunk_id", "path", "piece_no", "start_byte", "end_byte", (base + F.col("first_line")).alias("start_line"), (base + F.col("last_line")).alias("end_line"), "boundary", F.col("text").alias("content"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_pieces(spark, sf_dir).select("chunk_id").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -97,5 +123,5 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_fraction(docs, materialize(found, "spans"), members)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_redacted, p3_found, p3_kinds, p5_found, p5_files, p5_rates, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_redacted, p3_found, p3_kinds, p4_found, p4_topk, p5_found, p5_files, p5_rates, p6_found, p6_pieces, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_shared)}
 ORACLES: dict[str, str] = {}
