@@ -19,7 +19,7 @@ class Grammar:
         self.rules: list[tuple[str, tuple[str, ...]]] = []
         self.by_name: dict[str, list[int]] = defaultdict(list)
         self._helpers: dict[tuple, str] = {}
-        joined = re.sub(r"\n\s+", " ", re.sub(r"(?m)^\s*//.*\n?", "", text))
+        joined = re.sub(r"\n[ \t]+", " ", re.sub(r"(?m)^\s*//.*\n?", "", text))
         names = []
         for line in joined.split("\n"):
             if line.strip():

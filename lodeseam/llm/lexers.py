@@ -407,7 +407,7 @@ _JAVA_WORDS = (
     | _classes(MODIFIER="public protected private native strictfp transient volatile", PRIMITIVE="boolean byte char double float int long short")
     | {w: BAD for w in ("const", "goto", "_")}
 )
-_JAVA_PUNCT = _classes(ASSIGN="+= -= *= /= &= |= ^= %= <<= >>= >>>=", BINARY="&& || == != <= >= * / ^ % <<", UNARY="! ~", UPDATE="++ --", SIGN="+ -") | _words("{ } ( ) [ ] ; , . ... : :: = -> ? < > & | @")
+_JAVA_PUNCT = _classes(ASSIGN="+= -= *= /= &= |= ^= %= <<= >>= >>>=", BINARY="&& || == != <= >= / ^ % <<", UNARY="! ~", UPDATE="++ --", SIGN="+ -") | _words("{ } ( ) [ ] ; , . ... : :: = -> ? < > & | @ *")
 _JAVA = _master(
     ("space", r"[ \t\f\r\n\x1a]+|//[^\r\n]*|/\*.*?\*/"),
     ("dashed", r"non-sealed\b"),

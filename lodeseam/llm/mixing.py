@@ -90,8 +90,10 @@ def mix(sizes: DataFrame, rates: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def shares(mixed: DataFrame, rates: DataFrame) -> DataFrame:
-    """Target and reached share of every source, and whether the cap kept it below."""
+    """Target and reached share of every source, of the planned total and of the mixture itself, and whether the cap kept it below."""
     got = mixed.groupBy("source").agg(F.sum("size").alias("mixed_size"), F.count("*").alias("uses"))
-    rows = rates.select("source", "target_share", "max_repeats", "size", "rate", "falls_short").join(got, "source", "left").fillna(0, ["mixed_size", "uses"])
-    total = rows.agg(F.sum("mixed_size").alias("mixed_total"))
-    return rows.crossJoin(F.broadcast(total)).withColumn("reached_share", F.when(F.col("mixed_total") > 0, F.col("mixed_size") / F.col("mixed_total")).otherwise(0.0)).drop("mixed_total")
+    rows = rates.select("source", "target_share", "max_repeats", "size", "rate", "falls_short", "total").join(got, "source", "left").fillna(0, ["mixed_size", "uses"])
+    mixed_total = rows.agg(F.sum("mixed_size").alias("mixed_total"))
+    rows = rows.crossJoin(F.broadcast(mixed_total))  # one row
+    rows = rows.withColumn("share_of_planned", F.when(F.col("total") > 0, F.col("mixed_size") / F.col("total")).otherwise(0.0))
+    return rows.withColumn("reached_share", F.when(F.col("mixed_total") > 0, F.col("mixed_size") / F.col("mixed_total")).otherwise(0.0)).drop("mixed_total", "total")
