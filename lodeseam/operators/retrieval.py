@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text, vectors
+from ..session import broadcast_if_small, materialize, spread
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K, TOP_BONUS, NEAR_BONUS = 60, 0.05, 0.02
 FTS_LIMIT, UNION_FTS_LIMIT, VECTOR_LIMIT, EXACT_LIMIT, OVERFETCH = 200, 2000, 2000, 200, 4096
 UNION_THRESHOLD, EXACT_SCAN_LIMIT = 100_000, 5000
+#: Queries (with their features and vectors, a few kB each) that may be broadcast.
+QUERY_ROWS = 10_000
 #: Digits kept before scores are compared, so that the order of summation can't decide a tie.
 DIGITS = 9
 TIES = ("path", "start_line", "chunk_id")
@@ -56,11 +59,12 @@ def bm25(queries: DataFrame, chunks: DataFrame, posted: DataFrame | None = None,
 
     A greater score is better here. Ties go by path, line and id. The postings are reduced to the queries' terms first.
     """
-    posted = posted if posted is not None else postings(chunks)
+    posted = posted if posted is not None else materialize(postings(spread(chunks)), "postings")
     terms = queries.select("query_id", F.explode(text.query_terms("query_text")).alias("term"))
-    stats = doc_stats(chunks)
-    totals = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    used = posted.join(terms.select("term").distinct(), "term", "left_semi")
+    stats = posted.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+    totals = stats.agg(F.sum("dl").alias("tokens")).crossJoin(chunks.agg(F.count("*").alias("n")))  # single rows
+    totals = totals.select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
+    used = posted.join(broadcast_if_small(terms.select("term").distinct(), 20 * QUERY_ROWS), "term", "left_semi")
     idf = term_stats(used).crossJoin(F.broadcast(totals))  # one row
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = idf.select("term", "avgdl", F.when(raw <= 0, LEAST_IDF).otherwise(raw).alias("idf"))
@@ -87,7 +91,7 @@ def minmax(scores: DataFrame, score: str, out: str, tied: float = 0.25) -> DataF
 
 def knn(queries: DataFrame, items: DataFrame, limit: int, ties: tuple[str, ...], distance: str = "l2") -> DataFrame:
     """(query_id, item columns, distance, rank): every query vector against every item; queries are a stated, small set."""
-    pairs = items.crossJoin(F.broadcast(queries)) if queries.limit(10_001).count() <= 10_000 else items.crossJoin(queries)
+    pairs = spread(items).crossJoin(broadcast_if_small(queries, QUERY_ROWS))
     value = vectors.l2("vector", "query_vector") if distance == "l2" else -vectors.cosine("vector", "query_vector")
     scored = pairs.withColumn("distance", F.round(value, DIGITS)).drop("vector", "query_vector")
     order = Window.partitionBy("query_id").orderBy("distance", *ties)
@@ -110,34 +114,56 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
             "content_tokens": F.array_distinct(text.tokens("content")),
             "symbol_tokens": F.array_distinct(text.tokens("symbol_name")),
             "path_tokens": F.array_distinct(text.tokens("path")),
+            "plain_times": paths.multiplier(F.lit(False), F.lit(False), "path"),
+            "test_times": paths.multiplier(F.lit(False), F.lit(True), "path"),
         }
     )
 
 
+def matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, in_content, in_path, in_symbol): how many of the query's distinct tokens each field holds, of
+    the pairs that share any. Tokens are joined, so pairs without one cost nothing."""
+    asked = queries.select("query_id", F.explode("q_tokens").alias("term"))
+    fields = [chunks.select("chunk_id", F.explode(c).alias("term"), F.lit(n).alias("field")) for n, c in enumerate(("content_tokens", "path_tokens", "symbol_tokens"))]
+    held = fields[0].unionByName(fields[1]).unionByName(fields[2]).join(broadcast_if_small(asked, 20 * QUERY_ROWS), "term")
+    return held.groupBy("query_id", "chunk_id").agg(*[F.count_if(F.col("field") == n).alias(c) for n, c in enumerate(("in_content", "in_path", "in_symbol"))])
+
+
 def exact_list(source: str, queries: DataFrame, chunks: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
     """(query_id, chunk_id, source, backend_score, path, start_line, rank): the path, symbol or lexical list."""
-    q, c = query_features(queries), chunk_features(chunks)
+    q, c = query_features(queries), chunk_features(spread(chunks))
+    asked = broadcast_if_small(q.select("query_id", F.lower("query_text").alias("q_lower"), F.replace(F.trim(F.lower("query_text")), F.lit(" "), F.lit("_")).alias("q_path"), "q_tokens", F.size("q_tokens").alias("q_size")), QUERY_ROWS)
+    share = lambda held, size: F.when(F.col(size) == 0, 0.0).otherwise(F.size(F.array_intersect(held, "q_tokens")) / F.col(size))
     if source == "path":
-        score = text.path_exact("query_text", F.col("q_tokens"), "path")
+        lower = F.lower("path")
+        c = c.select("chunk_id", "path", "start_line", F.translate(lower, "/. -", "____").alias("where"), F.array_distinct(text.tokens(F.translate(lower, "/.-", "  _"))).alias("held"))
+        score = F.when((F.col("q_path") != "") & F.contains("where", "q_path"), 2.0).otherwise(share("held", "q_size"))
     elif source == "symbol":
-        c = c.filter("symbol_name is not null")
-        match = text.symbol_match("query_text", F.col("q_tokens"), "symbol_name", F.col("symbol_tokens"))
+        c = c.filter("symbol_name is not null and symbol_name <> ''").select("chunk_id", "path", "start_line", "symbol_confidence", F.lower("symbol_name").alias("s_lower"), "symbol_tokens", F.size("symbol_tokens").alias("s_size")).filter("s_size > 0")
+        match = F.when(F.col("q_size") == 0, 0.0).when(F.contains("q_lower", "s_lower"), 1.0).otherwise(share("symbol_tokens", "s_size"))
         score = match + F.when((F.col("symbol_confidence") == "parser") & (match > 0), 0.25).otherwise(0.0)
     else:
-        score = text.overlap(F.col("q_tokens"), F.col("content_tokens"))
-    pairs = c.crossJoin(F.broadcast(q.select("query_id", "query_text", "q_tokens")))
+        sizes = broadcast_if_small(q.select("query_id", F.size("q_tokens").alias("q_size")), QUERY_ROWS)
+        found = matches(q, c).filter("in_content > 0").join(sizes, "query_id").join(chunks.select("chunk_id", "path", "start_line"), "chunk_id")
+        scored = found.select("query_id", "chunk_id", F.round(F.col("in_content") / F.col("q_size"), DIGITS).alias("backend_score"), "path", "start_line")
+        return ranked(scored, "backend_score", limit).withColumn("source", F.lit(source))
+    pairs = c.crossJoin(asked)
     scored = pairs.select("query_id", "chunk_id", F.round(score, DIGITS).alias("backend_score"), "path", "start_line").filter("backend_score > 0")
     return ranked(scored, "backend_score", limit).withColumn("source", F.lit(source))
 
 
 def score_parts(bm25_score: Column, cosine: Column) -> dict[str, Column]:
-    """The parts of the hybrid score of a query-chunk row; additions in this order."""
+    """The parts of the hybrid score of a query-chunk row with its matches; additions in this order."""
+    share = lambda n, of: F.when(of == 0, 0.0).otherwise(n / of)
     vector = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine + 1.0) / 2.0))
-    lexical = text.overlap(F.col("q_tokens"), F.col("content_tokens"))
-    symbol = text.symbol_match("query_text", F.col("q_tokens"), "symbol_name", F.col("symbol_tokens"))
-    path = text.overlap(F.col("q_tokens"), F.col("path_tokens"))
+    lexical, path = share(F.col("in_content"), F.col("q_size")), share(F.col("in_path"), F.col("q_size"))
+    symbol = (
+        F.when((F.col("s_size") == 0) | (F.col("q_size") == 0), 0.0)
+        .when(F.col("names_symbol"), 1.0)
+        .otherwise(F.col("in_symbol") / F.col("s_size"))
+    )
     base = F.lit(0.50) * vector + F.lit(0.20) * lexical + F.lit(0.14) * bm25_score + F.lit(0.09) * symbol + F.lit(0.07) * path
-    times = paths.multiplier(F.col("docs_query"), F.col("test_query"), "path")
+    times = F.when(F.col("docs_query"), 1.0).when(F.col("test_query"), F.col("test_times")).otherwise(F.col("plain_times"))
     return {"vector": vector, "lexical": lexical, "symbol": symbol, "path_score": path, "bm25_score": bm25_score, "multiplier": times, "score": F.round(base * times, DIGITS)}
 
 
@@ -147,20 +173,29 @@ def hybrid(queries: DataFrame, chunks: DataFrame, candidates: DataFrame | None =
     queries hold query_vector, chunks vector. candidates (query_id, chunk_id) restrict the pairs (a semi-join in front
     of the scoring); keyword=False leaves BM25 out. keep: a condition on the pairs, such as a query's own filters.
     """
-    q = query_features(queries)
-    c = chunk_features(chunks)
+    q = query_features(queries).withColumns({"q_norm": vectors.norm("query_vector"), "q_size": F.size("q_tokens"), "q_lower": F.lower("query_text")})
+    c = chunk_features(spread(chunks)).withColumns({"c_norm": vectors.norm("vector"), "s_size": F.size("symbol_tokens"), "s_lower": F.lower(F.coalesce("symbol_name", F.lit("")))})
+    shared = matches(q, c)
+    narrow = c.drop("content", "content_tokens", "path_tokens", "symbol_tokens")
+    asked = broadcast_if_small(q, QUERY_ROWS)
     if candidates is not None:
-        pairs = candidates.select("query_id", "chunk_id").distinct().join(c, "chunk_id").join(F.broadcast(q), "query_id")
+        pairs = candidates.select("query_id", "chunk_id").distinct().join(narrow, "chunk_id").join(asked, "query_id")
     else:
-        pairs = c.crossJoin(F.broadcast(q))
+        pairs = narrow.crossJoin(asked)
     if keep:
         pairs = pairs.filter(keep)
+    # vectors and names end here: the joins that follow carry numbers and keys
+    length = F.col("q_norm") * F.col("c_norm")
+    cosine = F.when(length == 0, 0.0).otherwise(vectors.dot("query_vector", "vector") / length)
+    slim = ["query_id", "chunk_id", "repo_id", "path", "start_line", "symbol_confidence", "docs_query", "test_query", "plain_times", "test_times", "q_size", "s_size"]
+    pairs = pairs.select(*slim, cosine.alias("cosine"), F.contains("q_lower", "s_lower").alias("names_symbol"))
+    pairs = pairs.join(shared, ["query_id", "chunk_id"], "left").fillna(0, ["in_content", "in_path", "in_symbol"])
     if keyword:
         words = minmax(bm25(queries, chunks), "bm25", "bm25_normal").select("query_id", "chunk_id", "bm25_normal")
         pairs = pairs.join(words, ["query_id", "chunk_id"], "left").withColumn("bm25_normal", F.coalesce("bm25_normal", F.lit(0.0)))
     else:
         pairs = pairs.withColumn("bm25_normal", F.lit(0.0))
-    parts = score_parts(F.col("bm25_normal"), vectors.cosine("query_vector", "vector"))
+    parts = score_parts(F.col("bm25_normal"), F.col("cosine"))
     kept = ["query_id", "chunk_id", "repo_id", "path", "start_line", "symbol_confidence", "docs_query"]
     return pairs.select(*kept, *[v.alias(k) for k, v in parts.items()])
 
@@ -220,7 +255,11 @@ def symbol_lookup(names: DataFrame, chunks: DataFrame) -> DataFrame:
     others, short before long; an empty name is part of every symbol."""
     c = chunks.filter("symbol_name is not null and symbol_name <> ''").select("chunk_id", "symbol_name", "symbol_confidence", "path", "start_line")
     wanted = names.select("name").distinct()
-    pairs = c.join(F.broadcast(wanted), F.contains(F.lower("symbol_name"), F.lower("name")))
+    exact = c.join(wanted, F.lower("symbol_name") == F.lower("name"))
+    # only names that no symbol equals are held against every distinct symbol
+    rest = wanted.join(c.select(F.lower("symbol_name").alias("known")).distinct(), F.lower("name") == F.col("known"), "left_anti")
+    holders = c.select("symbol_name").distinct().join(broadcast_if_small(rest, QUERY_ROWS), F.contains(F.lower("symbol_name"), F.lower("name")))
+    pairs = exact.unionByName(c.join(holders, "symbol_name"))
     order = [F.when(F.lower("symbol_name") == F.lower("name"), 0).otherwise(1), F.when(F.col("symbol_confidence") == "parser", 0).otherwise(1), F.length("symbol_name"), F.col("chunk_id")]
     best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy(*order))).filter("n = 1")
     return best.select("name", "chunk_id", "symbol_name", "path", "start_line", F.lit(1.0).alias("score"))

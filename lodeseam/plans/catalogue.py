@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text, vectors
 from ..operators import chunker, evaluate, incremental, maintenance, retrieval, usage
-from ..session import materialize, table
+from ..session import materialize, spread, table
 from ..sources.jsonl import parse_lines
 from . import sql
 
@@ -44,7 +44,8 @@ def results_of(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def tokenize_docs(spark, sf):
     words = text.tokens("text")
-    return table(spark, sf, "documents").select("doc_id", F.array_join(words, " ").alias("tokens"), F.size(words).alias("n_tokens"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words.alias("words"))
+    return rows.select("doc_id", F.array_join("words", " ").alias("tokens"), F.size("words").alias("n_tokens"))
 
 
 @query
@@ -126,17 +127,19 @@ def tiny_chunk_filter(spark, sf):
 
 @query
 def line_windows(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.inline(chunker.windows(text.lines("text"), 8, 2)))
+    rows = table(spark, sf, "documents").select("doc_id", text.lines("text").alias("lines"))
+    return spread(rows).select("doc_id", F.inline(chunker.windows(F.col("lines"), 8, 2)))
 
 
 @query
 def line_windows_default(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.inline(chunker.windows(text.lines("text")))).select("doc_id", "start_line", "end_line", F.md5("content").alias("content_md5"))
+    rows = table(spark, sf, "documents").select("doc_id", text.lines("text").alias("lines"))
+    return spread(rows).select("doc_id", F.inline(chunker.windows(F.col("lines")))).select("doc_id", "start_line", "end_line", F.md5("content").alias("content_md5"))
 
 
 @query
 def regex_symbols(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.inline(chunker.regex_symbols(text.lines("text")))).select("doc_id", "name", "kind", "line")
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.inline(chunker.regex_symbols(text.lines("text")))).select("doc_id", "name", "kind", "line")
 
 
 @query
@@ -173,7 +176,7 @@ def chunk_dedupe(spark, sf):
 
 @query
 def postings(spark, sf):
-    return retrieval.postings(chunks_of(spark, sf))
+    return retrieval.postings(spread(chunks_of(spark, sf)))
 
 
 @query
@@ -188,13 +191,13 @@ def term_stats(spark, sf):
 
 @query
 def bm25_topk(spark, sf):
-    found = retrieval.bm25(table(spark, sf, "search_queries"), chunks_of(spark, sf))
+    found = retrieval.bm25(table(spark, sf, "search_queries"), materialize(chunks_of(spark, sf), "chunks"))
     return found.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 @query
 def bm25_minmax(spark, sf):
-    found = retrieval.minmax(retrieval.bm25(table(spark, sf, "search_queries"), chunks_of(spark, sf)), "bm25", "normal")
+    found = retrieval.minmax(retrieval.bm25(table(spark, sf, "search_queries"), materialize(chunks_of(spark, sf), "chunks")), "bm25", "normal")
     return found.select("query_id", "chunk_id", F.round("normal", 6).alias("normal"))
 
 
