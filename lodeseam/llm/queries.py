@@ -125,7 +125,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_redacted, p3_found, p3_kinds, p4_found, p4_topk, p5_found, p5_files, p5_rates, p6_found, p6_pieces, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_shared)}
 ORACLES: dict[str, str] = {
-    "p4_found": "WITH v AS (SELECT DISTINCT chunk_rowid, embedding_model, embedding AS e, sqrt(list_dot_product(embedding, embedding)) AS n FROM chunks WHERE len(embedding) = 64 AND embedding_model IS NOT NULL AND list_dot_product(embedding, embedding) > 0) SELECT a.chunk_rowid AS rowid_a, b.chunk_rowid AS rowid_b FROM v a JOIN v b ON a.embedding_model = b.embedding_model AND a.chunk_rowid < b.chunk_rowid WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9",
+    "p4_found": "WITH u AS (SELECT DISTINCT chunk_rowid, embedding_model, CASE WHEN len(embedding) = 64 AND list_count(embedding) = 64 THEN embedding END AS e FROM chunks WHERE embedding_model IS NOT NULL), v AS (SELECT chunk_rowid, embedding_model, e, sqrt(list_dot_product(e, e)) AS n FROM u WHERE e IS NOT NULL), w AS MATERIALIZED (SELECT * FROM v WHERE n > 0) SELECT a.chunk_rowid AS rowid_a, b.chunk_rowid AS rowid_b FROM w a JOIN w b ON a.embedding_model = b.embedding_model AND a.chunk_rowid < b.chunk_rowid WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9",
     "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE strlen(content) > 6000",
     "p10_found": "WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id",
 }
