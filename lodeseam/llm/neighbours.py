@@ -35,10 +35,11 @@ STEPS = 24
 class Plan(NamedTuple):
     dims: int = 64
     lines: int = 32  # projections counted
-    collisions: int = 27  # of the lines, for a pair to be compared
+    collisions: int = 25  # of the lines, for a pair to be compared
     tables: int = 24  # of cells
     cell: int = 24  # vectors in a cell on average
     width: float = 2.0  # half a window, in units of the radius
+    reach: float = 3.5  # of the window on the line that cells are sorted by: a pair missed there is missed in every table
     block: int = 2048  # queries at once
 
 
@@ -105,16 +106,17 @@ def hash_text(text: str) -> int:
     return out
 
 
-def count_pairs(cell: np.ndarray, p0: np.ndarray, ids: np.ndarray, values: np.ndarray, fresh: int, width: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def count_pairs(cell: np.ndarray, p0: np.ndarray, ids: np.ndarray, values: np.ndarray, fresh: int, width: int, least: int, reach: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows sorted by (cell, p0) of one cell, within the window on the first line and colliding on at least
     `least` lines; the later row of a pair is at `fresh` or after it."""
     n = len(cell)
+    reach = width if reach is None else reach
     first = np.arange(n)
     step = 1
     while len(first):
         first = first[first + step < n]
         second = first + step
-        alive = (cell[second] == cell[first]) & (p0[second] - p0[first] <= width)
+        alive = (cell[second] == cell[first]) & (p0[second] - p0[first] <= reach)
         first, second = first[alive], second[alive]
         new = second >= fresh
         for at in range(0, int(new.sum()), 200_000):
@@ -138,7 +140,7 @@ def similar_pairs(vectors: DataFrame, least_cosine: float = 0.9, plan: Plan = Pl
     most = rows.groupBy("model").count().agg(F.max("count")).first()[0] or 1
     bits = max(1, min(60, round(float(np.log2(max(2.0, most / plan.cell))))))
     radius = float(np.sqrt(2.0 - 2.0 * least_cosine))
-    width = int(np.ceil(plan.width * radius * STEPS))
+    width, reach = int(np.ceil(plan.width * radius * STEPS)), int(np.ceil(plan.reach * radius * STEPS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the rows of the last cell that a later row may still be near
@@ -151,9 +153,9 @@ def similar_pairs(vectors: DataFrame, least_cosine: float = 0.9, plan: Plan = Pl
                 cell, p0, ids, values = (np.concatenate(x) for x in zip(held, (cell, p0, ids, values)))
             if not len(cell):
                 continue
-            for a, b in count_pairs(cell, p0, ids, values, fresh, width, plan.collisions):
+            for a, b in count_pairs(cell, p0, ids, values, fresh, width, plan.collisions, reach):
                 yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            near = (cell == cell[-1]) & (p0[-1] - p0 <= width)
+            near = (cell == cell[-1]) & (p0[-1] - p0 <= reach)
             held = [cell[near], p0[near], ids[near], values[near]]
 
     sorted_ = placed(reps, plan, bits).repartition("cell").sortWithinPartitions("cell", "p0")
