@@ -8,7 +8,9 @@ values; no hash is computed again.
 All pairs above a similarity: so that no line is scanned by all vectors, they are first spread over cells by the signs of
 a few further projections, in several tables; in every cell the vectors lie sorted by one projection, and each is counted
 against those in the window that follows it. The number of signs grows with the logarithm of the collection, so a cell
-keeps its size and the work grows little faster than the collection. Equal vectors are one class and hashed once.
+keeps its size; the number of tables grows with the signs, so that the chance that a pair at the threshold shares a cell
+stays the same whatever the collection's size. The tables are gone through a share at a time, so that the disk that their
+sorting takes doesn't grow with their number. Equal vectors are one class and hashed once.
 
 Top k of a stated query set: the queries, in blocks of bounded size, against every vector, windows widening per query
 until k are found within the window's radius.
@@ -36,7 +38,8 @@ class Plan(NamedTuple):
     dims: int = 64
     lines: int = 32  # projections counted
     collisions: int = 25  # of the lines, for a pair to be compared
-    tables: int = 24  # of cells
+    tables: int = 24  # of cells, at least; also those that are sorted at once
+    missed: float = 1e-3  # chance that a pair at the threshold shares no cell: sets the number of tables
     cell: int = 24  # vectors in a cell on average
     width: float = 2.0  # half a window, in units of the radius
     reach: float = 3.5  # of the window on the line that cells are sorted by: a pair missed there is missed in every table
@@ -72,28 +75,34 @@ def classes(rows: DataFrame) -> DataFrame:
     return materialize(marks.join(reps, ["model", "h1", "h2"]).select("id", "rep"), "members")
 
 
-def placed(reps: DataFrame, plan: Plan, bits: int) -> DataFrame:
-    """(cell, p0, id, values) of every vector in every table."""
+def tables_needed(bits: int, least_cosine: float, plan: Plan) -> int:
+    """Tables of cells by `bits` signs in which a pair at `least_cosine` shares a cell with a chance of 1 - `missed`."""
+    agree = (1.0 - np.arccos(np.clip(least_cosine, -1.0, 1.0)) / np.pi) ** bits
+    return plan.tables if agree >= 1.0 else max(plan.tables, int(np.ceil(np.log(plan.missed) / np.log1p(-agree))))
+
+
+def placed(reps: DataFrame, plan: Plan, bits: int, first: int = 0, last: int | None = None) -> DataFrame:
+    """(cell, p0, id, values) of every vector in the tables from `first` to before `last`."""
+    numbers = np.arange(first, plan.tables if last is None else last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(SEED + 1)
-        planes = rng.standard_normal((plan.dims, plan.tables * bits)).astype(np.float32)
+        planes = np.concatenate([np.random.default_rng([SEED + 1, t]).standard_normal((plan.dims, bits)) for t in numbers.tolist()], axis=1).astype(np.float32)
         weights = (np.uint64(1) << np.arange(bits, dtype=np.uint64))[None, None, :]
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 x = _matrix(part.column(2), plan.dims)
                 values = project(x, plan)
-                signs = (x @ planes > 0).reshape(len(x), plan.tables, bits)
+                signs = (x @ planes > 0).reshape(len(x), len(numbers), bits)
                 cell = (signs * weights).sum(axis=2, dtype=np.uint64)
                 salt = np.array([hash_text(m) for m in part.column(1).to_pylist()], np.uint64)[:, None]
                 with np.errstate(over="ignore"):
-                    cell = (cell + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (salt + np.arange(plan.tables, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+                    cell = (cell + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (salt + numbers.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
                     cell = (cell ^ (cell >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(plan.lines), len(x), [None, pa.py_buffer(values.tobytes())]).cast(pa.binary())
-                take = pa.array(np.repeat(np.arange(len(x)), plan.tables))
+                take = pa.array(np.repeat(np.arange(len(x)), len(numbers)))
                 yield pa.record_batch(
-                    [pa.array(cell.reshape(-1).view(np.int64)), pa.array(np.repeat(values[:, 0].astype(np.int32), plan.tables)), part.column(0).take(take), raw.take(take)], ["cell", "p0", "id", "values"]
+                    [pa.array(cell.reshape(-1).view(np.int64)), pa.array(np.repeat(values[:, 0].astype(np.int32), len(numbers))), part.column(0).take(take), raw.take(take)], ["cell", "p0", "id", "values"]
                 )
 
     return reps.select("id", "model", "vector").mapInArrow(run, "cell long, p0 int, id long, values binary")
@@ -128,6 +137,17 @@ def count_pairs(cell: np.ndarray, p0: np.ndarray, ids: np.ndarray, values: np.nd
         step += 1
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """df, written; the shuffles behind it leave the disk at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def similar_pairs(vectors: DataFrame, least_cosine: float = 0.9, plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (a, b, cosine) of class representatives, a < b, of the same model and with cosine at least
     `least_cosine`; members (id, rep).
@@ -139,6 +159,7 @@ def similar_pairs(vectors: DataFrame, least_cosine: float = 0.9, plan: Plan = Pl
     reps = rows.join(broadcast_if_small(members.filter(F.col("id") == F.col("rep")).select("id")), "id", "left_semi")
     most = rows.groupBy("model").count().agg(F.max("count")).first()[0] or 1
     bits = max(1, min(60, round(float(np.log2(max(2.0, most / plan.cell))))))
+    tables = tables_needed(bits, least_cosine, plan)
     radius = float(np.sqrt(2.0 - 2.0 * least_cosine))
     width, reach = int(np.ceil(plan.width * radius * STEPS)), int(np.ceil(plan.reach * radius * STEPS))
 
@@ -158,8 +179,14 @@ def similar_pairs(vectors: DataFrame, least_cosine: float = 0.9, plan: Plan = Pl
             near = (cell == cell[-1]) & (p0[-1] - p0 <= reach)
             held = [cell[near], p0[near], ids[near], values[near]]
 
-    sorted_ = placed(reps, plan, bits).repartition("cell").sortWithinPartitions("cell", "p0")
-    pairs = materialize(sorted_.mapInArrow(count, "a long, b long").distinct(), "candidates")
+    reps = materialize(reps, "classes") if tables > plan.tables else reps
+    pairs = None
+    for group in np.array_split(np.arange(tables), -(-tables // plan.tables)):
+        sorted_ = placed(reps, plan, bits, int(group[0]), int(group[-1]) + 1).repartition("cell").sortWithinPartitions("cell", "p0")
+        some = _written(sorted_.mapInArrow(count, "a long, b long").distinct(), "candidates")
+        pairs = some if pairs is None else pairs.unionByName(some)
+    if tables > plan.tables:
+        pairs = _written(pairs.distinct(), "candidates")
     needed = broadcast_if_small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed"))
     near = rows.join(needed, "id", "left_semi")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

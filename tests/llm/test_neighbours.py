@@ -37,6 +37,30 @@ def test_pairs_equal_brute_force(spark, data):
     assert len(set(got)) >= 0.99 * len(true)
 
 
+@pytest.mark.parametrize("bits", [9, 15])
+def test_pairs_at_the_threshold_whatever_the_size(spark, bits):
+    """Cells of `bits` signs, as a collection of 24 * 2 ** bits vectors has."""
+    rng = np.random.default_rng(5)
+    n, cosine = 1500, 0.9005
+    a = rng.standard_normal((n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal((n, 64))
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * side])
+    df = spark.createDataFrame([(i, "m", row.tolist()) for i, row in enumerate(x)], "id long, model string, vector array<double>")
+    got = {(r.a, r.b) for r in nb.similar_pairs(df, 0.9, nb.Plan(cell=2 * n / 2**bits))[0].collect()}
+    assert got <= {(i, i + n) for i in range(n)}
+    assert len(got) >= 0.995 * n
+
+
+def test_tables_follow_the_signs():
+    agree = 1 - np.arccos(0.9) / np.pi
+    for bits in (1, 9, 12, 15, 20):
+        assert (1 - agree**bits) ** nb.tables_needed(bits, 0.9, nb.Plan()) <= 1e-3
+    assert nb.tables_needed(9, 1.0, nb.Plan()) == 24
+
+
 def test_top_k_recall(spark, data):
     x, models = data
     df = frame(spark, x, models)
