@@ -1,7 +1,8 @@
 """Credentials embedded in source code: a trigram index picks candidates, expressions verify them, values are masked.
 
 Rules are regular expressions with a group for the value. Of each, the trigrams a text must hold are derived and
-intersected on an index of every block of texts; the expression runs on the texts that remain. What it finds is then
+intersected on an index of every block of texts; the expression runs on the texts that remain (of a rule without any
+trigram, on every text that holds the part which all its matches hold). What it finds is then
 judged: values to be filled in, masked values, references, names, patterns and digests are no credentials.
 """
 
@@ -27,6 +28,8 @@ _NAME = (
     r"auth[_\-]?key|encryption[_\-]?key|signing[_\-]?key|access[_\-]?key|private[_\-]?key|smtp[_\-]?pass)[\w\-]*"
 )
 _QUOTED = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"
+#: Between two literals that are joined.
+_JOIN = r"\s*(?:\+|\.\.?)\s*"
 #: Shapes of well-known kinds of keys: the prefix says what they are, wherever they stand.
 _KEYS = (
     r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|"
@@ -48,10 +51,10 @@ RULES: dict[str, tuple[str, bool]] = {
         False,
     ),
     "bare value": (rf"(?P<name>{_NAME})[\"']?\s*(?::=|=|:)[ \t]*(?P<v>[^\s\"'`,;(){{}}\[\]<>]{{8,200}}|[a-z]+(?: [a-z]+){{1,6}} \d+)(?=[ \t]*(?:$|[,;\n]|\*/|-->))", False),
-    "joined pieces": (rf"(?P<v>{_QUOTED}(?:\s*(?:\+|\.\.?)\s*{_QUOTED})+)", True),
+    "joined pieces": (rf"(?P<v>{_QUOTED}(?:{_JOIN}{_QUOTED})+)", True),
 }
-#: For the index only: what "joined pieces" needs in a line as it is commonly written, spaced or not.
-_INDEX_ONLY = {"joined pieces": r"(?:\" \+ \"|' \+ '|\"\+\"|'\+'|\" \+ '|' \+ \"|` \+ `|\" \. \"|' \. '|\" \.\. \")"}
+#: No trigram is required by "joined pieces"; every match holds the end of a literal, what joins, and the next one's begin.
+_PARTS = {"joined pieces": re.compile(rf"[\"'`]{_JOIN}[\"'`]", re.ASCII)}
 
 _PLACEHOLDER = re.compile(
     r"<[^>]*>|\{\{|\$\{|\$\(|%\(|(?<![A-Za-z0-9])%s|\*{3,}|x{6,}|\.{3}|•{3,}|(?i:change[_\- ]?me|replace[_\- ]?(?:me|this)|placeholder|your[_\- ]|"
@@ -162,14 +165,17 @@ def compiled() -> dict[str, re.Pattern]:
 
 
 def build_index() -> TrigramIndex:
-    return TrigramIndex({name: required(_INDEX_ONLY.get(name, p)) for name, (p, _) in RULES.items()})
+    return TrigramIndex({name: required(p) for name, (p, _) in RULES.items()})
 
 
 def scan(texts: list[str], index: TrigramIndex, expressions: dict[str, re.Pattern]) -> dict[int, list[Found]]:
     """What is found in a block of texts, by the number of the text."""
     found: dict[int, list[Found]] = {}
     for rule, numbers in index.candidates([t.encode() for t in texts]).items():
+        part = _PARTS.get(rule)
         for i in numbers.tolist():
+            if part and not part.search(texts[i]):
+                continue
             hits = list(verify(rule, expressions[rule], texts[i]))
             if hits:
                 found.setdefault(i, []).extend(hits)

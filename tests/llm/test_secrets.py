@@ -22,6 +22,8 @@ FOUND = [
     ("# was password: Broken-Slot-32?", [0]),
     ("ALTER ROLE x PASSWORD 'rJmmWQsjCyFf4LAd';", [0]),
 ]
+#: Joins over lines and with little or much space, under a name that says nothing.
+JOINED = [f"k = {q}{KEY[:8]}{q}{join}{r}{KEY[8:]}{r}" for join in (" +\n    ", "\n    + ", "+", "+ ", " +", ".", " . ", ".\n", "..", " .. ", "\n..", "  +\t", "\r\n+\r\n") for q, r in ("\"\"", "''", "``", "\"'", "'`")]
 CLEAN = [
     None, "", "   ", 'password = "<your-token-here>"', 'password = "********"', "token = os.environ['TOKEN']", 'password = "${PASSWORD}"', 'api_key = "{{ vault.key }}"', 'password_label = "Enter your password"',
     r'rx = r"\bgh[pousr]_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|-----BEGIN .*PRIVATE KEY-----"', "-----BEGIN PUBLIC KEY-----\nMIIBIjANBgkqhkiG9w0B", "never log an Authorization: Bearer header here",
@@ -40,6 +42,13 @@ def test_found(tools, text, lines):
     assert sorted({text.count("\n", 0, h.start) for h in hits}) == lines
 
 
+def test_joined_however_written(tools):
+    rule = tools[1]["joined pieces"]
+    assert all(rule.search(t) for t in JOINED)
+    assert [t for i, t in enumerate(JOINED) if [h.rule for h in secrets.scan([t], *tools).get(0, [])] != ["joined pieces"]] == []
+    assert all(KEY[:8] not in m and KEY[8:] not in m for m in (secrets.mask(t, secrets.scan([t], *tools)[0]) for t in JOINED))
+
+
 @pytest.mark.parametrize("text", [t for t in CLEAN if t])
 def test_clean(tools, text):
     assert secrets.scan([text], *tools) == {}
