@@ -29,6 +29,7 @@ _INDEX = {c: i for i, c in enumerate(ALPHABET)}
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _WORD = re.compile(r"\w+")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NUMBERS = re.compile(r"(?:[-+]?(?:0x[0-9a-fA-F]+|\d[\d_.eE]*)[\s,;\]\[{}()]*){4,}")
 _BLOB_LINE = re.compile(r"^[ \t]*[A-Za-z0-9+/=]{40,}[ \t]*$", re.MULTILINE)
 _COMMENT = re.compile(r"//[^\n]*|#[^\n]*|/\*.*?\*/", re.DOTALL)
@@ -63,6 +64,8 @@ class Limits(NamedTuple):
     dense_line: float = 60.0  # mean characters per line of a minified file
     template_share: float = 0.88  # of the lines, in their three most frequent shapes
     data_share: float = 0.85  # of the characters, in literals
+    name_diversity: float = 0.4  # of the names' first parts, as a share of what is usual in the language, in a template
+    least_names: int = 20  # for that
     least_lines: int = 12  # for templates
     least_chars: int = 1500  # for data
     head_lines: int = 10
@@ -74,6 +77,15 @@ def identifiers(text: str) -> list[str]:
     return sorted(set(_IDENTIFIER.findall(_COMMENT.sub(" ", _STRING.sub('""', text)))))
 
 
+def diversity(words: list[str], size: int = 60) -> float:
+    """Distinct first parts of names to names, in samples of at most `size` names that together hold all of them: in
+    larger samples any text's names repeat their parts."""
+    first = [m.group().lower() if (m := _PART.search(w)) else w for w in words]
+    step = -(-len(first) // size)
+    samples = [first[i::step] for i in range(step)]
+    return sum(len(set(x)) for x in samples) / max(1, sum(map(len, samples)))
+
+
 _CODES = np.zeros(256, np.int32)
 for _c, _i in _INDEX.items():
     _CODES[ord(_c)] = _i
@@ -141,12 +153,13 @@ class Traits(NamedTuple):
     data_share: float
     lines: int
     chars: int
+    names: int
 
 
 def traits(text: str, bits: np.ndarray | None, limits: Limits = Limits()) -> Traits:
     lines = [x for x in text.split("\n") if x.strip()]
     if not lines:
-        return Traits(0, 0, 0, 0, 0, 0, 0, 0, len(text))
+        return Traits(0, 0, 0, 0, 0, 0, 0, 0, len(text), 0)
     words = identifiers(text)
     per_char = bits_per_char(words, bits) if bits is not None and words else np.zeros(len(words))
     mangled = sum((len(w) <= 3 and w.islower() and w not in _SHORT) or (len(w) <= 8 and b >= limits.mangled_bits) for w, b in zip(words, per_char))
@@ -154,19 +167,19 @@ def traits(text: str, bits: np.ndarray | None, limits: Limits = Limits()) -> Tra
     camel = sum(bool(re.match(r"[a-z]+[A-Z]", w)) for w in words)
     plain = _STRING.sub("w", text)
     shapes = Counter(x for x in (y.strip() for y in _WORD.sub("w", plain).replace(" ", "").split("\n")) if x)
-    stems = Counter(re.sub(r"[A-Z_0-9].*", "", w.strip("_")) for w in words)
     literal = sum(len(m.group()) for m in _STRING.finditer(text) if len(m.group()) >= 40 and " " not in m.group())
     literal += sum(m.end() - m.start() for m in _NUMBERS.finditer(plain)) + sum(m.end() - m.start() for m in _BLOB_LINE.finditer(plain))
     return Traits(
         mangled / max(1, len(words)),
         float(per_char.mean()) if len(words) else 0.0,
-        len(stems) / max(1, len(words)),
+        diversity(words),
         snake / (snake + camel + 1),
         sum(map(len, lines)) / len(lines),
         sum(n for _, n in shapes.most_common(3)) / max(1, sum(shapes.values())),
         literal / max(1, len(text) - text.count(" ")),
         len(lines),
         len(text),
+        len(words),
     )
 
 
@@ -174,8 +187,13 @@ def traits(text: str, bits: np.ndarray | None, limits: Limits = Limits()) -> Tra
 _SHORT = frozenset("if for in is or as do of def let var int new try not and row key err ctx end get set map max min len str nil url log add put app req res now out err ids idx msg def del use pub fn i j k x y n e f t r".split())
 
 
-def judge(path: str, text: str, bits: np.ndarray | None, norm: float | None = None, limits: Limits = Limits()) -> tuple[str | None, Traits]:
-    """(kind or None for hand-written, traits). norm: the language's share of snake_case names."""
+#: The name diversity of the median hand-written file of each language on sf0.1.
+USUAL = {"py": 0.983, "js": 0.986, "ts": 0.975, "go": 0.977, "java": 0.984}
+
+
+def judge(path: str, text: str, bits: np.ndarray | None, norm: float | None = None, limits: Limits = Limits(), usual: float | None = None) -> tuple[str | None, Traits]:
+    """(kind or None for hand-written, traits). norm: the language's share of snake_case names; usual: its diversity of
+    names."""
     lines = text.split("\n")
     while lines and not lines[-1].strip():
         lines.pop()
@@ -186,6 +204,7 @@ def judge(path: str, text: str, bits: np.ndarray | None, norm: float | None = No
     t = traits(text, bits, limits)
     minified = bits is not None and t.mangled_share >= limits.mangled_share and t.mean_line >= limits.dense_line
     template = t.template_share >= limits.template_share and t.lines >= limits.least_lines
+    template |= usual is not None and t.names >= limits.least_names and t.lines >= limits.least_lines and t.name_diversity <= limits.name_diversity * usual
     data = t.data_share >= limits.data_share and t.chars >= limits.least_chars
     foreign = norm is not None and abs(t.snake_share - norm) > 0.6
     if _VENDOR_PATH.search(path) or _THIRD_PARTY.search(told) or (foreign and re.search(r"(?i)\blicen[sc]e\b.*\bv?\d+\.\d+", told)):
@@ -219,7 +238,7 @@ def find(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
         for batch in batches:
             out = []
             for repo, path, text, lang in batch[["repo_id", "path", "text", "lang"]].itertuples(index=False):
-                kind, t = judge(path, text or "", bits.get(lang), norms.get(lang), limits)
+                kind, t = judge(path, text or "", bits.get(lang), norms.get(lang), limits, USUAL.get(lang))
                 if kind:
                     out.append((repo, path, kind, t.mangled_share, t.mean_bits, t.template_share, t.data_share))
             yield pd.DataFrame(out, columns=columns)

@@ -42,6 +42,24 @@ def test_hand_written_stays(found):
     assert not [p for p in found if p.startswith("src/m")]
 
 
+WORDS = "amber basin cedar delta ember fjord grove heath islet jetty knoll ledge marsh notch oasis prong quarry ridge shoal tarn".split()
+SHAPES = ["func {0}(a int) int {{", "\tif a > {1} {{ return a }}", "\tx := []int{{a, {1}}}", "\tfor a < {1} {{", "\t\ta += x[0] * {1}", "\t}}", "\tprintln(a, x)", "\treturn -a", "}}", ""]
+
+
+def shaped(names):
+    return "package p\n" + "\n".join(line.format(n, i) for i, n in enumerate(names) for line in SHAPES)
+
+
+@pytest.mark.parametrize("names,kind", [([f"Load{w.title()}" for w in WORDS * 2], "generated"), ([f"load_{w}" for w in WORDS], "generated"), (WORDS, None), ([f"{w}{v}" for w, v in zip(WORDS, ["Load", "Save"] * 10)], None), ([f"Load{w.title()}" for w in WORDS[:8]] + WORDS[8:], None)])
+def test_names_after_a_template(names, kind):
+    import numpy as np
+
+    bits = np.zeros(len(pv.ALPHABET) ** 3, np.float32)
+    got, t = pv.judge("src/a.go", shaped(names), bits, 0.0, usual=pv.USUAL["go"])
+    assert t.template_share < pv.Limits().template_share
+    assert got == kind
+
+
 def test_empty(spark):
     assert pv.find(spark.createDataFrame([], "repo_id string, path string, text string")).count() == 0
 
