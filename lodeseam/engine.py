@@ -17,7 +17,7 @@ SECRET = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----|\bAKIA[0-9A-Z]{16}\b|\bgh[
 class Engine:
     """Tables are written as new versions and made current by one rename of a pointer; readers never see half of one."""
 
-    def __init__(self, spark: SparkSession, folder: str, dims: int = 64, model: str = "hash-v1", ignore: str = "", chunker_version: str = "windows80-10") -> None:
+    def __init__(self, spark: SparkSession, folder: str, dims: int = 64, model: str = "hash-v1", ignore: str = "", chunker_version: str = "windows80-10-symbols") -> None:
         self.spark, self.folder, self.dims = spark, folder.rstrip("/"), dims
         self.model = f"{model}:dims={dims}"
         self.rules = paths.ignore_rules(ignore)

@@ -63,6 +63,16 @@ def regex_symbols(lines: Column) -> Column:
     return F.filter(F.transform(lines, of_line), lambda s: s["name"].isNotNull())
 
 
+def symbol_windows(symbols: Column, lines: Column, most: int = MAX_LINES) -> Column:
+    """Array of (start_line, end_line, content, s): for every symbol s its line and those after it, `most` at most."""
+
+    def of_symbol(s: Column) -> Column:
+        end = F.least(s["line"] + most - 1, F.size(lines)).cast("int")
+        return F.struct(s["line"].alias("start_line"), end.alias("end_line"), F.array_join(F.slice(lines, s["line"], most), "\n").alias("content"), s.alias("s"))
+
+    return F.transform(symbols, of_symbol)
+
+
 def nearest_symbol(symbols: Column, start: Column, end: Column) -> Column:
     """The first symbol within the lines, else the last one that begins before them."""
     inside = F.filter(symbols, lambda s: (s["line"] >= start) & (s["line"] <= end))
@@ -107,13 +117,15 @@ def syntax_chunks(files: DataFrame, most: int = MAX_LINES) -> DataFrame:
 
 
 def chunk_files(files: DataFrame, most: int = MAX_LINES, overlap: int = OVERLAP_LINES, syntax: bool = True) -> DataFrame:
-    """Chunks of files (repo_id, repo_path, path, content): windows with their nearest symbol, and Python symbols."""
+    """Chunks of files (repo_id, repo_path, path, content): windows with their nearest symbol, the symbols that expressions
+    find in files of any language, and Python symbols by syntax tree."""
     from ..functions import paths
 
     base = files.select("repo_id", "repo_path", "path", "content", paths.language("path").alias("language"))
     rows = base.withColumn("lines", text.lines("content")).withColumn("symbols", regex_symbols(F.col("lines")))
-    cut = rows.select("repo_id", "repo_path", "path", "language", "symbols", F.inline(windows(F.col("lines"), most, overlap)))
-    cut = cut.withColumn("s", nearest_symbol(F.col("symbols"), F.col("start_line"), F.col("end_line")))
+    symbols = F.col("symbols")
+    labelled = F.transform(windows(F.col("lines"), most, overlap), lambda w: F.struct(w["start_line"].alias("start_line"), w["end_line"].alias("end_line"), w["content"].alias("content"), nearest_symbol(symbols, w["start_line"], w["end_line"]).alias("s")))
+    cut = rows.select("repo_id", "repo_path", "path", "language", F.inline(F.concat(labelled, symbol_windows(symbols, F.col("lines"), most))))
     made = cut.select(
         "repo_id", "repo_path", "path", "language", F.col("s.name").alias("symbol_name"), F.col("s.kind").alias("symbol_kind"), F.col("s.line").alias("symbol_line"), F.col("s.confidence").alias("symbol_confidence"), "start_line", "end_line", "content"
     )

@@ -73,6 +73,21 @@ def test_symbols(spark):
     assert near(4, 5).name == "A" and near(7, 9).name == "T" and near(1, 2) is None
 
 
+@pytest.mark.parametrize(
+    "path,line,name,kind",
+    [("a.py", "def load(x):", "load", "function"), ("a.js", "function load(x) {", "load", "function"), ("a.ts", "interface Load {", "Load", "interface"), ("a.go", "func load(x int) int {", "load", "function"), ("a.java", "class Load {", "Load", "class")],
+)
+def test_symbols_by_expression_are_chunks(spark, path, line, name, kind):
+    lines = ["", "", line, *[f"    x{i} = {i}" for i in range(100)], line, "    y = 1"]
+    files = spark.createDataFrame([("r", "/r", path, "\n".join(lines)), ("r", "/r", "empty" + path, ""), ("r", "/r", "null" + path, None)], "repo_id string, repo_path string, path string, content string")
+    got = [r for r in chunker.chunk_files(files).collect() if r.symbol_confidence == "regex" and r.start_line == r.symbol_line]
+    want = [(3, 82, "\n".join(lines[2:82])), (104, 105, "\n".join(lines[103:105]))]
+    assert sorted((r.start_line, r.end_line, r.content) for r in got) == want
+    assert {(r.path, r.symbol_name, r.symbol_kind) for r in got} == {(path, name, kind)}
+    windows = sorted((r.start_line, r.end_line) for r in chunker.chunk_files(files).collect() if r.symbol_confidence == "regex" and r.start_line != r.symbol_line)
+    assert windows == [(1, 80), (71, 105)]
+
+
 def test_python_symbols():
     got = chunker.python_symbols("class S:\n    @d\n    def h(self):\n        pass\n\ndef f():\n    pass\n")
     assert got == [("S", "class", 1, 4, 1), ("h", "function", 2, 4, 3), ("f", "function", 6, 7, 6)]
