@@ -99,7 +99,7 @@ def python_symbols(source: str) -> list[tuple[str, str, int, int, int]]:
 
 def syntax_chunks(files: DataFrame, most: int = MAX_LINES) -> DataFrame:
     """Symbol chunks of Python files: (repo_id, path, symbol_name, symbol_kind, symbol_line, start_line, end_line, content);
-    a long symbol is cut at `most` lines after its name."""
+    a symbol of more than `most` lines from its name on has none: windows and expressions hold its lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,8 +107,8 @@ def syntax_chunks(files: DataFrame, most: int = MAX_LINES) -> DataFrame:
             for repo, path, content in batch[["repo_id", "path", "content"]].itertuples(index=False):
                 lines = (content or "").split("\n")
                 for name, kind, first, last, at in python_symbols(content or ""):
-                    end = min(last, at + most - 1)
-                    out.append((repo, path, name, kind, at, first, end, "\n".join(lines[first - 1 : end])))
+                    if last - at + 1 <= most:
+                        out.append((repo, path, name, kind, at, first, last, "\n".join(lines[first - 1 : last])))
             yield pd.DataFrame(out, columns=["repo_id", "path", "symbol_name", "symbol_kind", "symbol_line", "start_line", "end_line", "content"])
 
     return files.select("repo_id", "path", "content").mapInPandas(

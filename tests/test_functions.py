@@ -88,6 +88,13 @@ def test_symbols_by_expression_are_chunks(spark, path, line, name, kind):
     assert windows == [(1, 80), (71, 105)]
 
 
+def test_long_python_symbols_are_left_out(spark):
+    body = lambda n: "".join(f"    x{i} = {i}\n" for i in range(n))
+    source = "@d\ndef fits():\n" + body(79) + "def long():\n" + body(80)
+    files = spark.createDataFrame([("r", "a.py", source)], "repo_id string, path string, content string")
+    assert [(r.symbol_name, r.start_line, r.end_line) for r in chunker.syntax_chunks(files).collect()] == [("fits", 1, 81)]
+
+
 def test_python_symbols():
     got = chunker.python_symbols("class S:\n    @d\n    def h(self):\n        pass\n\ndef f():\n    pass\n")
     assert got == [("S", "class", 1, 4, 1), ("h", "function", 2, 4, 3), ("f", "function", 6, 7, 6)]
