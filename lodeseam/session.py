@@ -36,9 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local master (tests) gets a folder of
+    its own; on a cluster it is an error, as executors would each write to their own disk."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = getattr(spark.sparkContext, "_lodeseam_dir", None)
         if not known:
             known = "file://" + tempfile.mkdtemp(prefix="lodeseam-")
@@ -47,21 +50,70 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        files, target = _hadoop(spark, path)
+        files.delete(target, True)
     except Exception:  # the JVM is gone: the folder's owner clears it
         pass
 
 
+def create_file(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Write a file that isn't there yet, by one exclusive creation; False if it is there already."""
+    files, target = _hadoop(spark, path)
+    try:
+        out = files.create(target, False)
+    except Exception as e:
+        if files.exists(target):
+            return False
+        raise e
+    out.write(bytearray(data))
+    out.close()
+    return True
+
+
+def read_file(spark: SparkSession, path: str) -> bytes | None:
+    """A small file whole; None if it isn't there."""
+    files, target = _hadoop(spark, path)
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what `materialize` has written so far; frames that read it must no longer be used."""
+    for path in _WRITTEN:
+        _delete(spark, path)
+    _WRITTEN.clear()
+
+
+_WRITTEN: list[str] = []
+
+
+def tracked(spark: SparkSession, path: str) -> str:
+    """path, to be deleted by `release` or at the interpreter's end."""
+    if not _WRITTEN:
+        atexit.register(release, spark)
+    _WRITTEN.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Cut the lineage by writing df into the shared folder; what is read back survives the loss of an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeseam/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    tracked(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,7 +125,9 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it lies in fewer partitions (a small table before costly rows); large tables stay as they are."""
+def spread(df: DataFrame, bytes_each: int = 64 << 20) -> DataFrame:
+    """df over all cores where the optimizer's estimate of its size gives fewer partitions than cores (a small table
+    before costly rows); large tables stay as they are. Nothing is run to find out."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * bytes_each else df
