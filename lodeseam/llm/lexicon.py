@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
-import os
+import json
 import unicodedata
 
 import numpy as np
@@ -240,24 +240,36 @@ def _slot(key: np.ndarray, size: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
 
 
-def write_lexicon(folder: str, words: list[bytes], ids: list[list[int]]) -> None:
-    """Words in any order; the arrays go into folder, each file renamed into place."""
+def pack_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
+    """One file of all arrays, words in any order: the size of the header, the header (JSON: name to type, length and
+    offset), then the arrays, each at a multiple of 64."""
     order = sorted(range(len(words)), key=words.__getitem__)
     arrays = compile_words([words[i] for i in order])
+    arrays["value"] = arrays["value"].reshape(-1)
     arrays["ids"] = np.array([t for i in order for t in ids[i]], np.int32)
     arrays["id_at"] = np.concatenate([[0], np.cumsum([len(ids[i]) for i in order])]).astype(np.int64)
-    os.makedirs(folder, exist_ok=True)
+    header, at = {}, 4096
     for name, array in arrays.items():
-        np.save(f"{folder}/.{name}.npy", array)
-        os.replace(f"{folder}/.{name}.npy", f"{folder}/{name}.npy")
+        header[name] = [array.dtype.str, len(array), at]
+        at += -(-array.nbytes // 64) * 64
+    head = json.dumps(header).encode()
+    out = bytearray(at)
+    out[:8] = len(head).to_bytes(8, "little")
+    out[8 : 8 + len(head)] = head
+    for name, array in arrays.items():
+        out[header[name][2] : header[name][2] + array.nbytes] = array.tobytes()
+    return bytes(out)
 
 
 class Lexicon:
-    """The memory-mapped automaton; one per worker process and folder."""
+    """The memory-mapped automaton; one per worker process and file."""
 
-    def __init__(self, folder: str) -> None:
-        load = lambda name: np.load(f"{folder}/{name}.npy", mmap_mode="r")
-        self.table, self.value, self.final, self.ids, self.id_at = map(load, ("table", "value", "final", "ids", "id_at"))
+    def __init__(self, path: str) -> None:
+        raw = np.memmap(path, np.uint8, "r")
+        header = json.loads(raw[8 : 8 + int.from_bytes(raw[:8].tobytes(), "little")].tobytes())
+        array = {name: raw[at : at + np.dtype(kind).itemsize * n].view(kind) for name, (kind, n, at) in header.items()}
+        self.table, self.final, self.ids, self.id_at = (array[n] for n in ("table", "final", "ids", "id_at"))
+        self.value = array["value"].reshape(-1, 2)
 
     def ranks(self, buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The rank of every word, -1 for words that aren't in the lexicon."""
@@ -292,8 +304,8 @@ class Lexicon:
 
 
 @functools.lru_cache(maxsize=4)
-def open_lexicon(folder: str) -> Lexicon:
-    return Lexicon(folder)
+def open_lexicon(path: str) -> Lexicon:
+    return Lexicon(path)
 
 
 def encode_texts(texts: list[str], lexicon: Lexicon, merge) -> tuple[np.ndarray, np.ndarray]:

@@ -9,20 +9,23 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _poisson(lam: float, cap: int) -> np.ndarray:
+    """P(X = 0), ... P(X = cap - 1), by logarithms: no rate is too great."""
+    k = np.arange(cap)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, cap)))])[:cap]
+    return np.exp(k * math.log(lam) - lam - logs) if lam > 0 else (k == 0).astype(float)
+
+
 def _cut_mean(lam: float, cap: int) -> float:
     """E[min(X, cap)] of a Poisson X."""
-    p, cdf, mean = math.exp(-lam), 0.0, 0.0
-    for k in range(cap):
-        cdf += p
-        mean += 1 - cdf
-        p *= lam / (k + 1)
-    return mean
+    return float((1.0 - np.minimum(np.cumsum(_poisson(lam, cap)), 1.0)).sum())
 
 
 def cut_poisson(rate: float, cap: int) -> list[float]:
@@ -31,16 +34,13 @@ def cut_poisson(rate: float, cap: int) -> list[float]:
         return [1.0] * cap
     if rate >= cap:
         return [0.0] * cap
-    low, high = 0.0, 700.0
+    low, high = 0.0, 2.0 * cap
+    while _cut_mean(high, cap) < rate and high < 1e6 * cap:
+        high *= 2
     for _ in range(100):
         mid = (low + high) / 2
         low, high = (mid, high) if _cut_mean(mid, cap) < rate else (low, mid)
-    out, p, cdf = [], math.exp(-low), 0.0
-    for k in range(cap):
-        cdf += p
-        out.append(min(cdf, 1.0))
-        p *= low / (k + 1)
-    return out
+    return np.minimum(np.cumsum(_poisson(low, cap)), 1.0).tolist()
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -67,7 +67,7 @@ def source_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = F.col("target_share") * F.col("total")
     return (
         rows.crossJoin(F.broadcast(total))  # one row
-        .withColumn("rate", F.when(F.col("size") > 0, wanted / F.col("size")).otherwise(0.0))
+        .withColumn("rate", F.when(F.col("size") > 0, wanted / F.col("size")).when(wanted > 0, F.col("max_repeats")).otherwise(0.0))
         .withColumn("falls_short", F.col("size") * F.col("max_repeats") < wanted)
     )
 
@@ -90,10 +90,13 @@ def mix(sizes: DataFrame, rates: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def shares(mixed: DataFrame, rates: DataFrame) -> DataFrame:
-    """Target and reached share of every source, of the planned total and of the mixture itself, and whether the cap kept it below."""
-    got = mixed.groupBy("source").agg(F.sum("size").alias("mixed_size"), F.count("*").alias("uses"))
-    rows = rates.select("source", "target_share", "max_repeats", "size", "rate", "falls_short", "total").join(got, "source", "left").fillna(0, ["mixed_size", "uses"])
+    """Target and reached share of every source, of the planned total and of the mixture itself, and whether the mixture
+    falls short of its share though it holds every document of the source max_repeats times."""
+    got = mixed.groupBy("source").agg(F.sum("size").alias("mixed_size"), F.count("size").alias("uses"))
+    rows = rates.select("source", "target_share", "max_repeats", "size", "n_docs", "rate", "total").join(got, "source", "left").fillna(0, ["mixed_size", "uses"])
+    spent = F.col("uses") == F.col("n_docs") * F.col("max_repeats")
+    rows = rows.withColumn("falls_short", spent & (F.col("mixed_size") < F.col("target_share") * F.col("total")))
     mixed_total = rows.agg(F.sum("mixed_size").alias("mixed_total"))
     rows = rows.crossJoin(F.broadcast(mixed_total))  # one row
     rows = rows.withColumn("share_of_planned", F.when(F.col("total") > 0, F.col("mixed_size") / F.col("total")).otherwise(0.0))
-    return rows.withColumn("reached_share", F.when(F.col("mixed_total") > 0, F.col("mixed_size") / F.col("mixed_total")).otherwise(0.0)).drop("mixed_total", "total")
+    return rows.withColumn("reached_share", F.when(F.col("mixed_total") > 0, F.col("mixed_size") / F.col("mixed_total")).otherwise(0.0)).drop("mixed_total", "total", "n_docs")

@@ -95,11 +95,6 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source").join(sizes, "doc_id").withColumnRenamed("n_tokens", "size")
 
 
-def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = mixing.source_rates(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
-    return rates.filter("falls_short").select("source")
-
-
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sizes = materialize(_sizes(spark, sf_dir), "sized")
     rates = materialize(mixing.source_rates(sizes, table(spark, sf_dir, "mix_targets")), "rates")
@@ -110,6 +105,10 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[0].repartitionByRange("position").sortWithinPartitions("position")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_shares(spark, sf_dir).filter("falls_short").select("source")
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, sf_dir))
 

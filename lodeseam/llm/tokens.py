@@ -1,14 +1,13 @@
 """Encoding of a text column by a public byte-level BPE vocabulary through a transducer lexicon of frequent words.
 
 Three steps, each over all rows: count the words of the corpus (combined per partition before the shuffle), compile the
-most frequent ones with their ids into a minimal acyclic transducer (written once into the shared folder, memory-mapped
-by every worker), then encode: words of the lexicon by walking it, the rest by exact merges. The lexicon's size is a
+most frequent ones with their ids into a minimal acyclic transducer (one file in the shared folder, memory-mapped by
+every worker), then encode: words of the lexicon by walking it, the rest by exact merges. The lexicon's size is a
 parameter and bounds what the driver sees; it changes the speed only, never a result.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -20,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_dir
+from ..session import create_file, materialize, shared_dir, tracked
 from . import lexicon as lx
 
-#: Words compiled into the lexicon, and the longest word taken (bytes): 65,536 x 64 B = 4 MB at most at the driver.
+#: Words compiled into the lexicon, and the longest word taken (bytes): 65,536 x 64 B = 4 MB at most at the driver, of
+#: the whole input together.
 LEXICON_WORDS, LEXICON_BYTES = 65_536, 64
 #: Characters handled at once in a worker; a longer text is handled alone and whole.
 BATCH_CHARS = 1_000_000
@@ -71,28 +71,38 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, words: int) -> list[bytes]:
+    """The words above the least count that at most `words` words reach, to an eighth of a power of two.
+
+    counts: (word, n), written. Only a histogram of at most 512 rows and then those words come to the driver, from all
+    partitions together: no partition sends a list of its own.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int")
+    histogram = {r.level: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
+    taken, least = 0, None
+    for at in sorted(histogram, reverse=True):
+        taken += histogram[at]
+        if taken > words:
+            break
+        least = at
+    return [] if least is None else [bytes(r.word) for r in counts.filter(level >= least).select("word").collect()]
+
+
 def build_lexicon(texts: DataFrame, ranks: str, words: int = LEXICON_WORDS) -> str:
-    """Count, choose, compile and write; returns where the workers find it."""
+    """Count, choose, compile and write; returns the name under which every worker finds the file.
+
+    The lexicon is one file in the shared folder, and Spark gives each executor a copy in its own work folder, also to
+    those that join later; workers map that copy. Words that occur once aren't worth a place in it.
+    """
     spark = texts.sparkSession
-    short = count_words(texts).filter(F.length("word").between(1, LEXICON_BYTES))
-    top = short.orderBy(F.desc("n"), "word").limit(words).select("word").collect()
-    chosen = [bytes(r.word) for r in top]
+    counts = materialize(count_words(texts).filter((F.col("n") > 1) & F.length("word").between(1, LEXICON_BYTES)), "words")
+    chosen = frequent_words(counts, words)
     merge = lx.merger(ranks)
-    root = shared_dir(spark)
-    name = f"lexicon-{uuid.uuid4().hex}"
-    if root.startswith("file:"):
-        folder = root.removeprefix("file://").removeprefix("file:") + f"/lodeseam/{name}"
-        lx.write_lexicon(folder, chosen, [merge(w) for w in chosen])
-        return folder
-    # the shared folder can't be memory-mapped: Spark hands every worker a copy of the files
-    local = os.path.join(SparkFiles.getRootDirectory(), name)
-    lx.write_lexicon(local, chosen, [merge(w) for w in chosen])
-    spark.sparkContext.addFile(local, recursive=True)
-    return f"sparkfiles:{name}"
-
-
-def _folder(place: str) -> str:
-    return SparkFiles.get(place.removeprefix("sparkfiles:")) if place.startswith("sparkfiles:") else place
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    path = tracked(spark, f"{shared_dir(spark)}/lodeseam/{name}")
+    create_file(spark, path, lx.pack_lexicon(chosen, [merge(w) for w in chosen]))
+    spark.sparkContext.addFile(path)
+    return name
 
 
 def encode(df: DataFrame, key: str, text: str, ranks: str | None = None, ids: bool = True, words: int = LEXICON_WORDS) -> DataFrame:
@@ -108,7 +118,7 @@ def encode(df: DataFrame, key: str, text: str, ranks: str | None = None, ids: bo
     schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False) if ids else T.StructField("n_tokens", T.IntegerType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, merge = lx.open_lexicon(_folder(place)), lx.merger(ranks)
+        lex, merge = lx.open_lexicon(SparkFiles.get(place)), lx.merger(ranks)
         for batch in batches:
             at = 0
             for part in _slices(batch.column(1)):

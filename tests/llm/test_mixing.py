@@ -3,7 +3,7 @@ import pytest
 from lodeseam.llm import mixing
 
 
-@pytest.mark.parametrize("rate,cap", [(0.3, 1), (0.65, 4), (1.8, 3), (2.999, 3), (10.0, 20), (0.0, 2)])
+@pytest.mark.parametrize("rate,cap", [(0.3, 1), (0.65, 4), (1.8, 3), (2.999, 3), (10.0, 20), (0.0, 2), (1990.0, 2000), (1500.5, 2000)])
 def test_cut_mean_is_the_rate(rate, cap):
     cdf = mixing.cut_poisson(rate, cap)
     assert len(cdf) == cap and sum(1 - c for c in cdf) == pytest.approx(rate, abs=1e-6)
@@ -45,6 +45,7 @@ def test_shares(tables):
     rates = mixing.source_rates(*tables)
     got = {r.source: r for r in mixing.shares(mixing.mix(sizes, rates), rates).collect()}
     assert sum(r.reached_share for r in got.values()) == pytest.approx(1.0)
+    assert {k for k, r in got.items() if r.falls_short} == {r.source for r in rates.filter("falls_short").collect()} == {"tiny"}
     assert got["none"].mixed_size == 0 and got["tiny"].share_of_planned < 0.2
 
 

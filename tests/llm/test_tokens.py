@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -22,10 +26,10 @@ def reference(ranks):
 
 @pytest.fixture(scope="module")
 def lexicon(tmp_path_factory, ranks):
-    folder = str(tmp_path_factory.mktemp("lex"))
+    path = tmp_path_factory.mktemp("lex") / "lexicon.bin"
     words = [b"the", b" the", b" then", b"them", b"\n", b" ", "é".encode(), b"def", b"a", b"ab", b"abc", b" 12"]
-    lx.write_lexicon(folder, words, [lx.merger(ranks)(w) for w in words])
-    return lx.Lexicon(folder)
+    path.write_bytes(lx.pack_lexicon(words, [lx.merger(ranks)(w) for w in words]))
+    return lx.Lexicon(str(path))
 
 
 @settings(max_examples=300, deadline=None)
@@ -39,14 +43,14 @@ def test_equals_the_public_tokenizer(ranks, reference, lexicon, texts):
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.binary(min_size=1, max_size=6), min_size=1, max_size=60), st.lists(st.binary(min_size=1, max_size=7), max_size=30))
 def test_automaton_ranks_words(tmp_path_factory, words, others):
-    folder = str(tmp_path_factory.mktemp("a"))
+    path = tmp_path_factory.mktemp("a") / "lexicon.bin"
     ordered = sorted(words)
-    lx.write_lexicon(folder, ordered, [[i] for i in range(len(ordered))])
+    path.write_bytes(lx.pack_lexicon(ordered, [[i] for i in range(len(ordered))]))
     asked = ordered + others
     buf = np.frombuffer(b"".join(asked), np.uint8)
     size = np.array([len(w) for w in asked])
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    assert lx.Lexicon(folder).ranks(buf, begin, size).tolist() == [ordered.index(w) if w in words else -1 for w in asked]
+    assert lx.Lexicon(str(path)).ranks(buf, begin, size).tolist() == [ordered.index(w) if w in words else -1 for w in asked]
 
 
 def test_automaton_is_minimal():
@@ -79,3 +83,34 @@ def test_whole_table(spark, sf, reference):
 
     got = {r.doc_id: list(r.ids) for r in p8_ids(spark, sf).collect()}
     assert got == {k: reference.encode_ordinary(t or "") for k, t in docs.items()}
+
+
+def test_frequent_words(spark):
+    rows = [(bytes([97 + i % 26]) * (1 + i // 26), 2 + i) for i in range(200)]
+    counts = spark.createDataFrame(rows, "word binary, n long").repartition(7)
+    for most in (0, 1, 50, 199, 200, 500):
+        got = tokens.frequent_words(counts, most)
+        assert len(got) <= most and len(set(got)) == len(got)
+        best = [w for w, _ in sorted(rows, key=lambda r: -r[1])[: len(got)]]
+        assert set(got) == set(best) and (most < 200 or len(got) == 200)
+
+
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.checkpoint.dir", sys.argv[2]).config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
+from lodeseam.llm.queries import p8_ids, p9_mix, p9_shares
+print("ids", p8_ids(spark, sys.argv[1]).selectExpr("sum(size(ids))").first()[0])
+print("uses", p9_mix(spark, sys.argv[1]).count(), p9_shares(spark, sys.argv[1]).selectExpr("sum(uses)").first()[0])
+"""
+
+
+@pytest.mark.parametrize("scheme", ["file://", ""])
+def test_on_executors_of_their_own(sf, reference, spark, tmp_path, scheme):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    run = subprocess.run([sys.executable, "-c", CLUSTER, sf, f"{scheme}{tmp_path}"], cwd=root, capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": root})
+    assert run.returncode == 0, run.stderr[-2000:]
+    out = dict(line.split(" ", 1) for line in run.stdout.splitlines() if line.startswith(("ids", "uses")))
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    assert int(out["ids"]) == sum(len(reference.encode_ordinary(t)) for t in texts)
+    assert len(set(out["uses"].split())) == 1
