@@ -23,44 +23,59 @@ from .trigrams import TrigramIndex, required
 #: Characters of the texts of one index block in a worker.
 BLOCK_CHARS = 1_000_000
 
-_NAME = (
-    r"[\w.\-]*(?:passw(?:or)?d|passwort|passphrase|pwd|secret|token|api[_\-]?key|credential|db[_\-]?pass|"
-    r"auth[_\-]?key|encryption[_\-]?key|signing[_\-]?key|access[_\-]?key|private[_\-]?key|smtp[_\-]?pass)[\w\-]*"
+#: Every expression runs in time linear in the text: what may be long is taken possessively, begins only where its run
+#: begins, or stops at what a further match begins with.
+_WORDS = (
+    r"passw(?:or)?d|passwort|passphrase|pwd|secret|token|api[_\-]?key|credential|db[_\-]?pass|"
+    r"auth[_\-]?key|encryption[_\-]?key|signing[_\-]?key|access[_\-]?key|private[_\-]?key|smtp[_\-]?pass"
 )
-_QUOTED = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"
+#: A name, or the part of it after the last dot, that holds one of the words.
+_NAME = rf"(?<![\w\-])(?=[\w\-]*?(?:{_WORDS}))[\w\-]++"
+_QUOTED = r"(?:(?<!\\)(?:\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`))"
 #: Between two literals that are joined.
-_JOIN = r"\s*(?:\+|\.\.?)\s*"
+_JOIN = r"\s*+(?:\+|\.\.?)\s*+"
 #: Shapes of well-known kinds of keys: the prefix says what they are, wherever they stand.
 _KEYS = (
     r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|"
     r"xox[abprs]-[0-9]{6,}-[\w\-]{10,}|AIza[\w\-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{36}|"
-    r"eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{16,}|sk-(?:ant-|proj-)?[A-Za-z0-9\-]{32,}|SG\.[\w\-]{16,}\.[\w\-]{16,}|"
+    r"eyJ[\w\-]{8,}+\.eyJ[\w\-]{8,}+\.[\w\-]{16,}|sk-(?:ant-|proj-)?[A-Za-z0-9\-]{32,}|SG\.[\w\-]{16,}+\.[\w\-]{16,}|"
     r"shpat_[0-9a-f]{32}|dop_v1_[0-9a-f]{64}|hf_[A-Za-z0-9]{30,}|AGE-SECRET-KEY-[0-9A-Z]{50,}|pypi-AgE[\w\-]{50,}"
 )
 
-#: name -> (expression, case matters). The group "v" is the value.
+#: name -> (expression, case matters). The group "v" is the value, or where it begins.
 RULES: dict[str, tuple[str, bool]] = {
     "private key": (r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)(?P<after>[^\n]{0,200}(?:\n[^\n]{0,200}){0,3})", True),
     "known key": (rf"(?<![A-Za-z0-9])(?P<v>{_KEYS})", True),
-    "registry token": (r"_auth(?:Token)?\s*=\s*[\"']?(?P<v>[\w\-+/=.]{12,})", True),
-    "url login": (r"[a-z][a-z0-9+.\-]*://[^\s:/@\"'`]{1,80}:(?P<v>[^\s/@\"'`]{3,200})@[\w\[]", False),
-    "authorization": (r"\b(?:Bearer|Basic|Token)\s+(?P<v>[A-Za-z0-9\-._~+/]{12,}={0,2})", True),
+    "registry token": (r"_auth(?:Token)?\s*+=\s*+[\"']?(?P<v>[\w\-+/=.]{12,})", True),
+    "url login": (r"(?<=[a-z0-9+.\-])://[^\s:/@\"'`]++:(?P<v>[^\s/@\"'`]{3,}+)@[\w\[]", False),
+    "command login": (r"(?<![\w\-])(?:--user|--basic-auth|-u)[ =] *+[\"']?[^\s:/@\"'`]++:(?P<v>[^\s\"'`]{6,}+)", True),
+    "authorization": (r"\b(?:Bearer|Basic|Token)\s++(?P<v>[A-Za-z0-9\-._~+/]{12,}={0,2})", True),
     "named value": (
-        rf"(?P<name>{_NAME})[\"'`\])]{{0,3}}(?:\s*(?::\s*[\w.<>|\[\]? ]{{1,30}}?\s*=|:=|=>|==?|:|,)\s*|\s+(?:to|is|as)?\s*)(?:[bru]{{1,2}}(?=[\"']))?"
-        rf"(?P<v>{_QUOTED}(?:\s*[+.]?\s*{_QUOTED})*)",
+        rf"(?P<name>{_NAME})[\"'`\])]{{0,3}}+(?:\s*+(?::(?:\s*+[\w.<>|\[\]?]++){{0,8}}\s*+=|:=|=>|==?|:|,)\s*+|\s++(?:(?:to|is|as)\s*+)?)(?:[bru]{{1,2}}(?=[\"']))?"
+        rf"(?P<v>{_QUOTED}(?:\s*+(?:[+.]\s*+)?{_QUOTED})*+)",
         False,
     ),
-    "bare value": (rf"(?P<name>{_NAME})[\"']?\s*(?::=|=|:)[ \t]*(?P<v>[^\s\"'`,;(){{}}\[\]<>]{{8,200}}|[a-z]+(?: [a-z]+){{1,6}} \d+)(?=[ \t]*(?:$|[,;\n]|\*/|-->))", False),
-    "joined pieces": (rf"(?P<v>{_QUOTED}(?:{_JOIN}{_QUOTED})+)", True),
+    "bare value": (rf"(?P<name>{_NAME})[\"']?\s*+(?::=|=|:)[ \t]*+(?P<v>)(?=[^\s\"'`,;(){{}}\[\]<>])", False),
+    "joined pieces": (rf"(?P<v>{_QUOTED}(?:{_JOIN}{_QUOTED})++)", True),
 }
 #: No trigram is required by "joined pieces"; every match holds the end of a literal, what joins, and the next one's begin.
 _PARTS = {"joined pieces": re.compile(rf"[\"'`]{_JOIN}[\"'`]", re.ASCII)}
+#: Values without quotes: the characters of one, words and a number after them, and what must follow.
+_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]++")
+_BARE_WORDS = re.compile(r"[A-Za-z]++(?: [A-Za-z]++){1,6} \d++(?=[ \t]*+(?:$|[,;\n]|\*/|-->))", re.MULTILINE)
+_BARE_END = re.compile(r"[ \t]*+(?:$|[,;\n]|\*/|-->)", re.MULTILINE)
+#: A line that is a comment, and one that holds nothing but a name before its value.
+_COMMENT_LINE = re.compile(r"\s*+(?:#|//|--|\*|/\*|<!--|;|%)")
+_ALONE = re.compile(r"\s*+(?:export\s++|set\s++|-\s++)?[\"']?[\w.\-]++[\"']?\s*+[=:]\s*+")
 
 _PLACEHOLDER = re.compile(
-    r"<[^>]*>|\{\{|\$\{|\$\(|%\(|(?<![A-Za-z0-9])%s|\*{3,}|x{6,}|\.{3}|•{3,}|(?i:change[_\- ]?me|replace[_\- ]?(?:me|this)|placeholder|your[_\- ]|"
+    r"<[^<>]*+>|\{\{|\$\{|\$\(|%\(|(?<![A-Za-z0-9])%s|\*{3,}|x{6,}|\.{3}|•{3,}|(?i:change[_\- ]?me|replace[_\- ]?(?:me|this)|placeholder|your[_\- ]|"
     r"example|dummy|redacted|masked|to[_\- ]?do\b|fixme|insert[_\- ]|fill[_\- ]?(?:me|in)|not[_\- ]?set|undefined|process\.env|os\.environ|getenv|vault[:.])"
 )
-_PATTERN = re.compile(r"\[[^\]]*-[^\]]*\]|\\[bdws]|\{\d+,?\d*\}|\(\?|\.\*")
+_PATTERN = re.compile(r"\[[^\]\[\-]*+-[^\]\[]*+\]|\\[bdws]|\{\d++,?\d*+\}|\(\?|\.\*")
+#: A path: parts that are words in one case each. Base 64 may begin with a slash as well.
+_PATH_PART = r"(?>[a-z][a-z0-9_.\-]*|[A-Z][a-z]*(?:[A-Z][a-z]+)*|[A-Z_]+|\d+|[{:<%$~.][^/]*)"
+_PATH = re.compile(rf"\.{{0,2}}/(?:{_PATH_PART}(?:/{_PATH_PART})*+/?)?")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"(?i:sha\d{1,3}|md5|blake\w*)[-:=].*")
 _DIGEST_NAME = re.compile(r"(?i)(?:hash|digest|checksum|fingerprint|etag|sha\d+|md5|_id|uuid|[a-z]Id)\d*$")
@@ -70,6 +85,10 @@ _PIECE = re.compile(_QUOTED)
 _KEY = re.compile(_KEYS)
 
 
+#: Lines of a private key, up to its end or to the next one.
+_KEY_BODY = re.compile(r"(?:\\r|\\n|[A-Za-z0-9+/=\s:,\-\"'`#*])*?(?=-----END|-----BEGIN|\Z)")
+
+
 class Found(NamedTuple):
     start: int
     rule: str
@@ -84,7 +103,7 @@ def plausible(value: str, name: str = "", strict: bool = False) -> bool:
         return False
     if _HEX.fullmatch(value) and _DIGEST_NAME.search(name):
         return False
-    if "://" in value or value.startswith(("/", "./", "../", "//", "$", "arn:")):
+    if "://" in value or value.startswith(("$", "arn:")) or _PATH.fullmatch(value):
         return False
     mixed = bool(re.search(r"[A-Z]", value) and re.search(r"[a-z]", value))
     if _LABEL_NAME.search(name) and not (mixed and len(value) >= 12 and " " not in value):
@@ -113,15 +132,39 @@ def _spread(spans: tuple[tuple[int, int], ...], lo: int, hi: int) -> tuple[tuple
     return tuple(out)
 
 
+def _bare_run(text: str, at: int) -> tuple[int, int]:
+    """(end of the run of characters of a value without quotes, end of the value that ends in it or 0 if what follows
+    isn't what follows a value)."""
+    m = _BARE.match(text, at)
+    end = m.end() if m else at
+    if _BARE_END.match(text, end):
+        return end, end
+    if text.startswith(">", end) and text.endswith("--", at, end):
+        return end, end - 2
+    return end, max(0, text.rfind("*/", at, end))
+
+
 def verify(rule: str, expression: re.Pattern, text: str) -> Iterator[Found]:
+    run_end = value_end = until = begin = before = 0
     for m in expression.finditer(text):
         start, end = m.span("v")
-        value = m["v"]
+        if rule == "bare value":
+            if m.start() < until:
+                continue
+            if start >= run_end:  # a run is read once, however many names it holds
+                run_end, value_end = _bare_run(text, start)
+            words = None if value_end - start >= 8 else _BARE_WORDS.match(text, start)
+            if value_end - start < 8 and not words:
+                continue
+            until = end = words.end() if words else value_end
+            broken = text.rfind("\n", before, m.start())
+            begin, before = (broken + 1 if broken >= 0 else begin), m.start()
+        value = text[start:end]
         if rule == "private key":
             after = m["after"].replace("\\r", "").replace("\\n", "\n").strip("\"'` \t\r\n+,;\\#/*-")
             if after and not re.match(r"[A-Za-z0-9+/=]{16,}|Proc-Type|DEK-Info|Version:|Comment:", after):
                 continue
-            body = re.compile(r"(?:\\r|\\n|[A-Za-z0-9+/=\s:,\-\"'`#*])*?(?=-----END|\Z)").match(text, end)
+            body = _KEY_BODY.match(text, end)
             yield Found(start, rule, ((end, body.end()),) if body and body.end() > end else ())
         elif rule == "known key":
             if not _PLACEHOLDER.search(value) and not _PATTERN.match(text, end) and len(set(value)) > 8:
@@ -131,7 +174,10 @@ def verify(rule: str, expression: re.Pattern, text: str) -> Iterator[Found]:
                 yield Found(start, rule, ((start, end),))
         elif rule == "url login":
             if not _PLACEHOLDER.search(value) and not re.fullmatch(r"\$\w+|[a-z]+|[A-Z_]+|\d{1,5}|\{.*\}|%[sd]|\*+", value):
-                yield Found(m.start(), rule, ((start, end),))
+                yield Found(m.start(), rule, ((start, end),))  # on the line of the scheme before it
+        elif rule == "command login":
+            if re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and not _PLACEHOLDER.search(value) and not re.fullmatch(r"\$\w+|[a-z]+\d{0,2}", value):
+                yield Found(start, rule, ((start, end),))
         elif rule == "authorization":
             kind = text[m.start() : m.start() + 5]
             good = re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and not _PLACEHOLDER.search(value)
@@ -153,10 +199,8 @@ def verify(rule: str, expression: re.Pattern, text: str) -> Iterator[Found]:
             elif rule == "named value" and plausible(joined, m["name"]):
                 yield Found(spans[0][0], rule, spans)
         elif rule == "bare value":
-            line = text[text.rfind("\n", 0, m.start()) + 1 : start]
-            comment = re.match(r"\s*(?:#|//|--|\*|/\*|<!--|;|%)", line)
-            alone = re.match(r"\s*(?:export\s+|set\s+|-\s+)?[\"']?[\w.\-]+[\"']?\s*(?:=|:)\s*$", line)
-            if (comment or (alone and " " not in value)) and not re.search(r"\w+\.\w+\.\w+|[*+]\w", value) and plausible(value, m["name"], strict=True):
+            alone = " " not in value and _ALONE.fullmatch(text, begin, start)
+            if (alone or _COMMENT_LINE.match(text, begin, start)) and not re.search(r"\w\.\w++\.\w|[*+]\w", value) and plausible(value, m["name"], strict=True):
                 yield Found(start, rule, ((start, end),))
 
 
@@ -182,6 +226,17 @@ def scan(texts: list[str], index: TrigramIndex, expressions: dict[str, re.Patter
     return found
 
 
+def line_numbers(text: str, found: list[Found]) -> list[int]:
+    """The distinct lines, from 0, on which something is found; the text is gone through once."""
+    out, at, line = [], 0, 0
+    for start in sorted({f.start for f in found}):
+        line += text.count("\n", at, start)
+        at = start
+        if not out or out[-1] != line:
+            out.append(line)
+    return out
+
+
 def mask(text: str, found: list[Found]) -> str:
     """Every value's characters but line breaks become '*'; everything else stays where it was."""
     chars = list(text)
@@ -206,10 +261,9 @@ def _run(df: DataFrame, redact: bool) -> DataFrame:
                 for i, hits in scan(texts[first:last], index, expressions).items():
                     text = texts[first + i]
                     if redact:
-                        out.append((ids[first + i], len({text.count("\n", 0, h.start) for h in hits}), mask(text, hits)))
+                        out.append((ids[first + i], len(line_numbers(text, hits)), mask(text, hits)))
                     else:
-                        lines = {text.count("\n", 0, h.start) for h in hits}
-                        out += [(ids[first + i], starts[first + i] + line) for line in sorted(lines)]
+                        out += [(ids[first + i], starts[first + i] + line) for line in line_numbers(text, hits)]
                 first = last
                 cols = list(zip(*out)) if out else [()] * (3 if redact else 2)
                 kinds = [pa.string(), pa.int64(), pa.string()] if redact else [pa.string(), pa.int64()]

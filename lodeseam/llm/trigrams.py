@@ -70,7 +70,9 @@ def _literals(items) -> list[list[bytes]]:
                 close()
                 if low:
                     found += _literals(body)
-        elif op in (rc.AT, rc.ASSERT, rc.ASSERT_NOT):
+        elif op is rc.ASSERT:
+            found += _literals(arg[1])  # what an assertion sees stands in the text as well
+        elif op in (rc.AT, rc.ASSERT_NOT):
             continue
         else:
             close()
@@ -103,7 +105,7 @@ def _whole(items) -> list[bytes] | None:
         elif op is rc.BRANCH:
             parts = [_whole(x) for x in arg[1]]
             nxt = None if None in parts else [s for p in parts for s in p]
-        elif op in (rc.MAX_REPEAT, rc.MIN_REPEAT) and tuple(arg[:2]) == (0, 1):
+        elif op in (rc.MAX_REPEAT, rc.MIN_REPEAT, rc.POSSESSIVE_REPEAT) and tuple(arg[:2]) == (0, 1):
             nxt = _whole(arg[2])
             nxt = None if nxt is None else ["".encode(), *nxt]
         elif op is rc.AT:
