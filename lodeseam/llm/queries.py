@@ -114,13 +114,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.document_pairs(*spans.shared_spans(table(spark, sf_dir, "documents")))
+    return spans.document_pairs(spans.shared_spans(table(spark, sf_dir, "documents")))
 
 
 def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found, members = spans.shared_spans(docs)
-    return spans.shared_fraction(docs, materialize(found, "spans"), members)
+    return spans.shared_fraction(docs, spans.shared_spans(docs))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_redacted, p3_found, p3_kinds, p4_found, p4_topk, p5_found, p5_files, p5_rates, p6_found, p6_pieces, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_shared)}
