@@ -129,5 +129,5 @@ def spread(df: DataFrame, bytes_each: int = 64 << 20) -> DataFrame:
     """df over all cores where the optimizer's estimate of its size gives fewer partitions than cores (a small table
     before costly rows); large tables stay as they are. Nothing is run to find out."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * bytes_each else df
