@@ -12,22 +12,31 @@ keeps its size; the number of tables grows with the signs, so that the chance th
 stays the same whatever the collection's size. The tables are gone through a share at a time, so that the disk that their
 sorting takes doesn't grow with their number. Equal vectors are one class and hashed once.
 
-Top k of a stated query set: the queries, in blocks of bounded size, against every vector, windows widening per query
-until k are found within the window's radius.
+For a threshold the last radius decides which pairs collide, so the window of a vector widens, neighbour by neighbour,
+up to that radius at once; the radii between would only bring the same pairs earlier.
+
+Top k of a stated query set: blocks of queries lie in the shared folder, and one scan of the vectors holds each of its
+batches against every block. A batch is sorted once by each line; the windows of a query widen through the radii, counting
+only what each widening adds, until k vectors within the radius are found or the radius passes the k-th best already
+known; a query for which the last radius isn't enough is compared with the batch exactly.
 """
 
 from __future__ import annotations
 
+import functools
+import io
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, materialize, shared_dir, spread, tracked
 
 SEED = 20240601
 #: Steps of the stored projections per unit; a byte each.
@@ -38,12 +47,14 @@ class Plan(NamedTuple):
     dims: int = 64
     lines: int = 32  # projections counted
     collisions: int = 25  # of the lines, for a pair to be compared
-    tables: int = 24  # of cells, at least; also those that are sorted at once
+    tables: int = 24  # of cells, at least
+    at_once: int = 16  # tables that are sorted at once
     missed: float = 1e-3  # chance that a pair at the threshold shares no cell: sets the number of tables
-    cell: int = 24  # vectors in a cell on average
+    cell: int = 96  # vectors in a cell on average
     width: float = 2.0  # half a window, in units of the radius
     reach: float = 3.5  # of the window on the line that cells are sorted by: a pair missed there is missed in every table
     block: int = 2048  # queries at once
+    batch: int = 16384  # vectors sorted at once for them
 
 
 def usable(vectors: DataFrame, dims: int) -> DataFrame:
@@ -118,8 +129,9 @@ def hash_text(text: str) -> int:
 def count_pairs(cell: np.ndarray, p0: np.ndarray, ids: np.ndarray, values: np.ndarray, fresh: int, width: int, least: int, reach: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows sorted by (cell, p0) of one cell, within the window on the first line and colliding on at least
     `least` lines; the later row of a pair is at `fresh` or after it."""
-    n = len(cell)
+    n, half = len(cell), values.shape[1] // 2
     reach = width if reach is None else reach
+    may_miss = values.shape[1] - least
     first = np.arange(n)
     step = 1
     while len(first):
@@ -130,8 +142,11 @@ def count_pairs(cell: np.ndarray, p0: np.ndarray, ids: np.ndarray, values: np.nd
         new = second >= fresh
         for at in range(0, int(new.sum()), 200_000):
             a, b = first[new][at : at + 200_000], second[new][at : at + 200_000]
-            hits = (np.abs(values[a].astype(np.int16) - values[b]) <= width).sum(axis=1)
-            keep = hits >= least
+            # lines are counted in two halves; pairs that can't reach the threshold any more end after the first
+            missed = (np.abs(values[a, :half].astype(np.int16) - values[b, :half]) > width).sum(axis=1)
+            open_ = missed <= may_miss
+            a, b, missed = a[open_], b[open_], missed[open_]
+            keep = missed + (np.abs(values[a, half:].astype(np.int16) - values[b, half:]) > width).sum(axis=1) <= may_miss
             if keep.any():
                 yield ids[a[keep]], ids[b[keep]]
         step += 1
@@ -179,13 +194,13 @@ def similar_pairs(vectors: DataFrame, least_cosine: float = 0.9, plan: Plan = Pl
             near = (cell == cell[-1]) & (p0[-1] - p0 <= reach)
             held = [cell[near], p0[near], ids[near], values[near]]
 
-    reps = materialize(reps, "classes") if tables > plan.tables else reps
+    reps = materialize(reps, "classes") if tables > plan.at_once else reps
     pairs = None
-    for group in np.array_split(np.arange(tables), -(-tables // plan.tables)):
+    for group in np.array_split(np.arange(tables), -(-tables // plan.at_once)):
         sorted_ = placed(reps, plan, bits, int(group[0]), int(group[-1]) + 1).repartition("cell").sortWithinPartitions("cell", "p0")
         some = _written(sorted_.mapInArrow(count, "a long, b long").distinct(), "candidates")
         pairs = some if pairs is None else pairs.unionByName(some)
-    if tables > plan.tables:
+    if tables > plan.at_once:
         pairs = _written(pairs.distinct(), "candidates")
     needed = broadcast_if_small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed"))
     near = rows.join(needed, "id", "left_semi")
@@ -207,56 +222,131 @@ def expand(found: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, plan: Plan = Plan(collisions=24), radii: tuple[float, ...] = (0.45, 0.8, 1.1)) -> DataFrame:
+def write_blocks(asked: DataFrame, plan: Plan) -> tuple[str, list[tuple[str, str]]]:
+    """Queries (id, model, vector) in files of about plan.block of one model in the shared folder: (folder, (model, file))."""
+    spark = asked.sparkSession
+    folder = tracked(spark, f"{shared_dir(spark)}/lodeseam/queries-{uuid.uuid4().hex}")
+    files, path = fs.FileSystem.from_uri(folder)
+    files.create_dir(path, recursive=True)
+    sizes = asked.groupBy("model").agg(F.ceil(F.count("*") / plan.block).alias("parts"))
+    parted = asked.join(F.broadcast(sizes), "model").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))  # as many rows as models
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        model = str(rows["model"].iloc[0])
+        name = f"{hash_text(model)}-{rows['part'].iloc[0]}"
+        buffer = io.BytesIO()
+        np.savez(buffer, ids=rows["id"].to_numpy(np.int64), x=_unit(np.stack(rows["vector"].to_numpy())))
+        out, at = fs.FileSystem.from_uri(folder)
+        part = f"{at}/.{name}-{uuid.uuid4().hex}"
+        with out.open_output_stream(part) as f:
+            f.write(buffer.getvalue())
+        out.move(part, f"{at}/{name}")
+        return pd.DataFrame({"model": [model], "name": [name]})
+
+    made = parted.groupBy("model", "part").applyInPandas(write, "model string, name string")
+    return folder, [(r.model, r.name) for r in made.collect()]  # names, one for 2,048 queries
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+@functools.lru_cache(maxsize=8)
+def _block(folder: str, name: str, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, vectors, values on the lines) of a block of queries."""
+    files, path = fs.FileSystem.from_uri(folder)
+    with files.open_input_file(f"{path}/{name}") as f:
+        held = np.load(io.BytesIO(f.read()))
+    return held["ids"], held["x"], project(held["x"], plan)
+
+
+def search_block(ids: np.ndarray, x: np.ndarray, query: tuple[np.ndarray, np.ndarray, np.ndarray], best: tuple[np.ndarray, np.ndarray], k: int, radii: tuple[float, ...], plan: Plan) -> None:
+    """Bring `best` (ids and cosines, k of each query, best first) up to date with the vectors of a batch."""
+    qid, qx, qv = query
+    best_id, best_cos = best
+    v = project(x, plan)
+    order = np.argsort(v, axis=0, kind="stable")
+    ordered = np.take_along_axis(v, order, axis=0).astype(np.int16)
+    widths = [int(1.5 * r * STEPS) for r in radii]
+    lo = np.empty((len(radii), plan.lines, len(qid)), np.int64)
+    hi = np.empty_like(lo)
+    for j in range(plan.lines):
+        centre = qv[:, j].astype(np.int16)
+        for r, w in enumerate(widths):
+            lo[r, j] = np.searchsorted(ordered[:, j], centre - w, "left")
+            hi[r, j] = np.searchsorted(ordered[:, j], centre + w, "right")
+    exact = []
+
+    def take(i: int, at: np.ndarray, cosine: np.ndarray) -> None:
+        other = ids[at] != qid[i]
+        all_id, all_cos = np.concatenate([best_id[i], ids[at][other]]), np.concatenate([best_cos[i], cosine[other]])
+        first = np.lexsort((all_id, -all_cos))[:k]
+        best_id[i], best_cos[i] = all_id[first], all_cos[first]
+
+    for i in range(len(qid)):
+        count = np.zeros(len(ids), np.int32)
+        done = np.zeros(len(ids), bool)
+        a = b = lo[0, :, i]
+        for r, radius in enumerate(radii):
+            begin, end = lo[r, :, i], hi[r, :, i]
+            # what this widening adds on both sides of each window
+            ring = [order[begin[j] : a[j], j] for j in range(plan.lines)] + [order[b[j] : end[j], j] for j in range(plan.lines)]
+            count += np.bincount(np.concatenate(ring), minlength=len(ids)).astype(np.int32)
+            a, b = begin, end
+            at = np.flatnonzero((count >= plan.collisions) & ~done)
+            done[at] = True
+            take(i, at, x[at] @ qx[i])
+            if best_cos[i, -1] >= 1 - radius * radius / 2:
+                break
+        else:
+            exact.append(i)
+    for part in np.array_split(np.array(exact, np.int64), max(1, len(exact) // 256)):
+        cosine = qx[part] @ x.T
+        near = np.argpartition(-cosine, min(k, len(ids) - 1), axis=1)[:, : k + 1]
+        for i, row, at in zip(part.tolist(), cosine, near):
+            at = at[~np.isin(ids[at], best_id[i])]
+            take(i, at, row[at])
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, plan: Plan = Plan(collisions=24), radii: tuple[float, ...] = (0.3, 0.45, 0.63)) -> DataFrame:
     """(id, neighbour, cosine, rank): the k most similar other vectors of the same model for every query id.
 
-    queries: (id). Every query is held against every vector of the collection; windows widen through `radii` until k
-    vectors are found within the radius. Ties go by the lesser id. Unusable query vectors have no neighbours.
+    queries: (id). Every query is held against every vector of the collection, in one scan. Ties go by the lesser id; a
+    query with fewer than k others of its model gets those. Unusable query vectors have no neighbours.
     """
     rows = materialize(usable(vectors, plan.dims), "vectors")
-    asked = rows.join(queries.select("id").distinct(), "id", "left_semi")
-    blocks = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked.count() // plan.block)))))
-    blocks = blocks.groupBy("part", "model").agg(F.collect_list(F.struct("id", "vector")).alias("q"))  # at most about `block` queries
-    blocks = materialize(blocks, "blocks")
-
-    def search(batches: Iterator[pd.DataFrame], block: list, model: str) -> Iterator[pd.DataFrame]:
-        qid = np.array([q["id"] for q in block], np.int64)
-        qx = np.array([q["vector"] for q in block], np.float64)
-        qx = (qx / np.linalg.norm(qx, axis=1, keepdims=True)).astype(np.float32)
-        qv = project(qx, plan).astype(np.int16)
+    asked = rows.join(broadcast_if_small(queries.select("id").distinct()), "id", "left_semi")
+    folder, blocks = write_blocks(asked, plan)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, list] = {}
+
+        def flush(model: str) -> None:
+            ids = np.concatenate([i for i, _ in held[model]])
+            x = np.concatenate([v for _, v in held[model]])
+            held[model] = []
+            for name in [n for m, n in blocks if m == model]:
+                query = _block(folder, name, plan)
+                if name not in best:
+                    best[name] = (np.full((len(query[0]), k), np.iinfo(np.int64).max), np.full((len(query[0]), k), -2.0, np.float32))
+                search_block(ids, x, query, best[name], k, radii, plan)
+
         for batch in batches:
-            batch = batch[batch["model"] == model]
-            ids = batch["id"].to_numpy(np.int64)
-            if not len(ids):
-                continue
-            x = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-            v = project(x, plan)
-            out = []
-            for i in range(len(qid)):
-                apart = np.abs(v - qv[i])
-                done = np.zeros(len(ids), bool)
-                best_id, best = np.empty(0, np.int64), np.empty(0, np.float32)
-                for r in radii:
-                    hit = ((apart <= 1.5 * r * STEPS).sum(axis=1) >= plan.collisions) & ~done & (ids != qid[i])
-                    done |= hit
-                    at = np.flatnonzero(hit)
-                    best_id, best = np.concatenate([best_id, ids[at]]), np.concatenate([best, x[at] @ qx[i]])
-                    if (best >= 1 - r * r / 2).sum() >= k:
-                        break
-                order = np.lexsort((best_id, -best))[:k]
-                out.append(pd.DataFrame({"id": qid[i], "neighbour": best_id[order], "cosine": best[order].astype(np.float64)}))
-            if out:
-                yield pd.concat(out)
-
-    found = None
-    schema = "id long, neighbour long, cosine double"
-    for part in [r.part for r in blocks.select("part").distinct().collect()]:
-        for r in blocks.filter(F.col("part") == part).collect():  # one block at a time: bounded
-            shared = rows.sparkSession.sparkContext.broadcast((r.q, r.model))
-            one = rows.filter(F.col("model") == r.model).mapInPandas(lambda b, s=shared: search(b, *s.value), schema)
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], schema + ", rank int")
+            ids, models, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object), _matrix(batch.column(2), plan.dims)
+            for model in dict.fromkeys(models.tolist()):
+                mine = models == model
+                held.setdefault(model, []).append((ids[mine], x[mine]))
+                if sum(len(i) for i, _ in held[model]) >= plan.batch:
+                    flush(model)
+        for model in [m for m, parts in held.items() if parts]:
+            flush(model)
+        for name, (best_id, best_cos) in best.items():
+            known = best_cos > -1.5
+            asked_id = np.repeat(_block(folder, name, plan)[0], k).reshape(-1, k)
+            yield pa.record_batch([pa.array(asked_id[known]), pa.array(best_id[known]), pa.array(best_cos[known].astype(np.float64))], ["id", "neighbour", "cosine"])
+
+    found = spread(rows.select("id", "model", "vector")).mapInArrow(search, "id long, neighbour long, cosine double")
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
