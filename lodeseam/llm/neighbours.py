@@ -41,6 +41,8 @@ from ..session import broadcast_if_small, materialize, shared_dir, spread, track
 SEED = 20240601
 #: Steps of the stored projections per unit; a byte each.
 STEPS = 24
+#: What rounding to a byte a component may take from a cosine (nine standard deviations).
+ROUNDING = 0.01
 
 
 class Plan(NamedTuple):
@@ -48,9 +50,9 @@ class Plan(NamedTuple):
     lines: int = 32  # projections counted
     collisions: int = 25  # of the lines, for a pair to be compared
     tables: int = 24  # of cells, at least
-    at_once: int = 16  # tables that are sorted at once
+    at_once: int = 12  # tables that are sorted at once
     missed: float = 1e-3  # chance that a pair at the threshold shares no cell: sets the number of tables
-    cell: int = 96  # vectors in a cell on average
+    cell: int = 48  # vectors in a cell on average
     width: float = 2.0  # half a window, in units of the radius
     reach: float = 3.5  # of the window on the line that cells are sorted by: a pair missed there is missed in every table
     block: int = 2048  # queries at once
@@ -93,7 +95,7 @@ def tables_needed(bits: int, least_cosine: float, plan: Plan) -> int:
 
 
 def placed(reps: DataFrame, plan: Plan, bits: int, first: int = 0, last: int | None = None) -> DataFrame:
-    """(cell, p0, id, values) of every vector in the tables from `first` to before `last`."""
+    """(cell, p0, id, rounded) of every vector in the tables from `first` to before `last`; rounded: a byte a component."""
     numbers = np.arange(first, plan.tables if last is None else last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,20 +105,21 @@ def placed(reps: DataFrame, plan: Plan, bits: int, first: int = 0, last: int | N
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 x = _matrix(part.column(2), plan.dims)
-                values = project(x, plan)
+                p0 = project(x, plan)[:, 0].astype(np.int32)
+                rounded = np.rint(x * (127.0 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
                 signs = (x @ planes > 0).reshape(len(x), len(numbers), bits)
                 cell = (signs * weights).sum(axis=2, dtype=np.uint64)
                 salt = np.array([hash_text(m) for m in part.column(1).to_pylist()], np.uint64)[:, None]
                 with np.errstate(over="ignore"):
                     cell = (cell + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (salt + numbers.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
                     cell = (cell ^ (cell >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(plan.lines), len(x), [None, pa.py_buffer(values.tobytes())]).cast(pa.binary())
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(plan.dims), len(x), [None, pa.py_buffer(rounded.tobytes())]).cast(pa.binary())
                 take = pa.array(np.repeat(np.arange(len(x)), len(numbers)))
                 yield pa.record_batch(
-                    [pa.array(cell.reshape(-1).view(np.int64)), pa.array(np.repeat(values[:, 0].astype(np.int32), len(numbers))), part.column(0).take(take), raw.take(take)], ["cell", "p0", "id", "values"]
+                    [pa.array(cell.reshape(-1).view(np.int64)), pa.array(np.repeat(p0, len(numbers))), part.column(0).take(take), raw.take(take)], ["cell", "p0", "id", "rounded"]
                 )
 
-    return reps.select("id", "model", "vector").mapInArrow(run, "cell long, p0 int, id long, values binary")
+    return reps.select("id", "model", "vector").mapInArrow(run, "cell long, p0 int, id long, rounded binary")
 
 
 def hash_text(text: str) -> int:
@@ -126,9 +129,9 @@ def hash_text(text: str) -> int:
     return out
 
 
-def count_pairs(cell: np.ndarray, p0: np.ndarray, ids: np.ndarray, values: np.ndarray, fresh: int, width: int, least: int, reach: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows sorted by (cell, p0) of one cell, within the window on the first line and colliding on at least
-    `least` lines; the later row of a pair is at `fresh` or after it."""
+def count_pairs(cell: np.ndarray, p0: np.ndarray, values: np.ndarray, fresh: int, width: int, least: int, reach: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (their numbers) sorted by (cell, p0) of one cell, within the window on the first line and colliding
+    on at least `least` lines; the later row of a pair is at `fresh` or after it."""
     n, half = len(cell), values.shape[1] // 2
     reach = width if reach is None else reach
     may_miss = values.shape[1] - least
@@ -148,7 +151,7 @@ def count_pairs(cell: np.ndarray, p0: np.ndarray, ids: np.ndarray, values: np.nd
             a, b, missed = a[open_], b[open_], missed[open_]
             keep = missed + (np.abs(values[a, half:].astype(np.int16) - values[b, half:]) > width).sum(axis=1) <= may_miss
             if keep.any():
-                yield ids[a[keep]], ids[b[keep]]
+                yield a[keep], b[keep]
         step += 1
 
 
@@ -182,17 +185,21 @@ def similar_pairs(vectors: DataFrame, least_cosine: float = 0.9, plan: Plan = Pl
         held: list[np.ndarray] | None = None  # the rows of the last cell that a later row may still be near
         for batch in batches:
             cell, p0, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            values = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int8).reshape(-1, plan.lines)
+            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int8).reshape(-1, plan.dims).astype(np.float32)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
             fresh = 0
             if held is not None:
                 fresh = len(held[0])
-                cell, p0, ids, values = (np.concatenate(x) for x in zip(held, (cell, p0, ids, values)))
+                cell, p0, ids, x = (np.concatenate(parts) for parts in zip(held, (cell, p0, ids, x)))
             if not len(cell):
                 continue
-            for a, b in count_pairs(cell, p0, ids, values, fresh, width, plan.collisions, reach):
+            for a, b in count_pairs(cell, p0, project(x, plan), fresh, width, plan.collisions, reach):
+                # what collides often enough is held against the threshold on the rounded vectors, then on the vectors
+                alike = np.einsum("ij,ij->i", x[a], x[b]) >= least_cosine - ROUNDING
+                a, b = ids[a[alike]], ids[b[alike]]
                 yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
             near = (cell == cell[-1]) & (p0[-1] - p0 <= reach)
-            held = [cell[near], p0[near], ids[near], values[near]]
+            held = [cell[near], p0[near], ids[near], x[near]]
 
     reps = materialize(reps, "classes") if tables > plan.at_once else reps
     pairs = None
