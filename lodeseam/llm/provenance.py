@@ -1,11 +1,13 @@
 """Files that nobody wrote by hand: generated, minified or bundled, third-party copies, data saved as code.
 
-A character trigram model of identifiers is trained for every language on the identifiers of all current files (each
-file's distinct ones), and every file is described by it: the share of mangled names (short, or of high cross-entropy
-under the model), the diversity of its names and of the shapes of its lines, the distance of its naming style from the
-language's, and the share of its text that is literal data. Minified files have mangled names on dense lines, generated
-ones templates without diversity, data files nothing but literals. What a file says of itself (a generator's or
-vendor's mark in a comment at its head or foot) and what its path says is taken as evidence beside this.
+A character trigram model of identifiers is trained for every language on its distinct identifiers (so names that a
+thousand files repeat, and the few letters of minified ones, weigh no more than others), and every file is described by
+it: the share of mangled names (of high cross-entropy, whatever their length), the diversity of its names and of the
+shapes of its lines, its naming style, and the share of its text that is literal data. What is usual in a language is
+taken from these descriptions. Minified files have mangled names on dense lines, generated ones templates without
+diversity, vendored folders a naming style foreign to their repository and language, data files nothing but literals.
+What a file says of itself (a generator's or vendor's mark in the comments that open or close it) and what its path says
+is evidence beside this.
 """
 
 from __future__ import annotations
@@ -13,18 +15,22 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
+from typing import NamedTuple, get_type_hints
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .files import LANGUAGES, suffix
+from ..session import materialize
+from .files import suffix
 
 ALPHABET = "^$abcdefghijklmnopqrstuvwxyz0123456789_"
-CODE = [s for s in LANGUAGES if s not in ("json", "toml")]
+#: Suffixes of source code; each gets a model of its own.
+CODE = "py pyi js jsx mjs cjs ts tsx go java kt scala groovy c h cc cpp hpp cs rs rb php swift lua pl sql sh bash css scss".split()
+#: Of these, the ones whose files are lists of statements: lines of one shape are their nature, no template.
+LISTS = "sql sh bash css scss".split()
 _INDEX = {c: i for i, c in enumerate(ALPHABET)}
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
@@ -40,36 +46,37 @@ _GENERATED = re.compile(
     re.IGNORECASE,
 )
 _THIRD_PARTY = re.compile(
-    r"\bvendored (?:from|copy)|\bupstream copy|\bcopied (?:verbatim )?from https?:|\(c\) the [\w\-]+ (?:contributors|authors)|"
+    r"\bvendored (?:from|copy)|\bupstream copy|\bcopied (?:verbatim )?from https?:|"
     r"^\W*[\w\-]+ v?\d+\.\d+(?:\.\d+)?\b.*\blicen[sc]e|@preserve\b|@license\b",
     re.IGNORECASE | re.MULTILINE,
 )
 _MINIFIED = re.compile(r"^\W*sourceMappingURL=", re.MULTILINE)
 _DENIED = re.compile(
     r"no longer generated|not (?:auto-?)?generated|hand[- ](?:edited|written|maintained)|maintained by hand|generator .* (?:deleted|removed)|"
-    r"marked as generated|files? that (?:are|were) generated|the maintainers of this repository",
+    r"marked as generated|files? that (?:are|were) generated",
     re.IGNORECASE,
 )
-_VENDOR_PATH = re.compile(r"(?:^|/)(?:_?vendor|third_?party|3rdparty|node_modules|bower_components|site-packages|dist-packages)/[^/]+/.|(?:^|/)(?:external|bundled|deps)/[^/]*(?:lib|kit|core|ly|-js|js|-py|-go)/.", re.IGNORECASE)
+_LICENCE_VERSION = re.compile(r"\blicen[sc]e\b.*\bv?\d+\.\d+", re.IGNORECASE)
+_VENDOR_PATH = re.compile(r"(?:^|/)(?:_?vendor|vendored|third_?party|3rdparty|node_modules|bower_components|site-packages|dist-packages|externals?|bundled|deps)/[^/]+/.", re.IGNORECASE)
 _GENERATED_PATH = re.compile(r"(?:^|/)(?:gen|generated|autogen|__generated__|generated-sources)/", re.IGNORECASE)
 _GENERATED_NAME = re.compile(r"(?:\.g|\.pb|\.pb\.gw|_pb2|_pb2_grpc|_pb|_grpc_pb|\.generated|\.designer|_generated|\.gen)\.[A-Za-z]+$", re.IGNORECASE)
 _MINIFIED_NAME = re.compile(r"(?:[.\-]min|\.bundle|\.chunk|\.packed)\.[A-Za-z]+$", re.IGNORECASE)
 
 
 class Limits(NamedTuple):
-    """Thresholds; the first five are of what the names and shapes show, without any mark."""
+    """Thresholds of what names and shapes show, without any mark."""
 
-    mangled_share: float = 0.35  # of a file's distinct identifiers
-    mangled_bits: float = 4.5  # cross-entropy per character that makes a name mangled
+    mangled_bits: float = 3.5  # cross-entropy per character that makes a name mangled
+    mangled_share: float = 0.82  # of a file's distinct identifiers
     dense_line: float = 60.0  # mean characters per line of a minified file
     template_share: float = 0.88  # of the lines, in their three most frequent shapes
     data_share: float = 0.85  # of the characters, in literals
     name_diversity: float = 0.4  # of the names' first parts, as a share of what is usual in the language, in a template
     least_names: int = 20  # for that
-    least_lines: int = 12  # for templates
-    least_chars: int = 1500  # for data
-    head_lines: int = 10
-    foot_lines: int = 3
+    least_lines: int = 6  # for templates
+    least_chars: int = 400  # for data
+    foreign_style: float = 0.6  # distance of a folder's share of names with underscores from its repository's and language's
+    least_files: int = 3  # of a folder, for that
 
 
 def identifiers(text: str) -> list[str]:
@@ -102,45 +109,103 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (codes[at] * size + codes[at + 1]) * size + third[at], np.array([len(w) + 1 for w in plain], np.int64)
 
 
-def count_trigrams(files: DataFrame) -> DataFrame:
-    """(lang, gram int, n): trigrams of the distinct identifiers of every file; files: (repo_id, path, text, lang)."""
+def vocabulary(files: DataFrame) -> DataFrame:
+    """(lang, word): the distinct identifiers of each language; made distinct within a worker's batches before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, set[str]] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(lang, set()).update(identifiers(text or ""))
+            if sum(map(len, held.values())) > 500_000:
+                yield from _words(held)
+                held = {}
+        yield from _words(held)
+
+    return files.select("lang", "text").mapInArrow(run, "lang string, word string").distinct()
+
+
+def _words(held: dict[str, set[str]]) -> Iterator[pa.RecordBatch]:
+    for lang, words in held.items():
+        yield pa.record_batch([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string())], ["lang", "word"])
+
+
+def count_trigrams(words: DataFrame) -> DataFrame:
+    """(lang, gram int, n) of distinct identifiers (lang, word)."""
     size = len(ALPHABET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if words := identifiers(text or ""):
-                    table = counts.setdefault(lang, np.zeros(size**3, np.int64))
-                    np.add.at(table, grams(words)[0], 1)
+            langs = np.array(batch.column(0).to_pylist(), object)
+            names = np.array(batch.column(1).to_pylist(), object)
+            for lang in dict.fromkeys(langs.tolist()):
+                table = counts.setdefault(lang, np.zeros(size**3, np.int64))
+                np.add.at(table, grams(names[langs == lang].tolist())[0], 1)
         for lang, table in counts.items():
             seen = np.flatnonzero(table)
             yield pa.record_batch([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(table[seen])], ["lang", "gram", "n"])
 
-    return files.select("lang", "text").mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(files: DataFrame) -> dict[str, np.ndarray]:
-    """Bits of every trigram for each language: at most 59,319 counts a language reach the driver."""
-    size = len(ALPHABET)
-    counts = count_trigrams(files).toPandas()
+    """The count of every trigram in the identifiers of each language: at most 59,319 counts a language reach the driver."""
+    counts = count_trigrams(vocabulary(files)).toPandas()
     model = {}
     for lang, rows in counts.groupby("lang"):
-        table = np.full(size**3, 0.1)
-        table[rows["gram"].to_numpy()] += rows["n"].to_numpy()
-        table = table.reshape(size, size, size)
-        model[lang] = (-np.log2(table / table.sum(axis=2, keepdims=True))).reshape(-1).astype(np.float32)
+        model[lang] = np.zeros(len(ALPHABET) ** 3, np.float32)
+        model[lang][rows["gram"].to_numpy()] = rows["n"].to_numpy()
     return model
 
 
-def bits_per_char(words: list[str], bits: np.ndarray) -> np.ndarray:
+def bits_per_char(words: list[str], counts: np.ndarray) -> np.ndarray:
+    """The cross-entropy of each of a file's names under the model without these names, so that a file's own odd names
+    don't make themselves usual."""
+    size = len(ALPHABET)
     found, n = grams(words)
-    return np.add.reduceat(bits[found].astype(np.float64), np.concatenate([[0], np.cumsum(n)[:-1]])) / n
-
-
-def _comments(lines: list[str]) -> str:
-    """The lines that are comments as a whole, and docstrings that begin a line."""
-    return "\n".join(x.strip() for x in lines if re.match(r"\s*(?://|/\*|\*|#|--|<!--|\"\"\"|'''|;)", x))
+    seen, number, own = np.unique(found, return_inverse=True, return_counts=True)
+    context, place = np.unique(seen // size, return_inverse=True)
+    total = np.maximum(counts.reshape(-1, size)[context].sum(axis=1, dtype=np.float64) - np.bincount(place, weights=own), 0)
+    share = (np.maximum(counts[seen] - own, 0) + 0.1) / (total + 0.1 * size)[place]
+    return np.add.reduceat(-np.log2(share)[number], np.concatenate([[0], np.cumsum(n)[:-1]])) / n
+
+
+_COMMENT_LINE = re.compile(r"\s*(?://|/\*|\*|#|--|<!--|;)")
+_PREAMBLE = re.compile(r"\s*(?:package|import|from|use|using|require|include|const \w+ = require|logger\b|[\"']use strict)|\s*[)}\]];?\s*$|^\s*$")
+_DOC = re.compile(r"\s*[rbu]?(\"\"\"|\'\'\')")
+
+
+def _opening(lines: list[str]) -> list[str]:
+    """The comments, whole blocks and docstrings, in front of the first line that is neither these nor an import."""
+    out, closes = [], ""
+    for line in lines:
+        if closes:
+            out.append(line.strip())
+            closes = "" if closes in line else closes
+        elif (doc := _DOC.match(line)) or line.lstrip().startswith("/*"):
+            out.append(line.strip())
+            closes = doc[1] if doc else "*/"
+            if closes in line[line.index(closes if doc else "/*") + (3 if doc else 2) :]:
+                closes = ""
+        elif _COMMENT_LINE.match(line):
+            out.append(line.strip())
+        elif not _PREAMBLE.match(line):
+            break
+    return out
+
+
+def marks(text: str) -> str:
+    """What the comments that open and close a file say, however long they are."""
+    lines = text.split("\n")
+    foot = []
+    for line in reversed(lines):
+        if _COMMENT_LINE.match(line):
+            foot.append(line.strip())
+        elif line.strip():
+            break
+    head = _opening(lines)
+    return "\n".join(head + [x for x in reversed(foot) if x not in head])
 
 
 class Traits(NamedTuple):
@@ -154,15 +219,16 @@ class Traits(NamedTuple):
     lines: int
     chars: int
     names: int
+    styled: int  # names in either style
 
 
-def traits(text: str, bits: np.ndarray | None, limits: Limits = Limits()) -> Traits:
+def traits(text: str, counts: np.ndarray | None, limits: Limits = Limits()) -> Traits:
     lines = [x for x in text.split("\n") if x.strip()]
     if not lines:
-        return Traits(0, 0, 0, 0, 0, 0, 0, 0, len(text), 0)
+        return Traits(0, 0, 0, 0, 0, 0, 0, 0, len(text), 0, 0)
     words = identifiers(text)
-    per_char = bits_per_char(words, bits) if bits is not None and words else np.zeros(len(words))
-    mangled = sum((len(w) <= 3 and w.islower() and w not in _SHORT) or (len(w) <= 8 and b >= limits.mangled_bits) for w, b in zip(words, per_char))
+    per_char = bits_per_char(words, counts) if counts is not None and words else np.zeros(len(words))
+    mangled = int((per_char >= limits.mangled_bits).sum())
     snake = sum("_" in w.strip("_") and w.islower() for w in words)
     camel = sum(bool(re.match(r"[a-z]+[A-Z]", w)) for w in words)
     plain = _STRING.sub("w", text)
@@ -180,67 +246,100 @@ def traits(text: str, bits: np.ndarray | None, limits: Limits = Limits()) -> Tra
         len(lines),
         len(text),
         len(words),
+        snake + camel,
     )
 
 
-#: Short names and keywords that people write.
-_SHORT = frozenset("if for in is or as do of def let var int new try not and row key err ctx end get set map max min len str nil url log add put app req res now out err ids idx msg def del use pub fn i j k x y n e f t r".split())
+class Evidence(NamedTuple):
+    """What path and comments say."""
 
+    third_party: bool
+    licence_version: bool
+    minified: bool
+    generated: bool
+    denied: bool
 
-#: The name diversity of the median hand-written file of each language on sf0.1.
-USUAL = {"py": 0.983, "js": 0.986, "ts": 0.975, "go": 0.977, "java": 0.984}
 
+def evidence(path: str, text: str) -> Evidence:
+    told = marks(text)
+    kept = "\n".join(x for x in told.split("\n") if not _DENIED.search(x))
+    last = text.rstrip().rsplit("\n", 1)[-1]
+    return Evidence(
+        bool(_VENDOR_PATH.search(path) or _THIRD_PARTY.search(kept)),
+        bool(_LICENCE_VERSION.search(kept)),
+        bool(_MINIFIED_NAME.search(path) or _MINIFIED.search(last)),
+        bool(_GENERATED_PATH.search(path) or _GENERATED_NAME.search(path) or _GENERATED.search(kept)),
+        bool(_DENIED.search(told)),
+    )
 
-def judge(path: str, text: str, bits: np.ndarray | None, norm: float | None = None, limits: Limits = Limits(), usual: float | None = None) -> tuple[str | None, Traits]:
-    """(kind or None for hand-written, traits). norm: the language's share of snake_case names; usual: its diversity of
-    names."""
-    lines = text.split("\n")
-    while lines and not lines[-1].strip():
-        lines.pop()
-    head = _comments(lines[: limits.head_lines])
-    foot = _comments(lines[-limits.foot_lines :]) if len(lines) > limits.head_lines else ""
-    told = "\n".join(x for x in f"{head}\n{foot}".split("\n") if not _DENIED.search(x))
-    denied = bool(_DENIED.search(f"{head}\n{foot}")) and "the maintainers of this repository" not in head
-    t = traits(text, bits, limits)
-    minified = bits is not None and t.mangled_share >= limits.mangled_share and t.mean_line >= limits.dense_line
-    template = t.template_share >= limits.template_share and t.lines >= limits.least_lines
-    template |= usual is not None and t.names >= limits.least_names and t.lines >= limits.least_lines and t.name_diversity <= limits.name_diversity * usual
-    data = t.data_share >= limits.data_share and t.chars >= limits.least_chars
-    foreign = norm is not None and abs(t.snake_share - norm) > 0.6
-    if _VENDOR_PATH.search(path) or _THIRD_PARTY.search(told) or (foreign and re.search(r"(?i)\blicen[sc]e\b.*\bv?\d+\.\d+", told)):
-        return "vendored", t
-    if minified or _MINIFIED_NAME.search(path) or _MINIFIED.search("\n".join(lines[-1:])):
-        return "minified", t
-    if _GENERATED_PATH.search(path) or _GENERATED_NAME.search(path) or _GENERATED.search(told):
-        return "generated", t
-    if bits is not None and data and not denied:
-        return "data", t
-    if bits is not None and template and not denied:
-        return "generated", t
-    return None, t
 
+_TYPES = {"float": "double", "int": "long", "bool": "boolean"}
 
-def find(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(repo_id, path, kind, mangled_share, mean_bits, template_share, data_share) of the files not written by hand.
 
-    files: (repo_id, path, text). Empty and blank texts are judged by their path alone; an empty table gives an empty
-    result. Files in languages without a model (data, documents, scripts) are judged by marks and path alone.
-    """
+def describe(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(repo_id, path, lang, folder, traits, evidence) of files (repo_id, path, text); no text in the result."""
     tagged = files.withColumn("lang", suffix())
-    code = tagged.filter(F.col("lang").isin(CODE))
-    model = train(code)
-    shared = files.sparkSession.sparkContext.broadcast(model)  # bounded: languages times 59,319 numbers of 4 bytes
-    columns = ["repo_id", "path", "kind", "mangled_share", "mean_bits", "template_share", "data_share"]
+    model = train(tagged.filter(F.col("lang").isin(CODE)))
+    shared = files.sparkSession.sparkContext.broadcast(model)  # bounded: suffixes of CODE times 59,319 numbers of 4 bytes
+    columns = ["repo_id", "path", "lang", *Traits._fields, *Evidence._fields]
+    types = {k: _TYPES[v.__name__] for k, v in {**get_type_hints(Traits), **get_type_hints(Evidence)}.items()}
+    schema = "repo_id string, path string, lang string, " + ", ".join(f"{k} {types[k]}" for k in columns[3:])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
-        norms = {"py": 1.0, "js": 0.0, "ts": 0.0, "go": 0.0, "java": 0.0}
+        model = shared.value
         for batch in batches:
             out = []
             for repo, path, text, lang in batch[["repo_id", "path", "text", "lang"]].itertuples(index=False):
-                kind, t = judge(path, text or "", bits.get(lang), norms.get(lang), limits, USUAL.get(lang))
-                if kind:
-                    out.append((repo, path, kind, t.mangled_share, t.mean_bits, t.template_share, t.data_share))
+                out.append((repo, path, lang, *traits(text or "", model.get(lang), limits), *evidence(path, text or "")))
             yield pd.DataFrame(out, columns=columns)
 
-    return tagged.select("repo_id", "path", "text", "lang").mapInPandas(run, "repo_id string, path string, kind string, mangled_share double, mean_bits double, template_share double, data_share double")
+    made = tagged.select("repo_id", "path", "text", "lang").mapInPandas(run, schema)
+    return made.withColumn("folder", F.regexp_replace("path", "[^/]*$", ""))
+
+
+def styles(described: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(repo_id, folder, lang) of folders whose naming style is neither their repository's nor their language's: the share
+    of names with underscores among names in either style, of all files there against those elsewhere."""
+    named = described.filter(F.col("lang").isin(CODE) & (F.col("styled") > 0)).withColumn("snakes", F.col("snake_share") * (F.col("styled") + 1))
+    total = lambda *keys: [F.sum("snakes").alias(f"snakes_{len(keys)}"), F.sum("styled").alias(f"styled_{len(keys)}")]
+    folders = named.groupBy("repo_id", "folder", "lang").agg(F.count("*").alias("files"), *total(1, 2, 3))
+    repos = folders.groupBy("repo_id", "lang").agg(F.sum("snakes_3").alias("snakes_2"), F.sum("styled_3").alias("styled_2"))
+    langs = repos.groupBy("lang").agg(F.sum("snakes_2").alias("snakes_1"), F.sum("styled_2").alias("styled_1"))
+    both = folders.join(repos, ["repo_id", "lang"]).join(F.broadcast(langs), "lang")  # a row for each suffix of CODE
+    own = F.col("snakes_3") / F.col("styled_3")
+    elsewhere = lambda n: F.try_divide(F.col(f"snakes_{n}") - F.col("snakes_3"), F.col(f"styled_{n}") - F.col("styled_3"))
+    far = lambda n: F.coalesce(F.abs(own - elsewhere(n)) > limits.foreign_style, F.lit(False))
+    return both.filter((F.col("files") >= limits.least_files) & far(2) & far(1)).select("repo_id", "folder", "lang")
+
+
+def verdict(limits: Limits = Limits()) -> Column:
+    """The kind of a described file, null for hand-written: marks first, then what names and shapes show."""
+    code = F.col("lang").isin(CODE)
+    uniform = (F.col("names") >= limits.least_names) & (F.col("name_diversity") <= limits.name_diversity * F.col("usual_diversity"))
+    mangled = (F.col("mangled_share") >= limits.mangled_share) | F.coalesce(uniform, F.lit(False))
+    minified = code & mangled & (F.col("mean_line") >= limits.dense_line)
+    shaped = ~F.col("lang").isin(LISTS) & (F.col("template_share") >= limits.template_share)
+    template = code & (F.col("lines") >= limits.least_lines) & (shaped | F.coalesce(uniform, F.lit(False)))
+    data = code & (F.col("data_share") >= limits.data_share) & (F.col("chars") >= limits.least_chars)
+    foreign = F.coalesce("foreign", F.lit(False))
+    return (
+        F.when(F.col("third_party") | foreign, "vendored")
+        .when(minified | F.col("minified"), "minified")
+        .when(F.col("generated"), "generated")
+        .when(data & ~F.col("denied"), "data")
+        .when(template & ~F.col("denied"), "generated")
+    )
+
+
+def find(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(repo_id, path, kind, mangled_share, mean_bits, name_diversity, template_share, data_share) of the files not
+    written by hand.
+
+    files: (repo_id, path, text). Empty and blank texts are judged by their path alone; an empty table gives an empty
+    result. Files that aren't source code (data, documents) are judged by marks and path alone.
+    """
+    described = materialize(describe(files, limits), "described")
+    usual = described.filter(F.col("names") >= 5).groupBy("lang").agg(F.percentile_approx("name_diversity", 0.5).alias("usual_diversity"))
+    rows = described.join(F.broadcast(usual.filter(F.col("lang").isin(CODE))), "lang", "left")  # a row for each suffix of CODE
+    rows = rows.join(styles(described, limits).withColumn("foreign", F.lit(True)), ["repo_id", "folder", "lang"], "left").withColumn("kind", verdict(limits))
+    return rows.filter("kind is not null").select("repo_id", "path", "kind", "mangled_share", "mean_bits", "name_diversity", "template_share", "data_share")
