@@ -1,22 +1,25 @@
 """Processing only new or changed records: processed sequence numbers kept as disjoint intervals.
 
-Every record has a key and, within it, a sequence number. What was processed is a table of disjoint intervals per key;
-what is to be done is the available ranges minus those, gaps of late records included. A run processes the gaps, writes
-its output and the merged intervals into folders of its own, and commits both at once by one rename of a manifest. A run
-that fails leaves nothing that counts, and the next one finds the same gaps.
+Every record has a key and, within it, a sequence number, its own or one that the ledger gives it when it is first seen
+and keeps. What was processed is a table of disjoint intervals per key; what is to be done is the available ranges minus
+those, gaps of late records included. A run processes the gaps, writes its output, the numbers it gave and the merged
+intervals into a folder of its own, and commits all at once by one manifest. A run that fails leaves nothing that counts,
+and the next one finds the same gaps.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Records of one sequence: a large repository has several, so no window sees more.
-BLOCK_ROWS = 10_000
+from ..session import shared_dir, tracked
+from .manifest import Manifest
+
+#: Sequences of one repository: its files are spread over them by their path, so that no window sees them all.
+BLOCKS = 64
 
 
 def intervals(numbers: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +52,15 @@ def subtract(available: DataFrame, processed: DataFrame, keys: list[str]) -> Dat
     return merge(pieces, keys)
 
 
+def join_null_safe(a: DataFrame, b: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """a joined with b where the columns are equal or both null; the columns of b but those are added."""
+    other = b.select([F.col(c).alias(f"_of_{c}" if c in columns else c) for c in b.columns])
+    on = F.lit(True)
+    for c in columns:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return a.join(other, on, how).drop(*[f"_of_{c}" for c in columns])
+
+
 def expand(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, seq): every number of the intervals."""
     return ranges.select(*keys, F.explode(F.sequence("lo", "hi")).alias("seq"))
@@ -80,85 +92,87 @@ def indexed_state(indexed_files: DataFrame) -> DataFrame:
     return rows.groupBy("repo_id", "path").agg(newest.alias("indexed_hash"))
 
 
-def numbered(files: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """files with (block, seq): numbers within blocks of a repository, as many blocks as keep them near block_rows."""
-    sizes = files.groupBy("repo_id").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
-    spread = files.join(sizes, "repo_id").withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int")).drop("blocks")
-    return spread.withColumn("seq", F.row_number().over(Window.partitionBy("repo_id", "block").orderBy("path")).cast("long"))
+def file_records(files: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """(repo_id, block, path, hash) of file versions (repo_id, path, hash)."""
+    return files.select("repo_id", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int").alias("block"), "path", "hash")
 
 
-def pending_files(tree_files: DataFrame, indexed_files: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pending_files(tree_files: DataFrame, indexed_files: DataFrame, blocks: int = BLOCKS, ledger: Ledger | None = None) -> DataFrame:
     """(repo_id, path) of the head files still to be processed: those whose hash isn't that of their newest index row.
 
-    The numbers of a block's head files are its available range, those of files in their indexed state the processed
-    intervals; the gaps between are expanded to files again. A head hash that is null is pending. Empty tables give an
-    empty result.
+    The index's newest rows are what earlier runs have processed: the ledger (a new one in the shared folder if none is
+    given) numbers and commits them first. Then the head's files are its records: those it knows keep their numbers,
+    others, however late their commit arrived, get new ones, and the gaps that the committed intervals leave are run and
+    committed with their output. A head hash that is null is pending. Empty tables give an empty result.
     """
-    keys = ["repo_id", "block"]
-    files = numbered(head_files(tree_files), block_rows)
-    state = indexed_state(indexed_files)
-    available = files.groupBy(*keys).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    done = files.join(state, ["repo_id", "path"]).filter(F.col("hash") == F.col("indexed_hash"))
-    gaps = subtract(available, intervals(done, keys), keys)
-    return files.join(expand(gaps, keys), [*keys, "seq"]).select("repo_id", "path")
+    spark = tree_files.sparkSession
+    ledger = ledger or Ledger(spark, tracked(spark, f"{shared_dir(spark)}/lodeseam/ledger-{uuid.uuid4().hex}"), ["repo_id", "block"], ["path", "hash"])
+    state = indexed_state(indexed_files).withColumnRenamed("indexed_hash", "hash").filter("hash is not null")
+    pick = lambda df: df.select("repo_id", "path")
+    ledger.run(file_records(state, blocks), lambda df: pick(df).limit(0))
+    number = ledger.run(file_records(head_files(tree_files), blocks), pick)
+    return ledger.output_of(number)
 
 
 class Ledger:
-    """Durable intervals and outputs under one folder of the shared file system.
+    """Durable numbers, intervals and outputs under one folder of the shared file system.
 
-    commit-N.json names the run whose intervals hold and all runs whose output counts; it appears by a rename, which
-    fails if another run has committed N in the meantime.
+    keys: the columns of a sequence. identity: the columns that name a record in it, if the ledger is to number records
+    itself; a record processed once stays processed, so identity must tell versions apart that are to be run again.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str]) -> None:
-        self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.folder))
-
-    def _commits(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        return sorted(int(n[7:-5]) for n in names if n.startswith("commit-") and n.endswith(".json"))
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], identity: list[str] | None = None) -> None:
+        self.spark, self.folder, self.keys, self.identity = spark, folder.rstrip("/"), keys, identity or []
+        self.manifest = Manifest(spark, self.folder)
 
     def state(self) -> dict:
-        commits = self._commits()
-        if not commits:
-            return {"number": 0, "runs": [], "intervals": None}
-        row = self.spark.read.text(f"{self.folder}/commit-{commits[-1]}.json", wholetext=True).first()
-        return json.loads(row.value)
+        return {"runs": [], "numbers": [], "intervals": None, **self.manifest.current()}
 
     def processed(self, like: DataFrame) -> DataFrame:
         """(keys, lo, hi) of all committed runs; `like` gives the types of the keys."""
         run = self.state()["intervals"]
         if run is None:
-            return like.select(*self.keys, F.col("seq").alias("lo"), F.col("seq").alias("hi")).limit(0)
+            return like.select(*self.keys, F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi")).limit(0)
         return self.spark.read.parquet(f"{self.folder}/{run}/intervals")
 
     def output(self) -> DataFrame | None:
         runs = self.state()["runs"]
         return self.spark.read.parquet(*[f"{self.folder}/{r}/output" for r in runs]) if runs else None
 
+    def output_of(self, number: int) -> DataFrame:
+        """The output that commit `number` added."""
+        return self.spark.read.parquet(f"{self.folder}/{self.state()['runs'][number - 1]}/output")
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _numbers(self, records: DataFrame, before: dict, run: str) -> DataFrame:
+        """(keys, identity, seq) of all records ever seen; those first seen now come after the last of their sequence."""
+        seen = records.select(*self.keys, *self.identity).distinct()
+        if not before["numbers"]:
+            known = seen.withColumn("seq", F.lit(0).cast("long")).limit(0)
+        else:
+            known = self.spark.read.parquet(*[f"{self.folder}/{r}/numbers" for r in before["numbers"]])
+        tops = known.groupBy(*self.keys).agg(F.max("seq").alias("top"))
+        fresh = join_null_safe(seen, known.drop("seq"), [*self.keys, *self.identity], "left_anti")
+        order = Window.partitionBy(*self.keys).orderBy(*self.identity)
+        placed = join_null_safe(fresh.withColumn("_place", F.row_number().over(order)), tops, self.keys, "left")
+        new = placed.select(*self.keys, *self.identity, (F.coalesce("top", F.lit(0)) + F.col("_place")).cast("long").alias("seq"))
+        return known.unionByName(self._written(new, f"{self.folder}/{run}/numbers"))
+
     def run(self, records: DataFrame, process: Callable[[DataFrame], DataFrame]) -> int:
-        """Process the records (keys, seq, ...) whose numbers aren't yet covered; returns the number of the commit."""
+        """Process the records (keys, seq or identity, ...) that aren't yet covered; returns the number of the commit."""
         before = self.state()
         name = f"run-{uuid.uuid4().hex}"
+        if self.identity:
+            numbers = self._numbers(records, before, name)
+            records = join_null_safe(records.drop("seq"), numbers, [*self.keys, *self.identity], "inner")
         done = self.processed(records)
-        gaps = subtract(records.select(*self.keys, F.col("seq").alias("lo"), F.col("seq").alias("hi")), done, self.keys)
-        gaps.write.parquet(f"{self.folder}/{name}/gaps")
-        gaps = self.spark.read.schema(gaps.schema).parquet(f"{self.folder}/{name}/gaps")
-        on = F.lit(True)
-        for k in self.keys:
-            on = on & records[k].eqNullSafe(gaps[k])
-        fresh = records.join(gaps, on & records["seq"].between(gaps["lo"], gaps["hi"]), "left_semi").dropDuplicates([*self.keys, "seq"])
+        gaps = subtract(intervals(records, self.keys), done, self.keys)
+        gaps = self._written(gaps, f"{self.folder}/{name}/gaps")
+        fresh = join_null_safe(records, expand(gaps, self.keys), [*self.keys, "seq"], "left_semi").dropDuplicates([*self.keys, "seq"])
         process(fresh).write.parquet(f"{self.folder}/{name}/output")
         merge(done.unionByName(gaps), self.keys).write.parquet(f"{self.folder}/{name}/intervals")
-        number = before["number"] + 1
-        manifest = {"number": number, "runs": [*before["runs"], name], "intervals": name}
-        part = self._path(f"{self.folder}/.{name}.json")
-        stream = self._fs.create(part)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        final = self._path(f"{self.folder}/commit-{number}.json")
-        if self._fs.exists(final) or not self._fs.rename(part, final):
-            raise RuntimeError(f"another run has committed {number}")
-        return number
+        after = {"runs": [*before["runs"], name], "numbers": [*before["numbers"], *([name] if self.identity else [])], "intervals": name}
+        return self.manifest.commit(before, after)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text, vectors
 from ..operators import chunker, evaluate, incremental, maintenance, retrieval, usage
-from ..session import materialize, spread, table
+from ..session import materialize, shared_dir, spread, table, tracked
 from ..sources.jsonl import parse_lines
 from . import sql
 
@@ -396,8 +397,11 @@ def p7_found(spark, sf):
 
 @query
 def p7_intervals(spark, sf):
-    files = incremental.numbered(incremental.head_files(table(spark, sf, "tree_files"))).join(incremental.indexed_state(table(spark, sf, "indexed_files")), ["repo_id", "path"])
-    return incremental.intervals(files.filter("hash = indexed_hash"), ["repo_id", "block"])
+    """What is committed as processed once the pending files are run: every head file is covered."""
+    folder = tracked(spark, f"{shared_dir(spark)}/lodeseam/ledger-{uuid.uuid4().hex}")
+    ledger = incremental.Ledger(spark, folder, ["repo_id", "block"], ["path", "hash"])
+    incremental.pending_files(table(spark, sf, "tree_files"), table(spark, sf, "indexed_files"), ledger=ledger)
+    return ledger.processed(table(spark, sf, "tree_files"))
 
 
 # -- evaluation and usage ----------------------------------------------------------------------------------------------
@@ -480,9 +484,6 @@ def jsonl_bad_lines(spark, sf):
 
 @query
 def stream_ingest(spark, sf):
-    import uuid
-
-    from ..session import shared_dir
     from ..streaming.ingest import write_log
 
     folder = f"{shared_dir(spark)}/lodeseam/stream-{uuid.uuid4().hex}"

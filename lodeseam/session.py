@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -65,17 +66,37 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def create_file(spark: SparkSession, path: str, data: bytes) -> bool:
-    """Write a file that isn't there yet, by one exclusive creation; False if it is there already."""
+    """Write a file that isn't there yet, whole and at once; False if it is there already. Of several that try, one wins.
+
+    The data go into a file of their own, which then takes the name only if it is free: by a link on a local disk, by a
+    rename that doesn't overwrite elsewhere (atomic on HDFS and its like).
+    """
     files, target = _hadoop(spark, path)
+    part = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+    out = files.create(_hadoop(spark, part)[1])
+    out.write(bytearray(data))
+    out.close()
     try:
-        out = files.create(target, False)
-    except Exception as e:
+        if files.getScheme() == "file":
+            os.link(_local(part), _local(path))
+            return True
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        none[0] = hadoop.Options.Rename.NONE
+        hadoop.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(_hadoop(spark, part)[1], target, none)
+        return True
+    except FileExistsError:
+        return False
+    except Exception:
         if files.exists(target):
             return False
-        raise e
-    out.write(bytearray(data))
-    out.close()
-    return True
+        raise
+    finally:
+        _delete(spark, part)
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
 
 
 def read_file(spark: SparkSession, path: str) -> bytes | None:

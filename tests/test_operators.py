@@ -132,6 +132,59 @@ def test_ledger_survives_failures(spark, tmp_path):
     assert sorted((r.repo, r.lo, r.hi) for r in ledger.processed(first).collect()) == [("a", 1, 3), ("a", 5, 6), ("b", 1, 1)]
 
 
+def test_ledger_numbers_stay(spark, tmp_path):
+    ledger = incremental.Ledger(spark, f"file://{tmp_path}/ledger", ["repo"], ["path", "hash"])
+    records = lambda *rows: spark.createDataFrame(list(rows), "repo string, path string, hash string, extra int")
+    first = records(("a", "x", "1", 7), ("a", "y", None, 8), ("a", "x", "1", 9), (None, "x", "1", 1))
+    assert ledger.run(first, lambda df: df) == 1
+    numbers = lambda: {(r.repo, r.path, r.hash): r.seq for r in spark.read.parquet(*[f"{ledger.folder}/{n}/numbers" for n in ledger.state()["numbers"]]).collect()}
+    before = numbers()
+    assert sorted(before.values()) == [1, 1, 2]
+    # a record that sorts in front of all others and a new version
+    assert ledger.run(first.unionByName(records(("a", "a", "0", 1), ("a", "x", "2", 1))), lambda df: df) == 2
+    after = numbers()
+    assert all(after[k] == v for k, v in before.items()) and sorted(v for k, v in after.items() if k[0] == "a") == [1, 2, 3, 4]
+    assert {(r.path, r.hash) for r in ledger.output_of(2).collect()} == {("a", "0"), ("x", "2")}
+    assert ledger.output().count() == 5
+
+
+def test_ledger_of_two_runs_one_commits(spark, tmp_path):
+    one, two = (incremental.Ledger(spark, f"file://{tmp_path}/ledger", ["repo"]) for _ in range(2))
+    records = spark.createDataFrame([("a", 1), ("a", 2)], "repo string, seq long")
+
+    def meanwhile(df):
+        two.run(records, lambda x: x)
+        return df
+
+    with pytest.raises(RuntimeError, match="another run"):
+        one.run(records, meanwhile)
+    assert one.output().count() == 2 and one.state()["number"] == 1
+
+
+def test_ledger_crash_before_the_commit(spark, tmp_path, monkeypatch):
+    ledger = incremental.Ledger(spark, f"file://{tmp_path}/ledger", ["repo"], ["path"])
+    records = spark.createDataFrame([("a", "x"), ("a", "y")], "repo string, path string")
+    with monkeypatch.context() as m:
+        m.setattr(ledger.manifest, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            ledger.run(records, lambda df: df)
+    assert ledger.output() is None  # written, but it counts for nothing
+    assert ledger.run(records, lambda df: df) == 1 and ledger.output().count() == 2
+
+
+def test_created_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lodeseam.session import create_file, read_file
+
+    path = f"file://{tmp_path}/commit-1.json"
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: create_file(spark, path, str(i).encode()), range(8)))
+    assert won.count(True) == 1 and read_file(spark, path) == str(won.index(True)).encode()
+    assert read_file(spark, f"{tmp_path}/none") is None
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
 TREE = "repo_id string, path string, commit_sha string, content_hash string, committed_at string, arrived_at string"
 STATE = "repo_id string, path string, content_hash string, indexed_at string"
 
@@ -139,7 +192,7 @@ STATE = "repo_id string, path string, content_hash string, indexed_at string"
 def test_pending_files(spark):
     tree = [("r", "same", "c2", "AB", "2", "2"), ("r", "changed", "c2", "cd", "2", "2"), ("r", "new", "c2", "ef", "2", "2"), ("r", "old", "c1", "00", "1", "9"), ("r", "nullstate", "c2", "11", "2", "2"), ("r", "emptystate", "c2", "12", "2", "2"), ("r", "same", "c2", "AB", "2", "2"), ("s", "only", "d1", None, "1", "1"), (None, "x", "c", "1", "1", "1"), ("r", None, "c2", "1", "2", "2")]
     state = [("r", "same", "xx", "1"), ("r", "same", "sha256:ab", "2"), ("r", "changed", "CD", "1"), ("r", "changed", "zz", "2"), ("r", "nullstate", "11", "1"), ("r", "nullstate", None, "2"), ("r", "emptystate", "", "2"), ("r", "gone", "1", "1"), ("s", "only", None, "1")]
-    got = {(r.repo_id, r.path) for r in incremental.pending_files(spark.createDataFrame(tree, TREE), spark.createDataFrame(state, STATE), block_rows=2).collect()}
+    got = {(r.repo_id, r.path) for r in incremental.pending_files(spark.createDataFrame(tree, TREE), spark.createDataFrame(state, STATE), blocks=2).collect()}
     assert got == {("r", "changed"), ("r", "new"), ("r", "nullstate"), ("r", "emptystate"), ("s", "only")}
     empty = spark.createDataFrame([], TREE), spark.createDataFrame([], STATE)
     assert incremental.pending_files(*empty).count() == 0
