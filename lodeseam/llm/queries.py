@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, table
+from ..session import materialize, shared_dir, table, tracked
 from . import mixing, neighbours, provenance, rankwalk, secrets, spans, splitting, syntax, tokens
 from .files import LANGUAGES, current_files
 
@@ -80,6 +82,15 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", "path", "piece_no", "start_byte", "end_byte", (base + F.col("first_line")).alias("start_line"), (base + F.col("last_line")).alias("end_line"), "boundary", F.col("text").alias("content"))
 
 
+def p6_file_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All contents as text files in the shared folder, each split by ranges: no worker reads more of a file than its own."""
+    folder = tracked(spark, f"{shared_dir(spark)}/lodeseam/texts-{uuid.uuid4().hex}")
+    table(spark, sf_dir, "chunks").filter("content is not null").select("content").write.text(folder)
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path")  # names only: contents aren't read
+    pieces = splitting.split_files(paths)
+    return pieces.select(F.regexp_extract("id", "part-[0-9]+", 0).alias("file"), "piece_no", "start_byte", "end_byte", "first_line", "last_line", "boundary", F.octet_length("text").alias("n_bytes"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).select("chunk_id").distinct()
 
@@ -122,7 +133,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_fraction(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_redacted, p3_found, p3_kinds, p4_found, p4_topk, p5_found, p5_files, p5_rates, p6_found, p6_pieces, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_redacted, p3_found, p3_kinds, p4_found, p4_topk, p5_found, p5_files, p5_rates, p6_found, p6_pieces, p6_file_pieces, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_shared)}
 ORACLES: dict[str, str] = {
     "p4_found": "WITH u AS (SELECT DISTINCT chunk_rowid, embedding_model, CASE WHEN len(embedding) = 64 AND list_count(embedding) = 64 THEN embedding END AS e FROM chunks WHERE embedding_model IS NOT NULL), v AS (SELECT chunk_rowid, embedding_model, e, sqrt(list_dot_product(e, e)) AS n FROM u WHERE e IS NOT NULL), w AS MATERIALIZED (SELECT * FROM v WHERE n > 0) SELECT a.chunk_rowid AS rowid_a, b.chunk_rowid AS rowid_b FROM w a JOIN w b ON a.embedding_model = b.embedding_model AND a.chunk_rowid < b.chunk_rowid WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9",
     "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE strlen(content) > 6000",
