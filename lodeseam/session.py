@@ -146,6 +146,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """df shuffled by the keys into a stated number of partitions, several for each core: work in Python on what follows
+    isn't packed into a few tasks because its rows are small."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def spread(df: DataFrame, bytes_each: int = 64 << 20) -> DataFrame:
     """df over all cores where the optimizer's estimate of its size gives fewer partitions than cores (a small table
     before costly rows); large tables stay as they are. Nothing is run to find out."""
