@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import by_key
+
 #: Suffix of a path to the language it is parsed as.
 LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "json": "json", "toml": "toml"}
 
@@ -24,6 +26,7 @@ def current_files(chunks: DataFrame, suffixes: list[str] | None = None) -> DataF
     if suffixes:
         rows = rows.filter(suffix().isin(suffixes))
     rows = rows.select("repo_id", "path", "indexed_at", F.coalesce("start_line", F.lit(1)).alias("start_line"), "content")
+    rows = by_key(rows, "repo_id", "path")
     of_file = Window.partitionBy("repo_id", "path")
     rows = rows.withColumn("newest", F.max("indexed_at").over(of_file)).filter(F.col("indexed_at") == F.col("newest"))
     rows = rows.withColumn("n", F.length("content") - F.length(F.replace("content", F.lit("\n"))) + 1)
