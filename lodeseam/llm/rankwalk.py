@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import by_key, materialize
 
 DAMPING, TOLERANCE, MAX_STEPS = 0.9, 1e-10, 200
 #: Rows of one query's lists solved in one task (about 40 MB there).
@@ -112,7 +112,7 @@ def rank(lists: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     kind = lists.schema
     schema = f"query_id {kind['query_id'].dataType.simpleString()}, item {kind['item'].dataType.simpleString()}, weight double"
     if not large:
-        out = clean.groupBy("query_id").applyInPandas(_solve, schema)
+        out = by_key(clean, "query_id").groupBy("query_id").applyInPandas(_solve, schema)
     else:
         sized = materialize(clean.join(sizes, "query_id"), "lists")
         out = sized.filter(F.col("n") <= local_rows).drop("n").groupBy("query_id").applyInPandas(_solve, schema)
