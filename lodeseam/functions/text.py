@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,15 @@ def tokens(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(plain), " "), "")
 
 
+#: The same rule for text in a worker: what a token is, in one expression.
+_TOKEN = re.compile(r"[A-Za-z][a-z0-9]*|(?<=_)[0-9][a-z0-9]*|[0-9]+")
+
+
+def token_list(text: str | None) -> list[str]:
+    """The tokens of one text, as `tokens` gives them."""
+    return [t.lower() for t in _TOKEN.findall(text or "")]
+
+
 def normalized(text: Column | str) -> Column:
     return F.array_join(tokens(text), " ")
 

@@ -35,6 +35,28 @@ def replace_files(chunks: DataFrame, new: DataFrame) -> DataFrame:
     return chunks.join(new.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti").unionByName(new.select(*chunks.columns))
 
 
+def replace_repos(chunks: DataFrame, new: DataFrame, repos: DataFrame) -> DataFrame:
+    """All rows of the given repositories (repo_id) replaced by `new`; one without new rows ends up empty."""
+    return chunks.join(repos.select("repo_id").distinct(), "repo_id", "left_anti").unionByName(new.select(*chunks.columns))
+
+
+def outcome(repos: DataFrame, runs: DataFrame) -> DataFrame:
+    """repos after runs (repo_id, repo_path, remote_url, commit_sha, error, at): a success takes the commit and clears the
+    errors, a failure keeps the commit and its time and counts one error more."""
+    new = runs.select("repo_id", *[F.col(c).alias(f"_{c}") for c in ("repo_path", "remote_url", "commit_sha", "error", "at")], F.lit(True).alias("_ran"))
+    both = repos.join(new, "repo_id", "full_outer")
+    ran, good = F.coalesce("_ran", F.lit(False)), F.col("_error").isNull()
+    return both.select(
+        "repo_id",
+        F.when(ran, F.col("_repo_path")).otherwise(F.col("repo_path")).alias("repo_path"),
+        F.coalesce("_remote_url", "remote_url").alias("remote_url"),
+        F.when(ran & good, F.coalesce("_commit_sha", F.lit(""))).otherwise(F.coalesce("last_commit_sha", F.lit(""))).alias("last_commit_sha"),
+        F.when(ran & good, F.col("_at")).otherwise(F.col("indexed_at")).alias("indexed_at"),
+        F.when(ran, F.col("_error")).otherwise(F.col("last_error")).alias("last_error"),
+        F.when(ran & good, 0).otherwise(F.coalesce("error_count", F.lit(0)) + ran.cast("int")).alias("error_count"),
+    )
+
+
 def delete_paths(chunks: DataFrame, paths: DataFrame) -> DataFrame:
     return chunks.join(paths.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti")
 
@@ -65,16 +87,21 @@ def coverage(chunks: DataFrame, dims: int) -> DataFrame:
 
 
 def repo_status(repos: DataFrame, chunks: DataFrame, heads: DataFrame) -> DataFrame:
-    """repos with chunk_count (0 if none) and staleness: a head other than the last indexed commit, errors, or no head."""
+    """repos with chunk_count (0 if none) and staleness: a head other than the last indexed commit, errors, or no head.
+    heads: (repo_id, head[, dirty]); a repository that wasn't probed is stale and not dirty."""
     counts = chunks.groupBy("repo_id").agg(F.count("*").alias("chunk_count"))
     rows = repos.join(counts, "repo_id", "left").join(heads, "repo_id", "left")
     stale = F.col("head").isNull() | (F.col("head") != F.col("last_commit_sha")) | (F.coalesce("error_count", F.lit(0)) > 0)
-    return rows.withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0)), "is_stale": stale})
+    dirty = {"has_dirty_tracked_files": F.coalesce("dirty", F.lit(False))} if "dirty" in heads.columns else {}
+    return rows.withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0)), "is_stale": stale, **dirty}).drop("dirty")
 
 
 def with_state(results: DataFrame, status: DataFrame) -> DataFrame:
-    """Results with their repository's staleness; unknown repositories are stale."""
-    return results.join(status.select("repo_id", "is_stale"), "repo_id", "left").withColumn("is_stale", F.coalesce("is_stale", F.lit(True)))
+    """Results with their repository's state; of an unknown repository they are stale and not dirty."""
+    known = {"is_stale": True, "has_dirty_tracked_files": False}
+    have = [c for c in known if c in status.columns]
+    rows = results.join(status.select("repo_id", *have), "repo_id", "left")
+    return rows.withColumns({c: F.coalesce(F.col(c) if c in have else F.lit(None).cast("boolean"), F.lit(v)) for c, v in known.items()})
 
 
 def migrated(old: DataFrame, defaults: dict[str, object]) -> DataFrame:

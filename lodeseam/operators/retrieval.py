@@ -7,17 +7,24 @@ ranking; contents are joined back for the rows that remain.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths, text, vectors
 from ..session import broadcast_if_small, materialize, spread
+from . import scoring
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K, TOP_BONUS, NEAR_BONUS = 60, 0.05, 0.02
 FTS_LIMIT, UNION_FTS_LIMIT, VECTOR_LIMIT, EXACT_LIMIT, OVERFETCH = 200, 2000, 2000, 200, 4096
 UNION_THRESHOLD, EXACT_SCAN_LIMIT = 100_000, 5000
-#: Queries (with their features and vectors, a few kB each) that may be broadcast.
+#: Queries (with their features and vectors, a few kB each) that are scored in one pass; more take more passes.
 QUERY_ROWS = 10_000
 #: Digits kept before scores are compared, so that the order of summation can't decide a tie.
 DIGITS = 9
@@ -40,9 +47,25 @@ def filtered(chunks: DataFrame, model: str | None = None, repo: str | None = Non
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf) over path, symbol and content; terms are counted within a row's partition before the shuffle."""
-    body = F.concat(*[text.tokens(c) for c in ("path", "symbol_name", "content")])
-    return chunks.select("chunk_id", F.explode(body).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    """(term, chunk_id, tf) over path, symbol and content, counted where each chunk lies: nothing is shuffled.
+
+    Words are found by one expression in a worker, a third of the time that the compiled column expressions take.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scoring.slices(batches, 1024):
+            fields = [batch.column(i).to_pylist() for i in (1, 2, 3)]
+            words, counts, sizes = [], [], []
+            for values in zip(*fields):
+                found = Counter(t for v in values for t in text.token_list(v))
+                words += found.keys()
+                counts += found.values()
+                sizes.append(len(found))
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            yield pa.record_batch([pa.array(words, pa.string()), batch.column(0).take(rows), pa.array(counts, pa.int64())], ["term", "chunk_id", "tf"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return chunks.select("chunk_id", "path", "symbol_name", "content").mapInArrow(run, f"term string, chunk_id {kind}, tf long")
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:
@@ -54,24 +77,142 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, posted: DataFrame | None = None, limit: int | None = FTS_LIMIT) -> DataFrame:
-    """(query_id, chunk_id, bm25, path, start_line, rank): best chunks by BM25; statistics are of all given chunks.
+def query_terms(queries: DataFrame) -> list[str]:
+    """All terms that the queries (a stated set) look up or compare, sorted."""
+    words = F.concat(text.tokens("query_text"), text.query_terms("query_text"))
+    return [r.term for r in queries.select(F.explode(words).alias("term")).distinct().orderBy("term").collect()]
+
 
-    A greater score is better here. Ties go by path, line and id. The postings are reduced to the queries' terms first.
+def prepared(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """What scoring needs of each chunk, written as a table without contents; texts are tokenized once, in place.
+
+    dl is the number of all tokens; in_content, in_path and in_symbol keep the tokens among `terms`, repeats included;
+    in_plain_path are those of the path as the path list reads it, s_size the number of the symbol's distinct ones, found
+    the count of each of the `terms` in the three fields together.
     """
-    posted = posted if posted is not None else materialize(postings(spread(chunks)), "postings")
-    terms = queries.select("query_id", F.explode(text.query_terms("query_text")).alias("term"))
-    stats = posted.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    totals = stats.agg(F.sum("dl").alias("tokens")).crossJoin(chunks.agg(F.count("*").alias("n")))  # single rows
-    totals = totals.select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
-    used = posted.join(broadcast_if_small(terms.select("term").distinct(), 20 * QUERY_ROWS), "term", "left_semi")
-    idf = term_stats(used).crossJoin(F.broadcast(totals))  # one row
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = idf.select("term", "avgdl", F.when(raw <= 0, LEAST_IDF).otherwise(raw).alias("idf"))
-    hits = used.join(idf, "term").join(stats, "chunk_id").join(terms, "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("bm25"))
-    return ranked(scores.join(chunks.select("chunk_id", "path", "start_line"), "chunk_id"), "bm25", limit)
+    made = spread(chunks).withColumns(
+        {
+            "s_lower": F.lower(F.coalesce("symbol_name", F.lit(""))), "parser": F.coalesce(F.col("symbol_confidence") == "parser", F.lit(False)), "path_size": F.length("path"),
+            "plain_times": paths.multiplier(F.lit(False), F.lit(False), "path"), "test_times": paths.multiplier(F.lit(False), F.lit(True), "path"), "_plain": F.translate(F.lower("path"), "/.-", "  _"),
+        }
+    )
+    kept = [c for c in made.columns if c not in ("content", "_plain")]
+    wanted = frozenset(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scoring.slices(batches):
+            found = [[text.token_list(v) for v in batch.column(c).to_pylist()] for c in ("content", "path", "symbol_name", "_plain")]
+            known = [[[t for t in words if t in wanted] for words in column] for column in found]
+            lists = [pa.array(column, pa.list_(pa.string())) for column in known]
+            counts = [Counter(a + b + c) for a, b, c in zip(*known[:3])]
+            posted = pa.array([[{"term": t, "tf": n} for t, n in c.items()] for c in counts], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))
+            dl = pa.array([len(a) + len(b) + len(c) for a, b, c in zip(*found[:3])], pa.int32())
+            s_size = pa.array([len(set(words)) for words in found[2]], pa.int32())
+            yield pa.record_batch([*[batch.column(c) for c in kept], *lists, dl, s_size, posted], [*kept, "in_content", "in_path", "in_symbol", "in_plain_path", "dl", "s_size", "found"])
+
+    schema = T.StructType([made.schema[c] for c in kept] + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("in_content", "in_path", "in_symbol", "in_plain_path")] + [T.StructField(c, T.IntegerType()) for c in ("dl", "s_size")])
+    schema = schema.add("found", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])))
+    return materialize(made.mapInArrow(run, schema), "prepared")
+
+
+def bm25(queries: DataFrame, ready: DataFrame, limit: int | None = FTS_LIMIT, within: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, bm25, path, start_line, rank): best chunks by BM25.
+
+    ready: (chunk_id, path, start_line, dl, found) of all chunks, or of those that hold any of the queries' terms with
+    totals (n, tokens) of all: a prepared table or `from_postings`. Statistics are of all; within (chunk_id) restricts
+    what may be found. A batch of chunks is a matrix of term weights, its product with the queries' terms the scores, and
+    only its first `limit` rows of a query leave it. A greater score is better. Ties go by path, line and id.
+    """
+    totals = totals if totals is not None else ready.agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"))
+    n, tokens = totals.select("n", "tokens").first()  # one row
+    dfs = {r.term: r.n for r in ready.select(F.explode("found.term").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # the queries' terms
+    rows = ready if within is None else ready.join(within.select("chunk_id"), "chunk_id", "left_semi")
+    rows = rows.filter(F.size("found") > 0).select("chunk_id", "path", "start_line", "dl", "found")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("chunk_id", "start_line")}
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kinds['chunk_id']}, bm25 double, path string, start_line {kinds['start_line']}"
+    names = ["query_id", "chunk_id", "bm25", "path", "start_line"]
+    average = (tokens or 0) / n if n else 1.0
+    found = None
+    for part in _passes(queries):
+        asked = part.select("query_id", "query_text", text.query_terms("query_text").alias("fts")).orderBy("query_id").collect()  # one pass's queries
+        number = {t: i for i, t in enumerate(sorted({t for r in asked for t in r.fts}))}
+        raw = np.array([np.log((n - dfs.get(t, 0) + 0.5) / (dfs.get(t, 0) + 0.5)) for t in number])
+        idf = np.where(raw <= 0, LEAST_IDF, raw)
+        wanted = np.zeros((max(1, len(number)), len(asked)))
+        for i, r in enumerate(asked):
+            wanted[[number[t] for t in r.fts], i] = 1.0
+        ids, keep = [r.query_id for r in asked], np.full(len(asked), 1 << 40 if limit is None else limit)
+
+        def run(batches: Iterator[pa.RecordBatch], number: dict = number, idf: np.ndarray = idf, wanted: np.ndarray = wanted, ids: list = ids, keep: np.ndarray = keep) -> Iterator[pa.RecordBatch]:
+            for batch in scoring.slices(batches):
+                lists, flat = batch.column("found"), batch.column("found").flatten()
+                row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+                term = np.array([number.get(t, -1) for t in flat.field("term").to_pylist()], np.int64)
+                row, term, tf = row[term >= 0], term[term >= 0], np.asarray(flat.field("tf"), float)[term >= 0]
+                dl = np.asarray(batch.column("dl"), float)[row]
+                weight = np.zeros((batch.num_rows, len(wanted)))
+                weight[row, term] = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+                score = np.round(weight @ wanted, DIGITS)
+                tie = scoring.fixed_order(batch, [("path", False), ("start_line", False), ("chunk_id", False)])
+                yield from _emitted(batch, score, tie, weight @ wanted > 0, ids, keep, None, {"bm25": score}, ("path", "start_line"), names)
+
+        some = rows.mapInArrow(run, schema)
+        found = some if found is None else found.unionByName(some)
+    return ranked(found, "bm25", limit)
+
+
+def field_postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, in_content, in_path, in_symbol, in_plain_path): postings that also tell which fields hold the
+    term, so that every score but the vector's can be had from them. in_plain_path is of the path as the path list reads it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scoring.slices(batches, 1024):
+            columns = [batch.column(i).to_pylist() for i in (1, 2, 3, 4)]
+            out: list[tuple] = []
+            rows = []
+            for i, values in enumerate(zip(*columns)):
+                path, symbol, content, plain = (text.token_list(v) for v in values)
+                counts = Counter(path + symbol + content)
+                sets = [set(content), set(path), set(symbol), set(plain)]
+                for term in counts.keys() | sets[3]:
+                    out.append((term, counts.get(term, 0), *[term in s for s in sets]))
+                    rows.append(i)
+            cols = list(zip(*out)) or [()] * 6
+            made = [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), *[pa.bool_()] * 4))]
+            yield pa.record_batch([made[0], batch.column(0).take(pa.array(rows, pa.int64())), *made[1:]], ["term", "chunk_id", "tf", *FIELDS])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    plain = F.translate(F.lower("path"), "/.-", "  _").alias("plain")
+    flags = ", ".join(f"{f} boolean" for f in FIELDS)
+    return chunks.select("chunk_id", "path", "symbol_name", "content", plain).mapInArrow(run, f"term string, chunk_id {kind}, tf long, {flags}")
+
+
+FIELDS = ("in_content", "in_path", "in_symbol", "in_plain_path")
+
+
+def from_store(queries: DataFrame, posted: DataFrame, features: DataFrame) -> DataFrame:
+    """What `prepared` gives, from stored field postings and stored features of chunks: no text is read again."""
+    terms = query_terms(queries)
+    asked = queries.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    used = posted.join(broadcast_if_small(asked, 20 * QUERY_ROWS), "term", "left_semi")
+    lists = [F.collect_list(F.when(F.col(f), F.col("term"))).alias(f) for f in FIELDS]
+    held = used.groupBy("chunk_id").agg(F.collect_list(F.when(F.col("tf") > 0, F.struct("term", "tf"))).alias("found"), *lists)
+    ready = features.join(held, "chunk_id", "left")
+    return materialize(ready.withColumns({c: F.coalesce(c, F.array().cast(ready.schema[c].dataType)) for c in ("found", *FIELDS)}), "ready")
+
+
+def from_postings(queries: DataFrame, posted: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ready, totals) for `bm25` from stored postings (term, chunk_id, tf) and lengths (chunk_id, path, start_line, dl):
+    only the postings of the queries' terms are read and grouped."""
+    terms = broadcast_if_small(queries.select(F.explode(text.query_terms("query_text")).alias("term")).distinct(), 20 * QUERY_ROWS)
+    used = posted.join(terms, "term", "left_semi").groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("found"))
+    return materialize(used.join(lengths, "chunk_id"), "found"), lengths.agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"))
+
+
+def fts_score(value: Column | str) -> Column:
+    """A BM25 value brought to [0, 1) as the full-text list's backend score."""
+    value = F.abs(F.col(value) if isinstance(value, str) else value)
+    return value / (1.0 + value)
 
 
 def ranked(scores: DataFrame, score: str, limit: int | None, ascending: bool = False, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -83,19 +224,50 @@ def ranked(scores: DataFrame, score: str, limit: int | None, ascending: bool = F
 
 
 def minmax(scores: DataFrame, score: str, out: str, tied: float = 0.25) -> DataFrame:
-    """Scores of each query brought to [0, 1]; a single row gets 1, rows that all tie get `tied`."""
+    """Scores of each query brought to [0, 1]; a single row gets 1, rows that all tie get `tied`. For ranked lists, whose
+    length is bounded: a query's rows lie together already."""
     of_query = Window.partitionBy("query_id")
     low, high, n = F.min(score).over(of_query), F.max(score).over(of_query), F.count("*").over(of_query)
     return scores.withColumn(out, F.when(n == 1, 1.0).when(high == low, tied).otherwise((F.col(score) - low) / (high - low)))
 
 
 def knn(queries: DataFrame, items: DataFrame, limit: int, ties: tuple[str, ...], distance: str = "l2") -> DataFrame:
-    """(query_id, item columns, distance, rank): every query vector against every item; queries are a stated, small set."""
-    pairs = spread(items).crossJoin(broadcast_if_small(queries, QUERY_ROWS))
-    value = vectors.l2("vector", "query_vector") if distance == "l2" else -vectors.cosine("vector", "query_vector")
-    scored = pairs.withColumn("distance", F.round(value, DIGITS)).drop("vector", "query_vector")
+    """(query_id, further columns of queries and items, distance, rank): every query vector against every item.
+
+    Queries are a stated set, held against a batch of items at a time; only a batch's first `limit` rows of a query leave it.
+    """
+    of_query = [c for c in queries.columns if c not in ("query_id", "query_vector")]
+    of_item = [c for c in items.columns if c != "vector"]
+    kinds = {c: df.schema[c].dataType.simpleString() for df, cs in ((queries, ["query_id"]), (items, of_item)) for c in cs}
+    found = None
+    for part in _passes(queries.select("query_id", "query_vector")):
+        rows = [(r.query_id, r.query_vector) for r in part.filter("size(query_vector) > 0").collect()]  # at most about QUERY_ROWS
+        ids, x = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+
+        def run(batches: Iterator[pa.RecordBatch], ids: list = ids, x: np.ndarray = x) -> Iterator[pa.RecordBatch]:
+            for batch in scoring.slices(batches):
+                v = np.asarray(batch.column("vector").flatten()).reshape(batch.num_rows, -1)
+                if distance == "l2":
+                    # squared differences of the candidates are summed anew below: products alone would round
+                    value = np.maximum((v * v).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2.0 * (v @ x.T), 0.0)
+                else:
+                    value = -scoring.cosines(batch.column("vector"), x)
+                tie = scoring.fixed_order(batch, [(c, False) for c in ties])
+                for i in range(len(ids)):
+                    keep = min(limit, batch.num_rows)
+                    edge = np.partition(value[:, i], keep - 1)[keep - 1]
+                    at = np.flatnonzero(value[:, i] <= edge + 1e-7)
+                    exact = np.sqrt(((v[at] - x[i]) ** 2).sum(axis=1)) if distance == "l2" else value[at, i]
+                    exact = np.round(exact, DIGITS)
+                    first = np.lexsort((tie[at], exact))[:keep]
+                    rows_ = pa.array(at[first])
+                    yield pa.record_batch([pa.array([ids[i]] * len(first)), pa.array(exact[first]), *[batch.column(c).take(rows_) for c in of_item]], ["query_id", "distance", *of_item])
+
+        some = spread(items.filter(F.size("vector") > 0)).mapInArrow(run, f"query_id {kinds['query_id']}, distance double, " + ", ".join(f"{c} {kinds[c]}" for c in of_item))
+        found = some if found is None else found.unionByName(some)
     order = Window.partitionBy("query_id").orderBy("distance", *ties)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return best.join(broadcast_if_small(queries.select("query_id", *of_query), QUERY_ROWS), "query_id") if of_query else best
 
 
 def query_features(queries: DataFrame) -> DataFrame:
@@ -108,96 +280,155 @@ def query_features(queries: DataFrame) -> DataFrame:
     )
 
 
-def chunk_features(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumns(
-        {
-            "content_tokens": F.array_distinct(text.tokens("content")),
-            "symbol_tokens": F.array_distinct(text.tokens("symbol_name")),
-            "path_tokens": F.array_distinct(text.tokens("path")),
-            "plain_times": paths.multiplier(F.lit(False), F.lit(False), "path"),
-            "test_times": paths.multiplier(F.lit(False), F.lit(True), "path"),
-        }
-    )
-
-
-def matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, in_content, in_path, in_symbol): how many of the query's distinct tokens each field holds, of
-    the pairs that share any. Tokens are joined, so pairs without one cost nothing."""
-    asked = queries.select("query_id", F.explode("q_tokens").alias("term"))
-    fields = [chunks.select("chunk_id", F.explode(c).alias("term"), F.lit(n).alias("field")) for n, c in enumerate(("content_tokens", "path_tokens", "symbol_tokens"))]
-    held = fields[0].unionByName(fields[1]).unionByName(fields[2]).join(broadcast_if_small(asked, 20 * QUERY_ROWS), "term")
-    return held.groupBy("query_id", "chunk_id").agg(*[F.count_if(F.col("field") == n).alias(c) for n, c in enumerate(("in_content", "in_path", "in_symbol"))])
-
-
-def exact_list(source: str, queries: DataFrame, chunks: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
+def _passes(queries: DataFrame) -> list[DataFrame]:
+    """The queries in as many parts as keep each near QUERY_ROWS."""
+    parts = -(-queries.count() // QUERY_ROWS)
+    if parts <= 1:
+        return [queries]
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == n) for n in range(parts)]
+
+
+def _collected(queries: DataFrame, keep: str | int, terms: list[str], repos: str | None = None) -> scoring.Queries:
+    """One pass's queries as arrays. keep: the column of how many rows each wants, or a number for all."""
+    rows = query_features(queries).orderBy("query_id").collect()  # at most about QUERY_ROWS
+    number = {t: i for i, t in enumerate(terms)}
+    holds = np.zeros((len(rows), max(1, len(terms))), np.float32)
+    for i, r in enumerate(rows):
+        holds[i, [number[t] for t in r.q_tokens]] = 1.0
+    vectors_ = np.array([r.query_vector for r in rows], float) if "query_vector" in queries.columns and rows else None
+    wanted = np.array([(r[keep] or 0) if isinstance(keep, str) else keep for r in rows], np.int64)
+    own = [(r[repos] or "") if repos else "" for r in rows]
+    lower = [(r.query_text or "").lower() for r in rows]
+    flags = [np.array([bool(r[c]) for r in rows], bool) for c in ("docs_query", "test_query")]
+    return scoring.Queries([r.query_id for r in rows], number, holds, holds.sum(axis=1).astype(float), lower, vectors_, *flags, wanted, own)
+
+
+def _with_queries(ready: DataFrame, values: DataFrame, q: scoring.Queries, column: str, value: str | None) -> DataFrame:
+    """ready with a column of (query number, value) pairs, or of query numbers, of the rows of values (query_id, chunk_id)."""
+    spark = ready.sparkSession
+    kind = values.schema["query_id"].dataType.simpleString()
+    numbers = spark.createDataFrame(list(zip(q.ids, range(len(q.ids)))), f"query_id {kind}, q int")
+    pairs = values.join(F.broadcast(numbers), "query_id")  # one pass's queries
+    entry = F.struct("q", F.col(value).alias("v")) if value else F.col("q")
+    return ready.join(pairs.groupBy("chunk_id").agg(F.collect_list(entry).alias(column)), "chunk_id", "left")
+
+
+def exact_list(source: str, queries: DataFrame, chunks: DataFrame, limit: int = EXACT_LIMIT, ready: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, source, backend_score, path, start_line, rank): the path, symbol or lexical list."""
-    q, c = query_features(queries), chunk_features(spread(chunks))
-    asked = broadcast_if_small(q.select("query_id", F.lower("query_text").alias("q_lower"), F.replace(F.trim(F.lower("query_text")), F.lit(" "), F.lit("_")).alias("q_path"), "q_tokens", F.size("q_tokens").alias("q_size")), QUERY_ROWS)
-    share = lambda held, size: F.when(F.col(size) == 0, 0.0).otherwise(F.size(F.array_intersect(held, "q_tokens")) / F.col(size))
-    if source == "path":
-        lower = F.lower("path")
-        c = c.select("chunk_id", "path", "start_line", F.translate(lower, "/. -", "____").alias("where"), F.array_distinct(text.tokens(F.translate(lower, "/.-", "  _"))).alias("held"))
-        score = F.when((F.col("q_path") != "") & F.contains("where", "q_path"), 2.0).otherwise(share("held", "q_size"))
-    elif source == "symbol":
-        c = c.filter("symbol_name is not null and symbol_name <> ''").select("chunk_id", "path", "start_line", "symbol_confidence", F.lower("symbol_name").alias("s_lower"), "symbol_tokens", F.size("symbol_tokens").alias("s_size")).filter("s_size > 0")
-        match = F.when(F.col("q_size") == 0, 0.0).when(F.contains("q_lower", "s_lower"), 1.0).otherwise(share("symbol_tokens", "s_size"))
-        score = match + F.when((F.col("symbol_confidence") == "parser") & (match > 0), 0.25).otherwise(0.0)
-    else:
-        sizes = broadcast_if_small(q.select("query_id", F.size("q_tokens").alias("q_size")), QUERY_ROWS)
-        found = matches(q, c).filter("in_content > 0").join(sizes, "query_id").join(chunks.select("chunk_id", "path", "start_line"), "chunk_id")
-        scored = found.select("query_id", "chunk_id", F.round(F.col("in_content") / F.col("q_size"), DIGITS).alias("backend_score"), "path", "start_line")
-        return ranked(scored, "backend_score", limit).withColumn("source", F.lit(source))
-    pairs = c.crossJoin(asked)
-    scored = pairs.select("query_id", "chunk_id", F.round(score, DIGITS).alias("backend_score"), "path", "start_line").filter("backend_score > 0")
-    return ranked(scored, "backend_score", limit).withColumn("source", F.lit(source))
-
-
-def score_parts(bm25_score: Column, cosine: Column) -> dict[str, Column]:
-    """The parts of the hybrid score of a query-chunk row with its matches; additions in this order."""
-    share = lambda n, of: F.when(of == 0, 0.0).otherwise(n / of)
-    vector = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine + 1.0) / 2.0))
-    lexical, path = share(F.col("in_content"), F.col("q_size")), share(F.col("in_path"), F.col("q_size"))
-    symbol = (
-        F.when((F.col("s_size") == 0) | (F.col("q_size") == 0), 0.0)
-        .when(F.col("names_symbol"), 1.0)
-        .otherwise(F.col("in_symbol") / F.col("s_size"))
-    )
-    base = F.lit(0.50) * vector + F.lit(0.20) * lexical + F.lit(0.14) * bm25_score + F.lit(0.09) * symbol + F.lit(0.07) * path
-    times = F.when(F.col("docs_query"), 1.0).when(F.col("test_query"), F.col("test_times")).otherwise(F.col("plain_times"))
-    return {"vector": vector, "lexical": lexical, "symbol": symbol, "path_score": path, "bm25_score": bm25_score, "multiplier": times, "score": F.round(base * times, DIGITS)}
-
-
-def hybrid(queries: DataFrame, chunks: DataFrame, candidates: DataFrame | None = None, keyword: bool = True, keep: str | None = None) -> DataFrame:
-    """(query_id, chunk_id, path, repo_id, start_line, symbol_confidence, the parts, score) of every query and chunk.
-
-    queries hold query_vector, chunks vector. candidates (query_id, chunk_id) restrict the pairs (a semi-join in front
-    of the scoring); keyword=False leaves BM25 out. keep: a condition on the pairs, such as a query's own filters.
+    terms = query_terms(queries)
+    ready = ready if ready is not None else prepared(chunks, terms)
+    ready = ready.filter("symbol_name is not null and symbol_name <> '' and s_size > 0") if source == "symbol" else ready
+    where = F.translate(F.lower("path"), "/. -", "____").alias("where")
+    ready = ready.select("chunk_id", "path", "start_line", where, "in_content", "in_symbol", "in_plain_path", "s_size", "s_lower", "parser")
+    kind = {c: ready.schema[c].dataType.simpleString() for c in ("chunk_id", "start_line")}
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kind['chunk_id']}, backend_score double, path string, start_line {kind['start_line']}"
+    found = None
+    for part in _passes(queries):
+        q = _collected(part, limit, terms)
+
+        def run(batches: Iterator[pa.RecordBatch], q: scoring.Queries = q) -> Iterator[pa.RecordBatch]:
+            asked = [x.strip(" ").replace(" ", "_") for x in q.lower]
+            for batch in scoring.slices(batches):
+                column = {n: batch.column(n) for n in batch.schema.names}
+                if source == "path":
+                    score = scoring.share(scoring.incidence(column["in_plain_path"], q.terms) @ q.holds.T.astype(float), q.sizes[None, :])
+                    score = np.where(scoring.holds_query(column["where"].to_pylist(), asked), 2.0, score)
+                elif source == "symbol":
+                    held = scoring.incidence(column["in_symbol"], q.terms) @ q.holds.T.astype(float)
+                    score = scoring.share(held, np.asarray(column["s_size"], float)[:, None])
+                    score = np.where(scoring.names_symbol(column["s_lower"].to_pylist(), q.lower), 1.0, score) * (q.sizes > 0)[None, :]
+                    score = score + 0.25 * (np.asarray(column["parser"])[:, None] & (score > 0))
+                else:
+                    score = scoring.share(scoring.incidence(column["in_content"], q.terms) @ q.holds.T.astype(float), q.sizes[None, :])
+                score = np.round(score, DIGITS)
+                tie = scoring.fixed_order(batch, [("path", False), ("start_line", False), ("chunk_id", False)])
+                yield from _emitted(batch, score, tie, score > 0, q.ids, q.keep, None, {"backend_score": score}, ("path", "start_line"), schema_names)
+
+        schema_names = ["query_id", "chunk_id", "backend_score", "path", "start_line"]
+        some = ready.mapInArrow(run, schema)
+        found = some if found is None else found.unionByName(some)
+    return ranked(found, "backend_score", limit).withColumn("source", F.lit(source))
+
+
+def _emitted(batch: pa.RecordBatch, score: np.ndarray, tie: np.ndarray, allowed: np.ndarray, ids: list, wanted: np.ndarray, files: np.ndarray | None, parts: dict[str, np.ndarray], columns: tuple[str, ...], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch that can be among the first of each query, with the parts of their scores."""
+    rows, which = [], []
+    for i, keep in enumerate(wanted.tolist()):
+        at = scoring.first_rows(score[:, i], tie, allowed[:, i], keep, files, 2)
+        rows.append(at)
+        which.append(np.full(len(at), i))
+    row, number = np.concatenate(rows), np.concatenate(which)
+    if not len(row):
+        return
+    take = pa.array(row)
+    made = {"query_id": pa.array([ids[n] for n in number.tolist()]), "chunk_id": batch.column("chunk_id").take(take)}
+    made |= {c: batch.column(c).take(take) for c in columns} | {c: pa.array(np.broadcast_to(v, score.shape)[row, number]) for c, v in parts.items()}
+    yield pa.record_batch([made[n] for n in names], names)
+
+
+#: Weights of the hybrid score's parts.
+WEIGHTS = {"vector": 0.50, "lexical": 0.20, "bm25_score": 0.14, "symbol": 0.09, "path_score": 0.07}
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, k: str | int, candidates: DataFrame | None = None, words: DataFrame | None = None, own_repo: str | None = None, ready: DataFrame | None = None, keep_all: bool = False) -> DataFrame:
+    """(query_id, chunk_id, path, repo_id, start_line, symbol_confidence, docs_query, the parts, score): of every query
+    and all its chunks those that can be among its first k after at most two of a file are preferred.
+
+    queries hold query_vector, chunks vector; k: a column of queries or a number. words: (query_id, chunk_id, bm25_normal)
+    of the chunks found by full text. candidates (query_id, chunk_id) restrict the pairs. own_repo: the column with the id
+    or path of the repository a query is confined to. keep_all: every pair of a candidate set, for diagnosis.
     """
-    q = query_features(queries).withColumns({"q_norm": vectors.norm("query_vector"), "q_size": F.size("q_tokens"), "q_lower": F.lower("query_text")})
-    c = chunk_features(spread(chunks)).withColumns({"c_norm": vectors.norm("vector"), "s_size": F.size("symbol_tokens"), "s_lower": F.lower(F.coalesce("symbol_name", F.lit("")))})
-    shared = matches(q, c)
-    narrow = c.drop("content", "content_tokens", "path_tokens", "symbol_tokens")
-    asked = broadcast_if_small(q, QUERY_ROWS)
-    if candidates is not None:
-        pairs = candidates.select("query_id", "chunk_id").distinct().join(narrow, "chunk_id").join(asked, "query_id")
-    else:
-        pairs = narrow.crossJoin(asked)
-    if keep:
-        pairs = pairs.filter(keep)
-    # vectors and names end here: the joins that follow carry numbers and keys
-    length = F.col("q_norm") * F.col("c_norm")
-    cosine = F.when(length == 0, 0.0).otherwise(vectors.dot("query_vector", "vector") / length)
-    slim = ["query_id", "chunk_id", "repo_id", "path", "start_line", "symbol_confidence", "docs_query", "test_query", "plain_times", "test_times", "q_size", "s_size"]
-    pairs = pairs.select(*slim, cosine.alias("cosine"), F.contains("q_lower", "s_lower").alias("names_symbol"))
-    pairs = pairs.join(shared, ["query_id", "chunk_id"], "left").fillna(0, ["in_content", "in_path", "in_symbol"])
-    if keyword:
-        words = minmax(bm25(queries, chunks), "bm25", "bm25_normal").select("query_id", "chunk_id", "bm25_normal")
-        pairs = pairs.join(words, ["query_id", "chunk_id"], "left").withColumn("bm25_normal", F.coalesce("bm25_normal", F.lit(0.0)))
-    else:
-        pairs = pairs.withColumn("bm25_normal", F.lit(0.0))
-    parts = score_parts(F.col("bm25_normal"), F.col("cosine"))
-    kept = ["query_id", "chunk_id", "repo_id", "path", "start_line", "symbol_confidence", "docs_query"]
-    return pairs.select(*kept, *[v.alias(k) for k, v in parts.items()])
+    terms = query_terms(queries)
+    ready = ready if ready is not None else prepared(chunks, terms)
+    ready = ready.filter(F.size("vector") > 0)
+    chunk_kind = {c: ready.schema[c].dataType.simpleString() for c in ("chunk_id", "repo_id", "start_line")}
+    names = ["query_id", "chunk_id", "repo_id", "path", "start_line", "symbol_confidence", "docs_query", *WEIGHTS, "multiplier", "score"]
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), **chunk_kind, "path": "string", "symbol_confidence": "string", "docs_query": "boolean"}
+    schema = ", ".join(f"{n} {kinds.get(n, 'double')}" for n in names)
+    found = None
+    for part in _passes(queries):
+        q = _collected(part, 1 << 40 if keep_all else k, terms, own_repo)
+        rows = ready
+        if words is not None:
+            rows = _with_queries(rows, words.select("query_id", "chunk_id", "bm25_normal"), q, "_words", "bm25_normal")
+        if candidates is not None:
+            rows = _with_queries(rows, candidates.select("query_id", "chunk_id").distinct(), q, "_asked", None).filter("_asked is not null")
+
+        def run(batches: Iterator[pa.RecordBatch], q: scoring.Queries = q) -> Iterator[pa.RecordBatch]:
+            holds = q.holds.T.astype(float)
+            for batch in scoring.slices(batches):
+                column = {n: batch.column(n) for n in batch.schema.names}
+                shape = (batch.num_rows, len(q.ids))
+                size = q.sizes[None, :]
+                parts = {"vector": np.clip((scoring.cosines(column["vector"], q.vectors) + 1.0) / 2.0, 0.0, 1.0)}
+                parts["lexical"] = scoring.share(scoring.incidence(column["in_content"], q.terms) @ holds, size)
+                parts["bm25_score"] = scoring.pair_values(column["_words"], len(q.ids), "v") if "_words" in column else np.zeros(shape)
+                s_size = np.asarray(column["s_size"], float)[:, None]
+                symbol = scoring.share(scoring.incidence(column["in_symbol"], q.terms) @ holds, s_size)
+                named = scoring.names_symbol(column["s_lower"].to_pylist(), q.lower)
+                parts["symbol"] = np.where(named, 1.0, symbol) * ((s_size > 0) & (size > 0))
+                parts["path_score"] = scoring.share(scoring.incidence(column["in_path"], q.terms) @ holds, size)
+                base = np.zeros(shape)
+                for name, weight in WEIGHTS.items():
+                    base = base + weight * parts[name]
+                times = np.where(q.tests[None, :], np.asarray(column["test_times"])[:, None], np.asarray(column["plain_times"])[:, None])
+                times = np.where(q.docs[None, :], 1.0, times)
+                score = np.round(base * times, DIGITS)
+                allowed = scoring.pair_values(column["_asked"], len(q.ids), None) > 0 if "_asked" in column else np.ones(shape, bool)
+                if any(q.repos):
+                    ids, places = np.array(column["repo_id"].to_pylist(), object)[:, None], np.array(column["repo_path"].to_pylist(), object)[:, None]
+                    own = np.array(q.repos, object)[None, :]
+                    allowed = allowed & ((own == "") | (ids == own) | (places == own))
+                tie = scoring.fixed_order(batch, [("parser", True), ("path_size", False), ("start_line", False), ("chunk_id", False)])
+                file = pa.compute.binary_join_element_wise(column["repo_id"].cast("string"), column["path"], "\0").dictionary_encode()
+                files = np.asarray(file.indices.fill_null(-1))
+                extra = {**parts, "multiplier": times, "score": score, "docs_query": q.docs[None, :]}
+                yield from _emitted(batch, score, tie, allowed, q.ids, q.keep, files, extra, ("repo_id", "path", "start_line", "symbol_confidence"), names)
+
+        wanted = ["chunk_id", "repo_id", "repo_path", "path", "start_line", "symbol_confidence", "parser", "path_size", "s_size", "s_lower", "in_content", "in_path", "in_symbol", "plain_times", "test_times", "vector"]
+        some = rows.select(*wanted, *[c for c in ("_words", "_asked") if c in rows.columns]).mapInArrow(run, schema)
+        found = some if found is None else found.unionByName(some)
+    return found
 
 
 def result_order() -> list[Column]:
@@ -234,20 +465,48 @@ def rrf(lists: DataFrame, bonus: bool = False, keep: int | None = None) -> DataF
     return ranked(fused, "rrf_score", keep)
 
 
-def rrf_keep(k: int) -> int:
-    return min(500, max(50, 4 * k))
+def union_plan(queries: DataFrame, near: DataFrame, words: DataFrame, k: str, total_chunks: int, covered: bool, threshold: int = UNION_THRESHOLD) -> DataFrame:
+    """(query_id, by_union): whether a query is answered from the union of its candidates instead of all chunks.
 
+    It is tried for queries that don't ask for documents, over an index of at least `threshold` chunks that all have
+    vectors; it holds if there are near vectors, and with full-text candidates the union is at least ten times k (50 at
+    least), without them the vectors alone make up k. near, words: (query_id, chunk_id).
+    """
+    v, f = near.select("query_id", "chunk_id").distinct(), words.select("query_id", "chunk_id").distinct()
+    both = v.withColumn("v", F.lit(1)).join(f.withColumn("f", F.lit(1)), ["query_id", "chunk_id"], "full_outer")
+    sizes = both.groupBy("query_id").agg(F.count("v").alias("nv"), F.count("f").alias("nf"), F.count("*").alias("n"))
+    rows = query_features(queries).select("query_id", F.col(k).alias("k"), "docs_query").join(sizes, "query_id", "left").fillna(0, ["nv", "nf", "n"])
+    tried = F.lit(covered and total_chunks >= threshold) & F.col("k").isNotNull() & ~F.col("docs_query")
+    enough = F.when(F.col("nf") == 0, F.col("nv") >= F.col("k")).otherwise(F.col("n") >= F.greatest(F.lit(50), 10 * F.col("k")))
+    return rows.select("query_id", F.coalesce(tried & (F.col("nv") > 0) & enough, F.lit(False)).alias("by_union"))
 
-def should_try_union(total_chunks: int, k: int | None, docs_query: bool, covered: bool, disabled: bool = False, threshold: int = UNION_THRESHOLD) -> bool:
-    return not disabled and k is not None and not docs_query and total_chunks >= threshold and covered
 
+def rrf_search(queries: DataFrame, chunks: DataFrame, k: str, words: DataFrame, near: DataFrame, exact: DataFrame | None = None, bonus: bool = False, covered: bool = True, has_vectors: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(results, reasons): fused rankings of the queries, and for each query why it has none (null if it has).
 
-def should_use_union(vector_ids: int, keyword_ids: int, union_ids: int, k: int) -> bool:
-    if vector_ids == 0:
-        return False
-    if keyword_ids == 0:
-        return vector_ids >= k
-    return union_ids >= max(50, 10 * k)
+    words and near are ranked lists (query_id, chunk_id, rank, path, start_line), exact further ones with their source.
+    Of each query the first 4 k fused rows (50 at least, 500 at most) are kept, and the first k after diversifying given;
+    a query that asks for documents keeps plain order.
+    """
+    lists = words.withColumn("source", F.lit("fts")).select("query_id", "chunk_id", "source", "rank", "path", "start_line")
+    lists = lists.unionByName(near.withColumn("source", F.lit("vector")).select(*lists.columns))
+    if exact is not None:
+        lists = lists.unionByName(exact.select(*lists.columns))
+    has = lambda df, c: df.select("query_id").distinct().withColumn(c, F.lit(True))
+    asked = query_features(queries).select("query_id", F.col(k).alias("k"), "docs_query").join(has(words, "f"), "query_id", "left").join(has(near, "v"), "query_id", "left")
+    reason = F.when(F.col("k").isNull(), "k_none").when(F.col("f").isNull(), "no_fts_candidates")
+    if not has_vectors:
+        reason = reason.otherwise("vector_table_missing")
+    elif not covered:
+        reason = reason.otherwise("vector_coverage_incomplete")
+    else:
+        reason = reason.when(F.col("v").isNull(), "no_vector_candidates")
+    asked = asked.select("query_id", "k", "docs_query", reason.alias("reason"))
+    able = asked.filter("reason is null").drop("reason")
+    fused = rrf(lists.join(F.broadcast(able.select("query_id")), "query_id", "left_semi"), bonus=bonus, keep=500).join(F.broadcast(able), "query_id")  # the queries, a stated set
+    fused = fused.filter(F.col("rank") <= F.least(F.lit(500), F.greatest(F.lit(50), 4 * F.col("k"))))
+    rows = fused.drop("path", "start_line").join(chunks.select("chunk_id", "repo_id", "path", "start_line"), "chunk_id")
+    return diversified(rows, F.col("k"), order=[F.col("rank")], bypass=F.col("docs_query")), asked.select("query_id", "reason")
 
 
 def symbol_lookup(names: DataFrame, chunks: DataFrame) -> DataFrame:

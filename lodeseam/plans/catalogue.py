@@ -187,19 +187,33 @@ def doc_stats(spark, sf):
 
 @query
 def term_stats(spark, sf):
-    return retrieval.term_stats(retrieval.postings(chunks_of(spark, sf)))
+    return retrieval.term_stats(retrieval.postings(spread(chunks_of(spark, sf))))
+
+
+def _full_text(spark, sf):
+    asked = table(spark, sf, "search_queries")
+    return retrieval.bm25(asked, retrieval.prepared(chunks_of(spark, sf), retrieval.query_terms(asked)))
 
 
 @query
 def bm25_topk(spark, sf):
-    found = retrieval.bm25(table(spark, sf, "search_queries"), materialize(chunks_of(spark, sf), "chunks"))
-    return found.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
+    return _full_text(spark, sf).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 @query
 def bm25_minmax(spark, sf):
-    found = retrieval.minmax(retrieval.bm25(table(spark, sf, "search_queries"), materialize(chunks_of(spark, sf), "chunks")), "bm25", "normal")
-    return found.select("query_id", "chunk_id", F.round("normal", 6).alias("normal"))
+    return retrieval.minmax(_full_text(spark, sf), "bm25", "normal").select("query_id", "chunk_id", F.round("normal", 6).alias("normal"))
+
+
+@query
+def bm25_from_postings(spark, sf):
+    """The same from stored postings, of which only those of the queries' terms are read."""
+    asked, chunks = table(spark, sf, "search_queries"), materialize(spread(chunks_of(spark, sf)), "chunks")
+    posted = materialize(retrieval.postings(chunks), "postings")
+    lengths = posted.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+    lengths = chunks.select("chunk_id", "path", "start_line").join(lengths, "chunk_id", "left").fillna(0, ["dl"])
+    ready, totals = retrieval.from_postings(asked, posted, lengths)
+    return retrieval.bm25(asked, ready, totals=totals).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 # -- vectors -----------------------------------------------------------------------------------------------------------
@@ -258,44 +272,81 @@ def hash_embedding(spark, sf):
 
 @query
 def exact_lists(spark, sf):
-    asked, chunks = table(spark, sf, "search_queries"), materialize(chunks_of(spark, sf), "chunks")
-    lists = [retrieval.exact_list(s, asked, chunks) for s in ("path", "symbol", "lexical")]
+    asked, chunks = table(spark, sf, "search_queries"), chunks_of(spark, sf)
+    ready = retrieval.prepared(chunks, retrieval.query_terms(asked))
+    lists = [retrieval.exact_list(s, asked, chunks, ready=ready) for s in ("path", "symbol", "lexical")]
     return lists[0].unionByName(lists[1]).unionByName(lists[2]).select("query_id", "source", "chunk_id", F.round("backend_score", 6).alias("backend_score"), "rank")
 
 
 def _hybrid_inputs(spark, sf):
-    chunks = chunks_of(spark, sf).join(_embedded(spark, sf, "chunks", "chunk_id", "content").withColumnRenamed("embedding", "vector"), "chunk_id")
-    asked = table(spark, sf, "search_queries").join(_embedded(spark, sf, "search_queries", "query_id", "query_text").withColumnRenamed("embedding", "query_vector"), "query_id")
-    return asked, materialize(chunks, "chunks")
+    """(queries with vectors, chunks, the prepared table with vectors, the full-text list normalized)."""
+    chunks = chunks_of(spark, sf)
+    embedded = chunks.join(_embedded(spark, sf, "chunks", "chunk_id", "content").withColumnRenamed("embedding", "vector"), "chunk_id")
+    asked = materialize(table(spark, sf, "search_queries").join(_embedded(spark, sf, "search_queries", "query_id", "query_text").withColumnRenamed("embedding", "query_vector"), "query_id"), "queries")
+    ready = retrieval.prepared(embedded, retrieval.query_terms(asked))
+    words = materialize(retrieval.minmax(retrieval.bm25(asked, ready), "bm25", "bm25_normal"), "words")
+    return asked, ready, words
 
 
 def _shown(found):
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "position")
 
 
+def _best(asked, ready, words, **how):
+    scored = retrieval.hybrid(asked, ready, "k", words=words, ready=ready, **how).join(F.broadcast(asked.select("query_id", "k")), "query_id")  # the queries, a stated set
+    return _shown(retrieval.diversified(scored, F.col("k"), bypass=F.col("docs_query")))
+
+
 @query
 def hybrid_search(spark, sf):
-    asked, chunks = _hybrid_inputs(spark, sf)
-    scored = retrieval.hybrid(asked, chunks).join(F.broadcast(asked.select("query_id", "k")), "query_id")
-    return _shown(retrieval.diversified(scored, F.col("k"), bypass=F.col("docs_query")))
+    return _best(*_hybrid_inputs(spark, sf))
 
 
 @query
 def hybrid_filtered(spark, sf):
-    asked, chunks = _hybrid_inputs(spark, sf)
-    mine = "repo_filter is null or repo_filter = '' or repo_id = repo_filter or repo_path = repo_filter"
-    scored = retrieval.hybrid(asked, chunks, keep=mine).join(F.broadcast(asked.select("query_id", "k")), "query_id")
-    return _shown(retrieval.diversified(scored, F.col("k"), bypass=F.col("docs_query")))
+    return _best(*_hybrid_inputs(spark, sf), own_repo="repo_filter")
+
+
+def _near(asked, ready, limit):
+    return retrieval.knn(asked.select("query_id", "query_vector"), ready.select("chunk_id", "path", "start_line", "vector"), limit, retrieval.TIES)
 
 
 @query
 def candidate_union(spark, sf):
-    asked, chunks = _hybrid_inputs(spark, sf)
-    near = retrieval.knn(asked.select("query_id", "query_vector"), chunks.select("chunk_id", "path", "start_line", "vector"), 200, retrieval.TIES)
-    words = retrieval.bm25(asked, chunks)
-    ids = near.select("query_id", "chunk_id").unionByName(words.select("query_id", "chunk_id")).distinct()
-    scored = retrieval.hybrid(asked, chunks, candidates=ids).join(F.broadcast(asked.select("query_id", "k")), "query_id")
-    return _shown(retrieval.diversified(scored, F.col("k"), bypass=F.col("docs_query")))
+    asked, ready, words = _hybrid_inputs(spark, sf)
+    ids = _near(asked, ready, 200).select("query_id", "chunk_id").unionByName(words.select("query_id", "chunk_id")).distinct()
+    return _best(asked, ready, words, candidates=materialize(ids, "candidates"))
+
+
+@query
+def bm25_filtered(spark, sf):
+    """Full text within one model and one language; the statistics are of all chunks."""
+    asked, chunks = table(spark, sf, "search_queries"), chunks_of(spark, sf)
+    ready = retrieval.prepared(chunks, retrieval.query_terms(asked))
+    model = ready.agg(F.min("embedding_model")).first()[0]
+    kept = retrieval.filtered(ready, model, language="python", path_prefix="SRC/")
+    found = retrieval.bm25(asked, ready, within=kept)
+    return found.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), F.round(retrieval.fts_score("bm25"), 6).alias("backend_score"), "rank")
+
+
+@query
+def rrf_search(spark, sf):
+    asked, ready, words = _hybrid_inputs(spark, sf)
+    exact = [retrieval.exact_list(s, asked, ready, ready=ready) for s in ("path", "symbol", "lexical")]
+    found, _ = retrieval.rrf_search(asked, ready, "k", words, _near(asked, ready, 200), exact[0].unionByName(exact[1]).unionByName(exact[2]), bonus=True)
+    return found.select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), "position")
+
+
+@query
+def rrf_fallback(spark, sf):
+    """Why queries that hold no word of the index, or ask for nothing, have no fused ranking."""
+    odd = spark.createDataFrame([(-1, "zzzzqqqq", 5), (-2, "the", 5), (-3, "retry handler", None)], "query_id long, query_text string, k int")
+    asked = table(spark, sf, "search_queries").select("query_id", "query_text", F.col("k").cast("int").alias("k")).unionByName(odd)
+    chunks = chunks_of(spark, sf)
+    ready = retrieval.prepared(chunks, retrieval.query_terms(asked))
+    words = materialize(retrieval.bm25(asked, ready), "words")
+    near = words.filter("query_id % 2 = 0")  # half of the queries without near vectors
+    return retrieval.rrf_search(asked, ready, "k", words, near)[1]
 
 
 @query
@@ -355,6 +406,42 @@ def repo_status(spark, sf):
     return status.select("repo_id", "repo_path", "last_commit_sha", "error_count", "chunk_count", "head", "is_stale")
 
 
+@query
+def repo_success_failure(spark, sf):
+    """Every repository run once: those with an error fail again, the others reach their head."""
+    repos, heads = table(spark, sf, "repos"), incremental.heads(table(spark, sf, "tree_files"))
+    runs = repos.join(heads, "repo_id").select("repo_id", "repo_path", F.lit(None).cast("string").alias("remote_url"), F.col("head").alias("commit_sha"), F.col("last_error").alias("error"), "indexed_at").withColumnRenamed("indexed_at", "at")
+    return maintenance.outcome(repos, runs).select("repo_id", "repo_path", "remote_url", "last_commit_sha", "last_error", "error_count")
+
+
+@query
+def repo_replace(spark, sf):
+    """The chunks of repositories without errors replaced by those of one model."""
+    chunks, live = chunks_of(spark, sf), table(spark, sf, "repos").filter("last_error is null")
+    model = chunks.agg(F.min("embedding_model")).first()[0]
+    new = chunks.filter(F.col("embedding_model") == model).join(live.select("repo_id"), "repo_id", "left_semi")
+    return maintenance.replace_repos(chunks, new, live).select("chunk_id")
+
+
+@query
+def fts_rebuild(spark, sf):
+    found = retrieval.field_postings(spread(chunks_of(spark, sf)))
+    return found.filter("tf > 0").select("term", "chunk_id", "tf", "in_content", "in_path", "in_symbol")
+
+
+@query
+def indexed_total(spark, sf):
+    return table(spark, sf, "indexed_files").groupBy("embedding_model").agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"))
+
+
+@query
+def vector_join(spark, sf):
+    """Vectors joined to chunks on both ids, so that a row id used again finds nothing."""
+    rows = table(spark, sf, "chunks").filter("embedding is not null").select("chunk_id", "chunk_rowid", "embedding_model", F.size("embedding").alias("dims")).distinct()
+    moved = rows.withColumn("chunk_rowid", F.when(F.col("chunk_rowid") % 7 == 0, F.col("chunk_rowid") + 1).otherwise(F.col("chunk_rowid")))
+    return moved.join(chunks_of(spark, sf).select("chunk_id", "chunk_rowid", "path"), ["chunk_rowid", "chunk_id"]).groupBy("embedding_model", "dims").agg(F.count("*").alias("n"))
+
+
 @query
 def cdc_diff(spark, sf):
     old = incremental.indexed_state(table(spark, sf, "indexed_files")).withColumnRenamed("indexed_hash", "hash")

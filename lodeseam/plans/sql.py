@@ -166,7 +166,11 @@ def _exact(source: str, score: str, where: str = "TRUE") -> str:
 
 
 _SYMBOL = f"{sym('query_text', 'qt', 'symbol_name')}"
-_GLOBS = "|".join(paths.glob_regex(g) for g in paths.EXCLUDED_GLOBS)
+#: The excluded names written by hand for this SQL, apart from how the library makes expressions of its globs.
+_GLOBS = (
+    r"\.env|\.env\..*|.*\.(pem|key|p12|pfx)|id_(rsa|dsa|ed25519)|evals/results/.*|.*\.pb\.go|.*\.pb\.gw\.go|.*_pb2\.py|.*_pb2_grpc\.py|.*\.(sqlite|sqlite3|db|duckdb)|.*-(wal|shm)|.*\.tmp-(wal|shm)|"
+    r".*\.(parquet|arrow|feather|orc|avro|h5|hdf5|npy|npz|pkl|pickle|bin|dat|csv|tsv|jsonl|ndjson|lock)|package-lock\.json|pnpm-lock\.yaml|yarn\.lock|poetry\.lock|uv\.lock"
+)
 _DIRS = "|".join(d.replace(".", "\\.") for d in paths.EXCLUDED_DIRS)
 _SUFFIX = "regexp_extract(path, '[^/](\\.[^./]+)$', 1)"
 _USAGE = (
@@ -210,6 +214,7 @@ ORACLES: dict[str, str] = {
     "doc_stats": f"WITH {CH} SELECT chunk_id, len({BODY}) AS dl FROM ch",
     "term_stats": f"WITH {CH}, {POST} SELECT term, count(*) AS df FROM post GROUP BY term",
     "bm25_topk": f"WITH {BM25} SELECT query_id, chunk_id, round(bm25, 6) AS bm25, rank FROM bm",
+    "bm25_from_postings": f"WITH {BM25} SELECT query_id, chunk_id, round(bm25, 6) AS bm25, rank FROM bm",
     "bm25_minmax": f"WITH {BM25} SELECT query_id, chunk_id, round(normal, 6) AS normal FROM bn",
     "cosine_topk": f"WITH {EMB} SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 9) AS s FROM a CROSS JOIN q)) WHERE rank <= 10",
     "l2_knn": f"WITH {EMB} SELECT query_id, vec_id, round(d, 6) AS distance, round(1 / (1 + greatest(d, 0.0)), 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (SELECT query_id, vec_id, {L2} AS d FROM a CROSS JOIN q)) WHERE rank <= 10",
@@ -220,6 +225,17 @@ ORACLES: dict[str, str] = {
     "hybrid_search": f"WITH {HYBRID}, {_scored()}, {DIVERSE} {SHOWN}",
     "hybrid_filtered": f"WITH {HYBRID}, {_scored("repo_filter IS NULL OR repo_filter = '' OR repo_id = repo_filter OR repo_path = repo_filter")}, {DIVERSE} {SHOWN}",
     "candidate_union": f"WITH {HYBRID}, kn AS (SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY d, path, start_line, chunk_id) AS n FROM (SELECT qv.query_id, ch.chunk_id, path, start_line, round(sqrt(list_sum(list_transform(list_zip(cv.v, qv.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 9) AS d FROM qv CROSS JOIN cv JOIN ch ON ch.chunk_id = cv.chunk_id)) WHERE n <= 200), un AS (SELECT query_id, chunk_id FROM kn UNION SELECT query_id, chunk_id FROM bm), {_scored(join='JOIN un ON un.query_id = qf.query_id AND un.chunk_id = cf.chunk_id')}, {DIVERSE} {SHOWN}",
+    "bm25_filtered": f"WITH {BM25}, kept AS (SELECT chunk_id FROM ch WHERE embedding_model = (SELECT min(embedding_model) FROM ch) AND language = 'python' AND path ILIKE 'src/%'), ft AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, path, start_line, chunk_id) AS rank FROM bs JOIN ch USING (chunk_id) WHERE chunk_id IN (SELECT chunk_id FROM kept)) SELECT query_id, chunk_id, round(bm25, 6) AS bm25, round(abs(bm25) / (1 + abs(bm25)), 6) AS backend_score, rank FROM ft WHERE rank <= 200",
+    "rrf_search": (
+        f"WITH {HYBRID}, kn AS (SELECT query_id, chunk_id, n AS rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY d, path, start_line, chunk_id) AS n FROM (SELECT qv.query_id, ch.chunk_id, path, start_line, round(sqrt(list_sum(list_transform(list_zip(cv.v, qv.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 9) AS d FROM qv CROSS JOIN cv JOIN ch ON ch.chunk_id = cv.chunk_id)) WHERE n <= 200), "
+        f"ls AS (SELECT query_id, 'fts' AS source, chunk_id, rank FROM bm UNION ALL SELECT query_id, 'vector', chunk_id, rank FROM kn UNION ALL SELECT query_id, source, chunk_id, rank FROM ({_exact('path', path_score('query_text', 'qt', 'path'))} UNION ALL {_exact('symbol', f"{_SYMBOL} + CASE WHEN symbol_confidence = 'parser' AND {_SYMBOL} > 0 THEN 0.25 ELSE 0.0 END", 'symbol_name IS NOT NULL')} UNION ALL {_exact('lexical', over('qt', 'ct'))})), "
+        "ab AS (SELECT query_id FROM search_queries WHERE k IS NOT NULL AND query_id IN (SELECT query_id FROM bm) AND query_id IN (SELECT query_id FROM kn)), "
+        "fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)) + CASE WHEN min(rank) = 1 THEN 0.05 WHEN min(rank) <= 3 THEN 0.02 ELSE 0.0 END, 9) AS s FROM ls WHERE query_id IN (SELECT query_id FROM ab) GROUP BY ALL), "
+        f"rk AS (SELECT fu.*, repo_id, path, k, {docs_query('query_text')} AS dq, row_number() OVER (PARTITION BY fu.query_id ORDER BY s DESC, path, start_line, fu.chunk_id) AS rank FROM fu JOIN ch USING (chunk_id) JOIN search_queries USING (query_id)), "
+        "d2 AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, repo_id, path ORDER BY rank) > 2 AND NOT dq THEN 1 ELSE 0 END AS late FROM rk WHERE rank <= least(500, greatest(50, 4 * k))), "
+        "d3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS position FROM d2) SELECT query_id, chunk_id, round(s, 6) AS rrf_score, position FROM d3 WHERE position <= k"
+    ),
+    "rrf_fallback": f"WITH {BM25} SELECT query_id, CASE WHEN query_id NOT IN (SELECT query_id FROM bm) THEN 'no_fts_candidates' WHEN query_id % 2 <> 0 THEN 'no_vector_candidates' END AS reason FROM search_queries UNION ALL SELECT * FROM (VALUES (-1, 'no_fts_candidates'), (-2, 'no_fts_candidates'), (-3, 'k_none'))",
     "diversify_topk": f"WITH {RESULTS}, sc AS (SELECT query_id, chunk_rowid AS chunk_id, repo AS repo_id, path, start_line, symbol_confidence, score, k, FALSE AS dq FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_rowid ORDER BY score DESC, path DESC, start_line DESC) AS n FROM r WHERE ranking_mode = 'current' AND score IS NOT NULL) WHERE n = 1), {DIVERSE} SELECT query_id, chunk_id AS chunk_rowid, position FROM d3 WHERE position <= k",
     "rrf_plain": _rrf("AND source IN ('fts', 'vector')", False),
     "rrf_bonus": _rrf("AND source IN ('fts', 'vector')", True),
@@ -227,6 +243,11 @@ ORACLES: dict[str, str] = {
     "symbol_lookup": f"WITH {CH}, nm AS (SELECT DISTINCT symbol_name AS name FROM search_results WHERE symbol_name IS NOT NULL) SELECT name, chunk_id, symbol_name FROM (SELECT name, chunk_id, symbol_name, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN lower(symbol_name) = lower(name) THEN 0 ELSE 1 END, CASE WHEN symbol_confidence = 'parser' THEN 0 ELSE 1 END, length(symbol_name), chunk_id) AS n FROM nm JOIN ch ON symbol_name IS NOT NULL AND symbol_name <> '' AND contains(lower(symbol_name), lower(name))) WHERE n = 1",
     "expected_rank": f"WITH {RESULTS}, ex AS (SELECT query_id, path AS expected_path FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path DESC) AS n FROM r WHERE ranking_mode = 'rrf' AND score IS NOT NULL) WHERE n = 1), cu AS (SELECT * FROM r WHERE ranking_mode = 'current' AND score IS NOT NULL), be AS (SELECT query_id, max(score) AS b FROM cu JOIN ex USING (query_id) WHERE path = expected_path GROUP BY 1) SELECT query_id, round(b, 6) AS best_score, count(*) FILTER (score > b) + 1 AS expected_rank FROM cu JOIN be USING (query_id) GROUP BY query_id, b",
     "repo_status": f"WITH {CH}, {HEADS}, cn AS (SELECT repo_id, count(*) AS c FROM ch GROUP BY 1) SELECT repo_id, repo_path, last_commit_sha, error_count, coalesce(c, 0) AS chunk_count, head, head IS NULL OR head <> last_commit_sha OR coalesce(error_count, 0) > 0 AS is_stale FROM repos LEFT JOIN cn USING (repo_id) LEFT JOIN hd USING (repo_id)",
+    "repo_success_failure": f"WITH {HEADS} SELECT r.repo_id, repo_path, remote_url, CASE WHEN head IS NOT NULL AND last_error IS NULL THEN head ELSE coalesce(last_commit_sha, '') END AS last_commit_sha, last_error, CASE WHEN head IS NOT NULL AND last_error IS NULL THEN 0 ELSE coalesce(error_count, 0) + (head IS NOT NULL)::INT END AS error_count FROM repos r LEFT JOIN hd ON hd.repo_id = r.repo_id",
+    "repo_replace": f"WITH {CH}, lv AS (SELECT repo_id FROM repos WHERE last_error IS NULL) SELECT chunk_id FROM ch WHERE repo_id NOT IN (SELECT repo_id FROM lv) OR embedding_model = (SELECT min(embedding_model) FROM ch)",
+    "fts_rebuild": f"WITH {CH}, fl AS (SELECT chunk_id, {tok('content')} AS c, {tok('path')} AS p, {tok('symbol_name')} AS s FROM ch), ex AS (SELECT chunk_id, unnest(list_concat(list_concat(p, s), c)) AS term, c, p, s FROM fl) SELECT term, chunk_id, count(*) AS tf, bool_or(list_contains(c, term)) AS in_content, bool_or(list_contains(p, term)) AS in_path, bool_or(list_contains(s, term)) AS in_symbol FROM ex GROUP BY term, chunk_id",
+    "indexed_total": "SELECT embedding_model, coalesce(sum(chunk_count), 0)::BIGINT AS chunks FROM indexed_files GROUP BY 1",
+    "vector_join": f"WITH {CH}, vv AS (SELECT DISTINCT chunk_id, CASE WHEN chunk_rowid % 7 = 0 THEN chunk_rowid + 1 ELSE chunk_rowid END AS chunk_rowid, embedding_model, len(embedding)::INT AS dims FROM chunks WHERE embedding IS NOT NULL) SELECT vv.embedding_model, dims, count(*) AS n FROM vv JOIN ch ON ch.chunk_id = vv.chunk_id AND ch.chunk_rowid = vv.chunk_rowid GROUP BY ALL",
     "cdc_diff": f"WITH {DIFF} SELECT repo_id, path, change FROM df",
     "upsert_merge": f"WITH {DIFF} SELECT repo_id, path, CASE WHEN in_head THEN head_hash ELSE old_hash END AS hash FROM df",
     "prune_anti": f"WITH {CH} SELECT chunk_id FROM ch WHERE repo_id NOT IN (SELECT repo_id FROM repos WHERE last_commit_sha <> '' AND coalesce(error_count, 0) = 0)",

@@ -2,6 +2,7 @@ import math
 import random
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def test_bm25_equals_sqlite(spark, chunks):
     db.executemany("insert into f values (?, ?, ?, ?)", [tuple(r) for r in rows])
     want = {i: -s for i, s in db.execute("select chunk_id, bm25(f) from f where f match 'other OR nothing OR backoff'")}
     queries = spark.createDataFrame([(1, "other nothing backoff")], "query_id long, query_text string")
-    got = {r.chunk_id: r.bm25 for r in retrieval.bm25(queries, chunks).collect()}
+    got = {r.chunk_id: r.bm25 for r in retrieval.bm25(queries, retrieval.prepared(chunks, retrieval.query_terms(queries))).collect()}
     # query expansion adds words; only those of the query occur here besides "retry", "attempt"
     assert set(want) <= set(got)
     assert got["d"] == pytest.approx(want["d"], abs=1e-6)
@@ -84,14 +85,101 @@ def test_symbol_lookup(spark):
 def test_hybrid_orders_and_union_plans(spark, chunks):
     queries = spark.createDataFrame([(1, "retry request", [1.0, 0.0])], "query_id long, query_text string, query_vector array<double>")
     with_vectors = chunks.withColumn("vector", F.when(F.col("chunk_id") == "a", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
-    full = retrieval.hybrid(queries, with_vectors).orderBy(*retrieval.result_order()).collect()
+    full = retrieval.hybrid(queries, with_vectors, 10).orderBy(*retrieval.result_order()).collect()
     assert len(full) == 4 and full[0].chunk_id == "a" and full[0].symbol == 1.0 and full[0].vector == 1.0
     assert next(r for r in full if r.chunk_id == "c").multiplier == 0.70
-    some = retrieval.hybrid(queries, with_vectors, candidates=spark.createDataFrame([(1, "a"), (1, "a")], "query_id long, chunk_id string")).collect()
+    some = retrieval.hybrid(queries, with_vectors, 10, candidates=spark.createDataFrame([(1, "a"), (1, "a")], "query_id long, chunk_id string")).collect()
     assert len(some) == 1 and some[0].score == full[0].score
-    assert not retrieval.should_use_union(0, 100, 100, 10) and retrieval.should_use_union(10, 0, 10, 10) and not retrieval.should_use_union(10, 5, 15, 10)
-    assert not retrieval.should_try_union(10, 5, False, True) and retrieval.should_try_union(10**6, 5, False, True) and not retrieval.should_try_union(10**6, None, False, True)
-    assert retrieval.rrf_keep(5) == 50 and retrieval.rrf_keep(1000) == 500
+
+
+def test_union_plan(spark):
+    queries = spark.createDataFrame([(1, "retry", 10), (2, "retry", 10), (3, "retry", 10), (4, "retry docs", 10), (5, "retry", None), (6, "retry", 10)], "query_id long, query_text string, k int")
+    pairs = lambda *sizes: spark.createDataFrame([(q, f"{q}-{start + i}") for q, start, n in sizes for i in range(n)], "query_id long, chunk_id string")
+    near = pairs((2, 0, 10), (3, 0, 10), (4, 0, 200), (5, 0, 200), (6, 0, 60))
+    words = pairs((1, 0, 100), (3, 5, 10), (4, 0, 10), (5, 0, 10), (6, 20, 80))
+    got = lambda *how: {r.query_id for r in retrieval.union_plan(queries, near, words, "k", *how).collect() if r.by_union}
+    # 1 has no near vectors, 2 enough of them alone, 3 too few in all, 4 asks for documents, 5 for all, 6 has 100 together
+    assert got(10**6, True) == {2, 6} and got(5, True) == got(10**6, False) == set()
+
+
+def test_first_rows_keep_what_diversifying_needs():
+    from lodeseam.operators import scoring
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, k = int(rng.integers(1, 40)), int(rng.integers(1, 8))
+        score, files = rng.integers(0, 6, n).astype(float), rng.integers(0, 5, n)
+        tie = rng.permutation(n)
+        order = sorted(range(n), key=lambda i: (-score[i], tie[i]))
+        early, late, seen = [], [], {}
+        for i in order:
+            seen[files[i]] = seen.get(files[i], 0) + 1
+            (early if seen[files[i]] <= 2 else late).append(i)
+        kept = set()
+        for batch in np.array_split(rng.permutation(n), 3):
+            at = scoring.first_rows(score[batch], tie[batch], np.ones(len(batch), bool), k, files[batch], 2)
+            kept |= set(batch[at].tolist())
+        assert set((early + late)[:k]) <= kept and set(order[:k]) <= kept
+
+
+def test_worker_tokens_equal_columns(spark):
+    from lodeseam.functions import text
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aB1_ .é9Zß\n-") for _ in range(rng.randint(0, 30))) for _ in range(500)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.tokens("t").alias("w")).collect()
+    assert all(text.token_list(r.t) == list(r.w) for r in rows)
+
+
+def test_hash_embedding_whole_table(spark, sf):
+    """Every document's vector against the rule written out."""
+    import hashlib
+    import re
+
+    from lodeseam.functions import vectors
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.embedding for r in vectors.hash_embeddings(docs, "doc_id", "text", 64).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want = np.zeros(64)
+        for word in re.findall("[A-Za-z_][A-Za-z0-9_]*|[0-9]+", r.text or ""):
+            for part in re.sub("([A-Z])", r"_\1", word).lower().split("_"):
+                if part:
+                    d = hashlib.blake2b(part.encode(), digest_size=8).digest()
+                    want[int.from_bytes(d[:4], "big") % 64] += 1 if d[4] & 1 else -1
+        length = np.sqrt((want**2).sum())
+        assert np.allclose(got[r.doc_id], want / (length or 1.0))
+
+
+def test_syntax_chunks_whole_table(spark, sf):
+    """Every Python document's symbols against a walk over its tree."""
+    import ast
+
+    from lodeseam.operators import chunker
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("path like '%.py'").selectExpr("cast(doc_id as string) as repo_id", "path", "text as content")
+    got = {}
+    for r in chunker.syntax_chunks(docs).collect():
+        got.setdefault(r.repo_id, []).append((r.symbol_name, r.symbol_kind, r.start_line, r.end_line, r.content))
+    for r in docs.collect():
+        want = []
+        try:
+            tree = ast.parse(r.content or "")
+        except (SyntaxError, ValueError):
+            tree = ast.Module([], [])
+        for node in ast.walk(tree):
+            node.inner = getattr(node, "inner", [])
+            for child in ast.iter_child_nodes(node):
+                child.inner = [*node.inner, node]
+        for node in ast.walk(tree):
+            places = [type(x).__name__ for x in node.inner]
+            is_class = isinstance(node, ast.ClassDef)
+            if (is_class or isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef))) and (places == ["Module"] or (places == ["Module", "ClassDef"] and not is_class)) and node.end_lineno - node.lineno < 80:
+                first = min([node.lineno, *[d.lineno for d in node.decorator_list]])
+                want.append((node.name, "class" if is_class else "function", first, node.end_lineno, "\n".join(r.content.split("\n")[first - 1 : node.end_lineno])))
+        assert sorted(got.get(r.repo_id, [])) == sorted(want)
 
 
 # -- intervals and maintenance -----------------------------------------------------------------------------------------
