@@ -73,6 +73,17 @@ def symbol_windows(symbols: Column, lines: Column, most: int = MAX_LINES) -> Col
     return F.transform(symbols, of_symbol)
 
 
+def parsed_windows(parsed: Column, lines: Column, most: int = MAX_LINES) -> Column:
+    """Array of (start_line, end_line, content, s): every declaration whole; one of more than `most` lines has none."""
+
+    def of_symbol(p: Column) -> Column:
+        end = F.least(p["end_line"], F.size(lines)).cast("int")
+        s = F.struct(p["name"].alias("name"), p["kind"].alias("kind"), p["line"].alias("line"), F.lit("parser").alias("confidence"))
+        return F.struct(p["line"].alias("start_line"), end.alias("end_line"), F.array_join(F.slice(lines, p["line"], end - p["line"] + 1), "\n").alias("content"), s.alias("s"))
+
+    return F.transform(F.filter(parsed, lambda p: (F.least(p["end_line"], F.size(lines)) - p["line"] < most) & (p["line"] <= F.size(lines))), of_symbol)
+
+
 def nearest_symbol(symbols: Column, start: Column, end: Column) -> Column:
     """The first symbol within the lines, else the last one that begins before them."""
     inside = F.filter(symbols, lambda s: (s["line"] >= start) & (s["line"] <= end))
@@ -117,15 +128,20 @@ def syntax_chunks(files: DataFrame, most: int = MAX_LINES) -> DataFrame:
 
 
 def chunk_files(files: DataFrame, most: int = MAX_LINES, overlap: int = OVERLAP_LINES, syntax: bool = True) -> DataFrame:
-    """Chunks of files (repo_id, repo_path, path, content): windows with their nearest symbol, the symbols that expressions
-    find in files of any language, and Python symbols by syntax tree."""
+    """Chunks of files (repo_id, repo_path, path, content): windows with their nearest symbol; the whole declarations of
+    languages with braces and of SQL, or else the symbols that expressions find; Python symbols by syntax tree."""
     from ..functions import paths
+    from .symbols import with_symbols
 
     base = files.select("repo_id", "repo_path", "path", "content", paths.language("path").alias("language"))
-    rows = base.withColumn("lines", text.lines("content")).withColumn("symbols", regex_symbols(F.col("lines")))
+    base = with_symbols(base) if syntax else base.withColumn("parsed", F.array().cast("array<struct<name:string,kind:string,line:int,end_line:int>>"))
+    whole = F.size("parsed") > 0
+    declared = F.transform("parsed", lambda p: F.struct(p["name"].alias("name"), p["kind"].alias("kind"), p["line"].alias("line"), F.lit("parser").alias("confidence")))
+    rows = base.withColumn("lines", text.lines("content")).withColumn("symbols", F.when(whole, declared).otherwise(regex_symbols(F.col("lines"))))
     symbols = F.col("symbols")
+    bodies = F.when(whole, parsed_windows(F.col("parsed"), F.col("lines"), most)).otherwise(symbol_windows(symbols, F.col("lines"), most))
     labelled = F.transform(windows(F.col("lines"), most, overlap), lambda w: F.struct(w["start_line"].alias("start_line"), w["end_line"].alias("end_line"), w["content"].alias("content"), nearest_symbol(symbols, w["start_line"], w["end_line"]).alias("s")))
-    cut = rows.select("repo_id", "repo_path", "path", "language", F.inline(F.concat(labelled, symbol_windows(symbols, F.col("lines"), most))))
+    cut = rows.select("repo_id", "repo_path", "path", "language", F.inline(F.concat(labelled, bodies)))
     made = cut.select(
         "repo_id", "repo_path", "path", "language", F.col("s.name").alias("symbol_name"), F.col("s.kind").alias("symbol_kind"), F.col("s.line").alias("symbol_line"), F.col("s.confidence").alias("symbol_confidence"), "start_line", "end_line", "content"
     )
