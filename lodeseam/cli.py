@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import os
+import re
+import shutil
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import Engine
-from .operators import evaluate, usage
+from .engine import SECRET, Engine
+from .operators import evaluate, pilot, usage
 from .session import build_session
-from .sources import git
-from .sources.jsonl import golden_cases, read_events
+from .sources import git, hooks
+from .sources.jsonl import add_case, append_line, golden_cases, read_events
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,12 +31,32 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("paths", nargs="+")
         p.add_argument("--include-worktrees", action="store_true")
         p.add_argument("--limit", type=int)
+        p.add_argument("--max-seconds", type=float)
+    commands.add_parser("reindex").add_argument("path", nargs="?")
+    p = commands.add_parser("watch")
+    p.add_argument("path", nargs="?")
+    p.add_argument("--interval", type=float, default=5.0)
+    p.add_argument("--once", action="store_true")
+    commands.add_parser("prune")
+    commands.add_parser("remove-repo").add_argument("name")
+    commands.add_parser("backfill-vectors")
+    commands.add_parser("install-hooks").add_argument("paths", nargs="+")
+    p = commands.add_parser("pilot")
+    p.add_argument("kind", choices=["start-task", "end-task", "activate", "retain", "miss"])
+    p.add_argument("--log", required=True)
+    p.add_argument("--fields", default="{}", help="the event's fields as JSON")
+    p = commands.add_parser("eval-add")
+    p.add_argument("golden")
+    p.add_argument("case", help="a case as JSON")
     p = commands.add_parser("query")
     p.add_argument("text")
     p.add_argument("-k", type=int, default=10)
     p.add_argument("--repo")
     p.add_argument("--path-prefix")
     p.add_argument("--language")
+    p.add_argument("--ranking", choices=["current", "rrf"], default="current")
+    p.add_argument("--exact-lists", action="store_true")
+    p.add_argument("--log", help="usage log that the search is noted in")
     commands.add_parser("get-symbol").add_argument("name")
     commands.add_parser("status")
     commands.add_parser("doctor")
@@ -44,6 +68,11 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def _salt(folder: str) -> bytes:
+    """The salt of the ids in this index's logs."""
+    return hashlib.sha256(f"usage {folder}".encode()).digest()
+
+
 def _show(df: DataFrame) -> None:
     for row in df.toJSON().toLocalIterator():
         print(row)
@@ -53,34 +82,61 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     folder = args.db if "://" in args.db else f"file://{os.path.abspath(args.db)}"
     engine = Engine(spark, folder, dims=args.dims)
     if args.command in ("index", "index-root"):
-        skipped, repos = 0, [os.path.abspath(p) for p in args.paths]
-        if args.command == "index-root":
-            found = [git.discover(p, args.include_worktrees) for p in repos]
-            repos, skipped = sorted({r for names, _ in found for r in names}), sum(n for _, n in found)
-        spark.dataSource.register(git.GitTreeSource)
-        failed, done = [], repos[: args.limit]
-        for repo in done:  # a repository that fails leaves the others and its own last state as they are
-            try:
-                files = spark.read.format("git_tree").option("repos", repo).load()
-                print(json.dumps({"repo": repo, **engine.index(files)}))
-            except Exception as e:
-                failed.append(repo)
-                print(json.dumps({"repo": repo, "error": str(e)[:300]}))
-        print(json.dumps({"discovered": len(repos), "selected": len(done), "indexed": len(done) - len(failed), "errors": len(failed), "skipped_worktrees": skipped}))
-        return int(bool(failed))
-    if args.command == "query":
+        failed = 0
+        for path in args.paths:
+            events = engine.index_root(path, args.limit, args.include_worktrees, args.max_seconds) if args.command == "index-root" else (engine.watch_once(path) for _ in range(1))
+            for e in events:
+                failed += e["event"] == "error"
+                print(json.dumps(e))
+        return int(failed > 0)
+    if args.command == "reindex":
+        print(json.dumps(engine.reindex(args.path)))
+        return 0
+    if args.command == "watch":
+        watched = [args.path] if args.path else [r.repo_path for r in engine.repos().select("repo_path").collect()]
+        failed = 0
+        for e in engine.watch(watched, args.interval, args.once):
+            failed += e["event"] == "error"
+            if args.once or e["event"] != "unchanged":
+                print(json.dumps(e), flush=True)
+        return int(failed > 0 or not watched)
+    if args.command == "prune":
+        print(json.dumps({"removed": engine.prune(os.path.isdir)}))
+    elif args.command == "remove-repo":
+        gone = engine.remove_repo(args.name)
+        print(json.dumps(gone))
+        return int(gone is None)
+    elif args.command == "backfill-vectors":
+        print(json.dumps({"embedded": engine.backfill_vectors(), "complete": engine.covered()}))
+    elif args.command == "install-hooks":
+        for path in args.paths:
+            hooks.install(git.root(path), folder)
+        print(json.dumps(hooks.summary([hooks.inspect(git.root(p)) for p in args.paths])))
+    elif args.command == "pilot":
+        make = {"start-task": pilot.task_start, "end-task": pilot.task_end, "activate": pilot.activation, "retain": pilot.retention, "miss": pilot.miss}[args.kind]
+        made = make(salt=_salt(folder), **json.loads(args.fields))
+        append_line(args.log, made, strict=True)
+        print(json.dumps(made))
+    elif args.command == "eval-add":
+        add_case(args.golden, json.loads(args.case), lambda text: re.search(SECRET, text))
+    elif args.command == "query":
+        began = time.perf_counter()
         asked = spark.createDataFrame([(1, args.text)], "query_id long, query_text string")
-        _show(engine.search(asked, args.k, args.repo, args.path_prefix, args.language).orderBy("position").select("repo_id", "path", "start_line", "end_line", "score", "language", "symbol_name", F.col("content").alias("snippet")))
+        found = engine.search(asked, args.k, args.repo, args.path_prefix, args.language, args.ranking, args.exact_lists)
+        rows = engine.with_state(found, engine.probed_heads()).orderBy("position").select("repo_id", "path", "start_line", "end_line", "score", "language", "symbol_name", "is_stale", "has_dirty_tracked_files", F.col("content").alias("snippet")).collect()
+        for r in rows:  # at most k
+            print(json.dumps(r.asDict()))
+        if args.log:
+            append_line(args.log, pilot.search(args.text, [r.asDict() for r in rows], (time.perf_counter() - began) * 1000, _salt(folder), k=args.k, repo=args.repo))
     elif args.command == "get-symbol":
-        found = engine.symbol(spark.createDataFrame([(args.name,)], "name string"))
-        if found.isEmpty():
-            found = engine.search(spark.createDataFrame([(1, args.name)], "query_id long, query_text string"), 1).select("chunk_id", "path", "start_line", "score")
-        _show(found)
+        _show(engine.symbol(spark.createDataFrame([(args.name,)], "name string")))
     elif args.command == "status":
-        _show(engine.status())
+        _show(engine.list_repos(engine.probed_heads()))
     elif args.command == "doctor":
         chunks = engine.table("chunks")
-        print(json.dumps({"spark": spark.version, "index": chunks is not None, "chunks": chunks.count() if chunks is not None else 0}))
+        known = [r.repo_path for r in engine.repos().select("repo_path").collect()]
+        there = [p for p in known if os.path.isdir(p)]
+        print(json.dumps({"spark": spark.version, "git": bool(shutil.which("git")), "index": chunks is not None, "chunks": chunks.count() if chunks is not None else 0, "vectors_complete": engine.covered(), "fts_version": engine.state()["meta"].get("fts_version"), "repos": len(known), "repos_missing": len(known) - len(there), "hooks": hooks.summary([hooks.inspect(p) for p in there])}))
     elif args.command == "report":
         events, bad = read_events(spark, args.logs)
         _show(usage.report(events).crossJoin(bad))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import secrets
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from .functions import paths, vectors
 from .operators import chunker, embedding, maintenance, retrieval
 from .operators.manifest import Manifest
 from .session import materialize, spread
+from .sources import git
 
 SECRET = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}"
 #: What the stored full text is made by; an index of another version is rebuilt.
@@ -112,13 +115,14 @@ class Engine:
 
     # -- ingest --------------------------------------------------------------------------------------------------
 
-    def index(self, files: DataFrame, repos: DataFrame | None = None) -> dict[str, int]:
+    def index(self, files: DataFrame, repos: DataFrame | None = None, removed: DataFrame | None = None) -> dict[str, int]:
         """Bring the index to a snapshot of files (repo_id, repo_path, path, commit_sha, content): only files that are new
         or changed, by content, model and chunker, are chunked; files no longer there, skipped, ignored or with a secret
         are removed. Counts of what happened are returned.
 
         repos: (repo_id, repo_path[, remote_url, commit_sha]) of the snapshot; needed where a repository may hold no file.
         Files that can't be embedded are left as they were, and their repository is recorded as failed, its commit kept.
+        removed: (repo_id, path); given, files are not whole snapshots but what changed, and other files stay.
         """
         state = self.state()
         files = materialize(files.select("repo_id", "repo_path", "path", "commit_sha", "content"), "snapshot")  # read once: one snapshot
@@ -139,6 +143,11 @@ class Engine:
         mark = F.concat_ws("|", "content_hash", "embedding_model", "chunker_version")
         known = self.table("indexed_files", state)
         old = (known if known is not None else self.spark.createDataFrame([], FILES)).join(touched.select("repo_id"), "repo_id", "left_semi")
+        stays = None
+        if removed is not None:
+            named = files.select("repo_id", "path").unionByName(removed.select("repo_id", "path")).distinct()
+            stays = old.join(named, ["repo_id", "path"], "left_anti")
+            old = old.join(named, ["repo_id", "path"], "left_semi")
         diff = materialize(maintenance.snapshot_diff(old.withColumn("mark", mark), fresh.withColumn("mark", mark), ["repo_id", "path"], "mark"), "diff")
         changed = diff.filter("change in ('added', 'changed')").select("repo_id", "path")
         made = self.chunk(fit.join(changed, ["repo_id", "path"], "left_semi")).withColumn("keep", chunker.indexable(self.least_bytes)).withColumns(stamp)
@@ -169,7 +178,8 @@ class Engine:
         done = fresh.join(failed.select("repo_id", "path"), ["repo_id", "path"], "left_anti").join(counts, ["repo_id", "path"], "left").fillna(0, ["chunk_count"]).withColumn("indexed_at", F.current_timestamp())
         still = old.join(failed.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
         columns = [c.split(" ")[0] for c in FILES.split(", ")]
-        part = self._part("indexed_files", done.select(*columns).unionByName(still.select(*columns)))
+        kept_files = done.select(*columns).unionByName(still.select(*columns))
+        part = self._part("indexed_files", kept_files if stays is None else kept_files.unionByName(stays.select(*columns)))
         parts["indexed_files"] = {**parts.get("indexed_files", {}), **{i: part for i in ids}}
         meta["last_indexed_files"] = part
         errors = failed.groupBy("repo_id").agg(F.min("error").alias("error"))
@@ -188,6 +198,89 @@ class Engine:
             "files_skipped": left_out.skipped, "files_ignored": left_out.ignored, "files_secret": left_out.secret, "chunks_indexed": good.count(), "chunks_total": self.table("chunks").count(),
         }
 
+    def index_repo(self, path: str, ignore_name: str = ".lodeseamignore") -> dict:
+        """Index the head of a git repository. Only what changed since the last indexed commit is read, unless there is
+        none, the last run failed, or any of its files was indexed by another model, chunker or ignore file."""
+        self.spark.dataSource.register(git.GitTreeSource)
+        repo = git.root(path)
+        commit = git.head(repo)
+        try:
+            engine = Engine(self.spark, self.folder, self.dims, ignore=git.ignore_text(repo, commit, ignore_name), least_bytes=self.least_bytes, provider=self.provider, chunk=self.chunk)
+            engine.model = self.model
+            state = [r for r in self.repos().filter(F.col("repo_id") == repo).collect()]
+            known = self.table("indexed_files")
+            mine = known.filter(F.col("repo_id") == repo) if known is not None else None
+            since = state[0].last_commit_sha if state and not state[0].error_count else ""
+            full = not since or mine is None or mine.isEmpty() or not mine.filter((F.col("embedding_model") != engine.model) | (F.col("chunker_version") != engine.version)).isEmpty()
+            reader = self.spark.read.format("git_tree").option("repos", repo).option("commits", json.dumps({repo: commit}))
+            own = self.spark.createDataFrame([(repo, repo, git.remote(repo), commit)], "repo_id string, repo_path string, remote_url string, commit_sha string")
+            own = own.withColumn("remote_url", paths.sanitized_remote("remote_url"))
+            if full:
+                counts = engine.index(reader.load(), own)
+            else:
+                gone = sorted(git.changes(repo, since, commit)[1])
+                removed = self.spark.createDataFrame([(repo, p) for p in gone], "repo_id string, path string")
+                counts = engine.index(reader.option("since", json.dumps({repo: since})).load(), own, removed)
+            return {"repo_id": repo, "commit_sha": commit, "full_scan": full, **counts}
+        except Exception as e:
+            self.record_failure(repo, repo, str(e))
+            raise
+
+    def index_root(self, folder: str, limit: int | None = None, include_worktrees: bool = False, max_seconds: float | None = None) -> Iterator[dict]:
+        """Index every repository under a folder; one that fails gives an error row and leaves the others. The last row
+        sums up."""
+        found, skipped = git.discover(folder, include_worktrees)
+        began, rows = time.monotonic(), []
+        for repo in found[:limit]:
+            if max_seconds is not None and time.monotonic() - began >= max_seconds:
+                break
+            try:
+                rows.append({"event": "indexed", **self.index_repo(repo)})
+            except Exception as e:
+                rows.append({"event": "error", "repo_id": repo, "error": str(e)[:300]})
+            yield rows[-1]
+        errors = sum(r["event"] == "error" for r in rows)
+        yield {"event": "summary", "discovered": len(found), "selected": len(rows), "indexed": len(rows) - errors, "errors": errors, "skipped_worktrees": skipped}
+
+    def reindex(self, path: str | None = None) -> dict:
+        """Index a repository again; without a path the only one there is."""
+        if path is None:
+            known = [r.repo_path for r in self.repos().select("repo_path").limit(2).collect()]
+            if len(known) != 1:
+                raise ValueError("a path is needed unless exactly one repository is indexed")
+            path = known[0]
+        return self.index_repo(path)
+
+    def watch_once(self, path: str) -> dict:
+        """Index a repository if its head moved or its last run failed: an event unchanged, indexed or error."""
+        try:
+            repo = git.root(path)
+            commit = git.head(repo)
+            state = self.repos().filter(F.col("repo_id") == repo).first()
+            if state and state.last_commit_sha == commit and not state.error_count:
+                return {"event": "unchanged", "repo_path": repo, "commit_sha": commit}
+            return {"event": "indexed", **self.index_repo(repo)}
+        except Exception as e:
+            return {"event": "error", "repo_path": path, "error": str(e)[:300]}
+
+    def watch(self, paths_: list[str], interval: float = 5.0, once: bool = False) -> Iterator[dict]:
+        """Events of repositories, looked at in turn every interval."""
+        while True:
+            yield from (self.watch_once(p) for p in paths_)
+            if once:
+                return
+            time.sleep(interval)
+
+    def probed_heads(self) -> DataFrame:
+        """(repo_id, head, dirty) of the repositories that can be probed from here."""
+        rows = []
+        for r in self.repos().select("repo_id", "repo_path").collect():  # a row for each repository
+            try:
+                rows.append((r.repo_id, git.head(r.repo_path), git.dirty(r.repo_path)))
+            except Exception:  # not there, or no repository: stale
+                pass
+        return self.spark.createDataFrame(rows, "repo_id string, head string, dirty boolean")
+
     def _embedded(self, kept: DataFrame) -> DataFrame:
         if self.provider:
             return kept.join(embedding.embed(kept, "chunk_id", "content", self.provider), "chunk_id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def first_hits(results: DataFrame, cases: DataFrame) -> DataFrame:
     """(query_id, hit_rank): for each case the first rank with the expected path and, if given, text; null for a miss.
@@ -28,27 +30,30 @@ def recall(hits: DataFrame, k: int) -> DataFrame:
     )
 
 
-def lower_percentile(value: Column | str, share: float) -> Column:
-    """The value at place floor((n - 1) * share) in order; no interpolation."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.try_element_at(ordered, F.floor((F.size(ordered) - 1) * F.lit(share)).cast("int") + 1)
-
-
 def telemetry(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key: count, mean, p50, p95 and maximum of the values that are numbers.
+    """Per key: count, mean, p50, p95 and maximum of the values that are numbers; a percentile is the value at place
+    floor((n - 1) * share) in order, without interpolation.
 
-    Percentiles come from counts of distinct values, so no group's values are gathered in one place.
+    Distinct values are counted, range-partitioned into blocks and summed within a block and over the blocks: no group's
+    values are gathered in one place.
     """
-    from pyspark.sql import Window
-
     counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
     totals = counts.groupBy(key).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.max(value).alias("maximum"))
-    upto = F.sum("c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("upto", upto).join(totals, key)
+    blocks = materialize(counts.repartitionByRange(key, value).withColumn("block", F.spark_partition_id()), "counts")
+    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy(key, "block").agg(F.sum("c").alias("s")).select(key, "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"))
+    within = F.sum("c").over(Window.partitionBy(key, "block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = blocks.withColumn("within", within).join(sums, [key, "block"]).withColumn("upto", F.col("before") + F.col("within")).join(totals, key)
     at = lambda share: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * F.lit(share)), F.col(value)))
     return placed.groupBy(key, "n", "mean", "maximum").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
+def value_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, value, n): how often each value of the string columns `keys` occurs; nulls don't count."""
+    melted = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("e")).select("e.*")
+    return melted.filter("value is not null").groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
 def expected_rank(scores: DataFrame, cases: DataFrame) -> DataFrame:
     """(query_id, best_score, expected_rank): the best score of the expected path and its place among all scores."""
     best = scores.join(cases.select("query_id", "expected_path"), "query_id").filter(F.col("path") == F.col("expected_path")).groupBy("query_id").agg(F.max("score").alias("best_score"))

@@ -352,6 +352,8 @@ def exact_list(source: str, queries: DataFrame, chunks: DataFrame, limit: int =
 
 def _emitted(batch: pa.RecordBatch, score: np.ndarray, tie: np.ndarray, allowed: np.ndarray, ids: list, wanted: np.ndarray, files: np.ndarray | None, parts: dict[str, np.ndarray], columns: tuple[str, ...], names: list[str]) -> Iterator[pa.RecordBatch]:
     """The rows of a batch that can be among the first of each query, with the parts of their scores."""
+    if not len(wanted):
+        return
     rows, which = [], []
     for i, keep in enumerate(wanted.tolist()):
         at = scoring.first_rows(score[:, i], tie, allowed[:, i], keep, files, 2)
@@ -396,7 +398,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: str | int, candidates: Data
 
         def run(batches: Iterator[pa.RecordBatch], q: scoring.Queries = q) -> Iterator[pa.RecordBatch]:
             holds = q.holds.T.astype(float)
-            for batch in scoring.slices(batches):
+            for batch in scoring.slices(batches if q.ids else iter(())):
                 column = {n: batch.column(n) for n in batch.schema.names}
                 shape = (batch.num_rows, len(q.ids))
                 size = q.sizes[None, :]

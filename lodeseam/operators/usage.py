@@ -74,6 +74,8 @@ def report(events: DataFrame) -> DataFrame:
         F.count("*").alias("valid_decision_grade_tasks"),
         F.median(number("baseline_minutes")).alias("median_baseline_minutes"),
         F.median(number("tool_minutes")).alias("median_tool_minutes"),
+        F.median(number("baseline_files_pasted")).alias("median_baseline_files_pasted"),
+        F.median(number("tool_files_pasted")).alias("median_tool_files_pasted"),
         F.median(reduction("baseline_minutes", "tool_minutes")).alias("context_minutes_reduction"),
         F.median(reduction("baseline_files_pasted", "tool_files_pasted")).alias("file_paste_reduction"),
     )
@@ -91,6 +93,12 @@ def report(events: DataFrame) -> DataFrame:
     return row.withColumns(gate())
 
 
+def tasks_by_engineer(events: DataFrame) -> DataFrame:
+    """(engineer_id, n): valid tasks of each activated engineer, zeros included, under a hash of the name."""
+    activated = events.filter("event = 'activation' and engineer is not null").filter(" and ".join(f"coalesce({c}, false)" for c in ACTIVATION_CHECKS))
+    return counts_with_zero(activated, valid_tasks(events), "engineer").select(F.substring(F.sha2("engineer", 256), 1, 16).alias("engineer_id"), "n")
+
+
 def gate() -> dict[str, Column]:
     checks = {
         "activation_4_of_5": F.col("activation_count") >= 4,

@@ -515,6 +515,12 @@ def telemetry_summary(spark, sf):
     return got.select("event_type", "n", F.round("mean", 6).alias("mean"), "p50", "p95", "maximum")
 
 
+@query
+def telemetry_values(spark, sf):
+    kinds = table(spark, sf, "search_queries").select("query_type", "repo_filter")
+    return evaluate.value_counts(kinds, ["query_type", "repo_filter"])
+
+
 @query
 def zero_result_rate(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.try_divide(F.count_if(F.col("value") < 10), F.count("*")), 6).alias("low_rate"), F.round(F.median("value"), 6).alias("median_value"))

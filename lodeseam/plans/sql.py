@@ -258,6 +258,7 @@ ORACLES: dict[str, str] = {
     "recall_mrr": f"WITH {RESULTS}, ex AS (SELECT query_id, path AS expected_path FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path DESC) AS n FROM r WHERE ranking_mode = 'rrf' AND score IS NOT NULL) WHERE n = 1), cu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_rowid) AS rank FROM (SELECT query_id, chunk_rowid, max(score) AS score, min(path) AS path FROM r WHERE ranking_mode = 'current' AND score IS NOT NULL GROUP BY ALL)), hi AS (SELECT ex.query_id, min(rank) AS h FROM ex LEFT JOIN cu ON cu.query_id = ex.query_id AND cu.path = expected_path GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (h <= 10) AS hits, round(avg(CASE WHEN h <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_k, round(avg(CASE WHEN h <= 10 THEN 1.0 / h ELSE 0.0 END), 6) AS mrr FROM hi",
     "path_class_counts": f"WITH {RESULTS} SELECT ranking_mode, {path_class('path')} AS path_class, count(*) AS n FROM r GROUP BY ALL",
     "telemetry_summary": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[(floor((count(*) - 1) * 0.5))::INT + 1] AS p50, list_sort(list(value))[(floor((count(*) - 1) * 0.95))::INT + 1] AS p95, max(value) AS maximum FROM events WHERE value IS NOT NULL GROUP BY 1",
+    "telemetry_values": "SELECT 'query_type' AS key, query_type AS value, count(*) AS n FROM search_queries WHERE query_type IS NOT NULL GROUP BY ALL UNION ALL SELECT 'repo_filter', repo_filter, count(*) FROM search_queries WHERE repo_filter IS NOT NULL GROUP BY ALL",
     "zero_result_rate": "SELECT event_type, round(count(*) FILTER (value < 10)::DOUBLE / count(*), 6) AS low_rate, round(median(value), 6) AS median_value FROM events GROUP BY 1",
     "retention_latest": "SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE user_id IS NOT NULL) WHERE n = 1",
     "duplicate_tasks": "SELECT user_id, count(*) - 1 AS extra FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) > 1",

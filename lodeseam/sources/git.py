@@ -1,14 +1,16 @@
 """Committed files of git repositories as a Spark data source, and the probes around it.
 
 spark.dataSource.register(GitTreeSource)
-spark.read.format("git_tree").option("repos", "/a\\n/b").load() reads every repository in a partition of its own.
+spark.read.format("git_tree").option("repos", "/a\\n/b").load() reads every repository in partitions of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import subprocess
+import threading
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -31,6 +33,31 @@ def dirty(repo: str) -> bool:
     return bool(git(repo, "status", "--porcelain", "--untracked-files=no").strip())
 
 
+def root(path: str) -> str:
+    """The root of the repository that a path lies in; it is the repository's id as well."""
+    return os.path.realpath(git(os.path.expanduser(path), "rev-parse", "--show-toplevel").decode().strip())
+
+
+def remote(repo: str) -> str:
+    found = subprocess.run(["git", "-C", repo, "config", "--get", "remote.origin.url"], capture_output=True).stdout
+    return found.decode(errors="replace").strip()
+
+
+def tracked_files(repo: str) -> list[str]:
+    return sorted(p.decode("utf-8", "surrogateescape") for p in git(repo, "ls-files", "-z").split(b"\0") if p)
+
+
+def ignore_text(repo: str, commit: str, name: str = ".lodeseamignore") -> str:
+    """The ignore file of a commit, '' if it has none."""
+    found = subprocess.run(["git", "-c", "safe.directory=*", "-C", repo, "show", f"{commit}:{name}"], capture_output=True)
+    return found.stdout.decode("utf-8", "replace") if found.returncode == 0 else ""
+
+
+def changes(repo: str, old: str, new: str) -> tuple[set[str], set[str]]:
+    """(changed, removed) paths between two commits."""
+    return parse_changes(git(repo, "diff", "--name-status", "-z", old, new))
+
+
 def is_linked_worktree(folder: Path) -> bool:
     marker = folder / ".git"
     if not marker.is_file():
@@ -93,31 +120,67 @@ def readable(data: bytes) -> str | None:
         return None
 
 
+def blobs(repo: str, names: list[str]) -> Iterator[bytes]:
+    """The contents of objects, in order, by one process; the names are written while contents are read."""
+    with subprocess.Popen(["git", "-c", "safe.directory=*", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as process:
+        writer = threading.Thread(target=lambda: (process.stdin.write("".join(f"{n}\n" for n in names).encode()), process.stdin.close()))
+        writer.start()
+        for _ in names:
+            size = int(process.stdout.readline().split()[2])
+            yield process.stdout.read(size)
+            process.stdout.read(1)
+        writer.join()
+
+
+#: Bytes of files that one partition reads, about.
+PARTITION_BYTES = 64 << 20
+
+
 class RepoPartition(InputPartition):
-    def __init__(self, repo: str) -> None:
-        self.repo = repo
+    """A share of a repository's files at one commit: (path, object, size), object '' for what isn't read."""
+
+    def __init__(self, repo: str, commit: str, files: list[tuple[str, str, int]]) -> None:
+        self.repo, self.commit, self.files = repo, commit, files
 
 
 class GitTreeReader(DataSourceReader):
-    def __init__(self, repos: list[str]) -> None:
-        self.repos = repos
+    """The head of every repository is taken once, when partitions are planned; large trees make several partitions."""
+
+    def __init__(self, repos: list[str], since: dict[str, str], commits: dict[str, str]) -> None:
+        self.repos, self.since, self.commits = repos, since, commits
 
     def partitions(self) -> list[InputPartition]:
-        return [RepoPartition(r) for r in self.repos] or [RepoPartition("")]
+        out: list[InputPartition] = []
+        for repo in self.repos:
+            commit = self.commits.get(repo) or head(repo)
+            wanted = changes(repo, self.since[repo], commit)[0] if repo in self.since else None
+            part, size = [], 0
+            for path, blob, n in parse_tree(git(repo, "ls-tree", "-r", "-z", "-l", commit)):
+                if wanted is not None and path not in wanted:
+                    continue
+                part.append((path, blob if n <= LARGEST else "", n))
+                size += min(n, LARGEST)
+                if size >= PARTITION_BYTES:
+                    out.append(RepoPartition(repo, commit, part))
+                    part, size = [], 0
+            if part:
+                out.append(RepoPartition(repo, commit, part))
+        return out or [RepoPartition("", "", [])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        repo = partition.repo
-        if not repo:
-            return
-        commit = head(repo)
-        for path, blob, size in parse_tree(git(repo, "ls-tree", "-r", "-z", "-l", commit)):
-            text = readable(git(repo, "cat-file", "blob", blob)) if size <= LARGEST else None
+        contents = blobs(partition.repo, [b for _, b, _ in partition.files if b]) if partition.files else iter(())
+        for path, blob, size in partition.files:
+            text = readable(next(contents)) if blob else None
             digest = hashlib.sha256(text.encode()).hexdigest() if text is not None else None
-            yield repo, repo, path.encode("utf-8", "replace").decode(), commit, size, digest, text
+            yield partition.repo, partition.repo, path.encode("utf-8", "replace").decode(), partition.commit, size, digest, text
 
 
 class GitTreeSource(DataSource):
-    """Columns: repo_id, repo_path, path, commit_sha, size_bytes, content_hash, content (null for what isn't text)."""
+    """Columns: repo_id, repo_path, path, commit_sha, size_bytes, content_hash, content (null for what isn't text).
+
+    Options: repos, one a line; since and commits, JSON objects by repository: the commit whose differences alone are
+    read, and the commit to read instead of the head.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -127,4 +190,5 @@ class GitTreeSource(DataSource):
         return "repo_id string, repo_path string, path string, commit_sha string, size_bytes long, content_hash string, content string"
 
     def reader(self, schema) -> GitTreeReader:
-        return GitTreeReader([r for r in self.options.get("repos", "").split("\n") if r])
+        repos = [r for r in self.options.get("repos", "").split("\n") if r]
+        return GitTreeReader(repos, json.loads(self.options.get("since") or "{}"), json.loads(self.options.get("commits") or "{}"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +31,49 @@ def read_events(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
     return events, rows.agg(F.count_if("is_bad").alias("bad_line_count"))
 
 
+CASE_FIELDS = ("id", "query", "expected_path", "expected_text", "expected_symbol", "notes", "repo_url", "repo_ref", "query_type")
+
+
 def golden_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of an evaluation; blank lines and those that begin with # are left out."""
-    lines = spark.read.text(path).filter(~F.trim("value").startswith("#"))
-    schema = "id string, query string, expected_path string, expected_text string, expected_symbol string, notes string, repo_url string, repo_ref string, query_type string"
-    return parse_lines(lines, schema).filter("not is_bad").select("parsed.*")
+    """Cases of an evaluation; blank lines and those that begin with # are left out. A line that is no object, or has a
+    field that isn't known, is an error with its number."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    lines = lines.filter((F.trim("value") != "") & ~F.trim("value").startswith("#"))
+    known = F.array(*map(F.lit, CASE_FIELDS))
+    keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
+    wrong = F.when(F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{"), "no object").when(F.size(F.array_except(keys, known)) > 0, F.concat(F.lit("unknown field "), F.array_join(F.array_except(keys, known), ", ")))
+    bad = lines.select((F.col("at") + 1).alias("line"), wrong.alias("wrong")).filter("wrong is not null").orderBy("line").first()
+    if bad:
+        raise ValueError(f"{path}, line {bad.line}: {bad.wrong}")
+    return lines.select(F.from_json("value", ", ".join(f"{c} string" for c in CASE_FIELDS)).alias("case")).select("case.*")
 
 
 def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
+
+
+def append_line(path: str, event: dict, strict: bool = False) -> bool:
+    """One event at the end of a local log that only its owner may read, keys in order. Unless strict, a failure is no
+    error; with LODESEAM_USAGE_LOG=0 nothing is written."""
+    if os.environ.get("LODESEAM_USAGE_LOG") == "0":
+        return False
+    try:
+        os.makedirs(os.path.dirname(os.path.abspath(path)), mode=0o700, exist_ok=True)
+        handle = os.open(path, os.O_WRONLY | os.O_CREAT | os.O_APPEND, 0o600)
+        with os.fdopen(handle, "a", encoding="utf-8") as f:
+            f.write(json.dumps(event, sort_keys=True) + "\n")
+        return True
+    except OSError:
+        if strict:
+            raise
+        return False
+
+
+def add_case(path: str, case: dict, looks_secret) -> None:
+    """Append a case to an evaluation; one whose query, text, symbol or notes hold what looks like a secret is refused."""
+    for field in ("query", "expected_text", "expected_symbol", "notes"):
+        if case.get(field) and looks_secret(case[field]):
+            raise ValueError(f"{field} looks like a secret")
+    if unknown := sorted(set(case) - set(CASE_FIELDS)):
+        raise ValueError(f"unknown fields: {', '.join(unknown)}")
+    append_line(path, {k: v for k, v in case.items() if v is not None}, strict=True)

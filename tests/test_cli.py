@@ -24,7 +24,7 @@ def test_commands(spark, tmp_path, capsys):
     call = lambda *a: cli.run(cli.parser().parse_args(["--db", str(tmp_path / "db"), *a]), spark)
     assert call("index-root", str(tmp_path / "root")) == 0
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
-    assert lines[0]["files_changed"] == 2 and lines[-1] == {"discovered": 1, "selected": 1, "indexed": 1, "errors": 0, "skipped_worktrees": 0}
+    assert lines[0]["files_changed"] == 2 and lines[0]["full_scan"] and lines[-1] == {"event": "summary", "discovered": 1, "selected": 1, "indexed": 1, "errors": 0, "skipped_worktrees": 0}
     assert call("query", "handle retry", "-k", "1") == 0
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["path"] == "retry.py"
     (tmp_path / "g.jsonl").write_text(json.dumps({"id": "1", "query": "handle retry", "expected_path": "retry.py"}))
@@ -32,6 +32,64 @@ def test_commands(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["recall_at_k"] == 1.0
 
 
+def last(capsys):
+    return json.loads([x for x in capsys.readouterr().out.splitlines() if x.startswith(("{", "n"))][-1])
+
+
+def test_watch_hooks_and_pilot(spark, tmp_path, capsys):
+    repo = tmp_path / "one"
+    repo.mkdir()
+    run(repo, "init", "-q", "-b", "main")
+    long = "def {}():\n    return 'some text that is long enough to be indexed as a chunk'\n"
+    (repo / "a.py").write_text(long.format("first_thing"))
+    (repo / "b.py").write_text(long.format("second_thing"))
+    (repo / "c.py").write_text(long.format("third_thing"))
+    run(repo, "add", ".")
+    run(repo, "commit", "-qm", "first")
+    call = lambda *a: cli.run(cli.parser().parse_args(["--db", str(tmp_path / "db"), *a]), spark)
+    assert call("watch", str(repo), "--once") == 0 and last(capsys)["event"] == "indexed"
+    assert call("watch", "--once") == 0 and last(capsys)["event"] == "unchanged"
+    (repo / "a.py").write_text(long.format("changed_thing"))
+    (repo / ".lodeseamignore").write_text("")
+    run(repo, "rm", "-q", "b.py")
+    run(repo, "add", "-A")
+    run(repo, "commit", "-qm", "second")
+    assert call("watch", "--once") == 0
+    got = last(capsys)
+    assert (got["event"], got["full_scan"], got["files_changed"], got["files_removed"], got["files_same"]) == ("indexed", False, 2, 1, 0)  # the ignore file is a file as well
+    # an ignore file that is committed later changes what every file is indexed by
+    (repo / ".lodeseamignore").write_text("c.py\n")
+    run(repo, "commit", "-qam", "third")
+    assert call("reindex") == 0
+    got = last(capsys)
+    assert got["full_scan"] and (got["files_ignored"], got["files_removed"], got["files_changed"]) == (1, 1, 2)
+    assert call("query", "changed thing", "--log", str(tmp_path / "log.jsonl"), "--ranking", "rrf") == 0
+    found = last(capsys)
+    assert found["path"] == "a.py" and not found["is_stale"] and not found["has_dirty_tracked_files"]
+    assert call("install-hooks", str(repo)) == 0 and last(capsys)["installed"] == 1
+    assert call("doctor") == 0 and last(capsys)["hooks"]["repos_checked"] == 1
+    fields = json.dumps({"engineer": "e", "task": "find it"})
+    assert call("pilot", "start-task", "--log", str(tmp_path / "log.jsonl"), "--fields", fields) == 0
+    begun = last(capsys)
+    assert begun["task_length"] == 7 and "find" not in json.dumps(begun)
+    assert (tmp_path / "log.jsonl").stat().st_mode & 0o077 == 0
+    assert call("report", str(tmp_path / "log.jsonl")) == 0
+    report = last(capsys)
+    assert (report["events"], report["search_count"], report["zero_result_rate"]) == (2, 1, 0.0)
+    assert call("eval-add", str(tmp_path / "g.jsonl"), json.dumps({"id": "1", "query": "changed thing", "expected_path": "a.py"})) == 0
+    with pytest.raises(ValueError, match="secret"):
+        call("eval-add", str(tmp_path / "g.jsonl"), json.dumps({"id": "2", "query": "AKIA" + "A" * 16}))
+    assert call("eval", str(tmp_path / "g.jsonl"), "--fail-under", "0.9") == 0
+    (tmp_path / "bad.jsonl").write_text('# cases\n{"id": "1", "query": "x", "other": 1}\n')
+    with pytest.raises(ValueError, match="line 2: unknown field other"):
+        call("eval", str(tmp_path / "bad.jsonl"))
+    capsys.readouterr()
+    assert call("remove-repo", str(repo)) == 0 and last(capsys)["chunks_removed"] > 0
+    assert call("remove-repo", str(repo)) == 1
+    capsys.readouterr()
+    assert call("watch", str(tmp_path / "none"), "--once") == 1 and last(capsys)["event"] == "error"
+
+
 def test_providers(spark):
     class Flaky:
         model_id, dimensions = "flaky", 2

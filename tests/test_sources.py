@@ -49,6 +49,31 @@ def test_changes_and_discovery(repo, tmp_path):
     assert git.discover(str(tmp_path / "root"), worktrees=True) == ([str(linked), str(repo)], 0)
 
 
+def test_only_changes_are_read(spark, repo, tmp_path):
+    import json
+
+    first = git.head(str(repo))
+    (repo / "a.py").write_text("x = 2\n")
+    (repo / "new.py").write_text("n = 1\n")
+    run(repo, "add", "-A")
+    run(repo, "commit", "-qm", "second")
+    spark.dataSource.register(git.GitTreeSource)
+    read = lambda **o: {r.path: r.content for r in spark.read.format("git_tree").options(repos=str(repo), **o).load().collect()}
+    assert read(since=json.dumps({str(repo): first})) == {"a.py": "x = 2\n", "new.py": "n = 1\n"}
+    assert read(commits=json.dumps({str(repo): first}))["a.py"] == "x = 1\n"
+    assert git.tracked_files(str(repo)) == ["a.py", "bin.dat", "new.py", "é b.md"] and git.root(str(repo / ".")) == str(repo) and git.remote(str(repo)) == ""
+    assert git.changes(str(repo), first, "HEAD") == ({"a.py", "new.py"}, set()) and git.ignore_text(str(repo), "HEAD") == ""
+
+
+def test_partitions_of_a_large_tree(repo, monkeypatch):
+    monkeypatch.setattr(git, "PARTITION_BYTES", 5)
+    reader = git.GitTreeReader([str(repo)], {}, {})
+    parts = reader.partitions()
+    assert len(parts) >= 2 and len({p.commit for p in parts}) == 1
+    assert sorted(row[2] for p in parts for row in reader.read(p)) == ["a.py", "bin.dat", "é b.md"]
+    assert [list(reader.read(p)) for p in git.GitTreeReader([], {}, {}).partitions()] == [[]]
+
+
 def test_readable():
     assert git.readable(b"a\0") is None and git.readable(b"\xff") is None and git.readable(b"x" * 1_000_001) is None and git.readable("é".encode()) == "é"
 
@@ -64,8 +89,11 @@ def test_text_files(spark, tmp_path):
 
 
 def test_jsonl(spark, tmp_path):
-    (tmp_path / "g.jsonl").write_text('# note\n\n{"id": "1", "query": "q", "expected_path": "p"}\nbroken\n')
+    (tmp_path / "g.jsonl").write_text('# note\n\n{"id": "1", "query": "q", "expected_path": "p"}\n')
     assert [r.id for r in golden_cases(spark, str(tmp_path / "g.jsonl")).collect()] == ["1"]
+    (tmp_path / "b.jsonl").write_text('# note\n\n{"id": "1", "query": "q", "expected_path": "p"}\nbroken\n')
+    with pytest.raises(ValueError, match="line 4: no object"):
+        golden_cases(spark, str(tmp_path / "b.jsonl"))
     append_events(spark.range(2).select(F.lit("search").alias("event")), str(tmp_path / "log"))
     append_events(spark.range(1).select(F.lit("miss").alias("event")), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 3
