@@ -35,6 +35,10 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redact(table(spark, sf_dir, "chunks"))
 
 
+def p2_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.candidates(secrets.stored_index(table(spark, sf_dir, "chunks")))
+
+
 def _files(spark: SparkSession, sf_dir: str, suffixes: list[str] | None = None) -> DataFrame:
     return materialize(current_files(table(spark, sf_dir, "chunks"), suffixes), "files")
 
@@ -133,7 +137,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_fraction(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_redacted, p3_found, p3_kinds, p4_found, p4_topk, p5_found, p5_files, p5_rates, p6_found, p6_pieces, p6_file_pieces, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_redacted, p2_candidates, p3_found, p3_kinds, p4_found, p4_topk, p5_found, p5_files, p5_rates, p6_found, p6_pieces, p6_file_pieces, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_shared)}
 ORACLES: dict[str, str] = {
     "p4_found": "WITH u AS (SELECT DISTINCT chunk_rowid, embedding_model, CASE WHEN len(embedding) = 64 AND list_count(embedding) = 64 THEN embedding END AS e FROM chunks WHERE embedding_model IS NOT NULL), v AS (SELECT chunk_rowid, embedding_model, e, sqrt(list_dot_product(e, e)) AS n FROM u WHERE e IS NOT NULL), w AS MATERIALIZED (SELECT * FROM v WHERE n > 0) SELECT a.chunk_rowid AS rowid_a, b.chunk_rowid AS rowid_b FROM w a JOIN w b ON a.embedding_model = b.embedding_model AND a.chunk_rowid < b.chunk_rowid WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9",
     "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE strlen(content) > 6000",

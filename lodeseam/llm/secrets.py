@@ -14,11 +14,14 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .trigrams import TrigramIndex, required
+from ..session import materialize
+from .trigrams import Query, TrigramIndex, required
 
 #: Characters of the texts of one index block in a worker.
 BLOCK_CHARS = 1_000_000
@@ -274,6 +277,55 @@ def _run(df: DataFrame, redact: bool) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
+def stored_index(chunks: DataFrame) -> DataFrame:
+    """(block, trigram, bitmap, ids): postings of the trigrams that the rules need over blocks of chunks, written as a
+    table. Bit i of a bitmap stands for the block's chunk i; the row without a trigram holds the chunks' ids.
+
+    `find` and `redact` make the same postings of each block where its texts lie and drop them, since a stored index
+    could only send them back to all texts of its candidates; this table is for asking again without the texts.
+    """
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, number = build_index(), TaskContext.get().partitionId() << 33
+        grams = sorted(index.number, key=index.number.get)
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            first = 0
+            while first < len(texts):
+                last, n = first, 0
+                while last < len(texts) and n < BLOCK_CHARS:
+                    n += len(texts[last])
+                    last += 1
+                bits = index.postings([t.encode() for t in texts[first:last]])
+                held = np.flatnonzero(bits.any(axis=1)).tolist()
+                packed = np.packbits(bits, axis=1)
+                cols = [[number] * (len(held) + 1), [None, *[grams[i] for i in held]], [None, *[packed[i].tobytes() for i in held]], [ids[first:last], *[None] * len(held)]]
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["block", "trigram", "bitmap", "ids"])
+                first, number = last, number + 1
+
+    return materialize(_rows(chunks).mapInArrow(build, "block long, trigram binary, bitmap binary, ids array<string>"), "trigrams")
+
+
+def candidates(index: DataFrame, queries: dict[str, Query] | None = None) -> DataFrame:
+    """(chunk_id, rule): the chunks that may match each rule, by intersecting a stored index's postings; no text is read."""
+    asked = queries if queries is not None else build_index().queries
+
+    def intersect(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = next(x for x in rows["ids"] if x is not None)
+        held = {bytes(g): np.unpackbits(np.frombuffer(b, np.uint8), count=len(ids)).astype(bool) for g, b in zip(rows["trigram"], rows["bitmap"]) if g is not None}
+        none = np.zeros(len(ids), bool)
+        out = []
+        for rule, query in asked.items():
+            keep = np.ones(len(ids), bool)
+            for alternatives in query:
+                keep &= np.any([np.all([held.get(g, none) for g in grams], axis=0) if grams else ~none for grams in alternatives], axis=0)
+            out += [(ids[i], rule) for i in np.flatnonzero(keep)]
+        return pd.DataFrame(out, columns=["chunk_id", "rule"])
+
+    return index.groupBy("block").applyInPandas(intersect, "chunk_id string, rule string").distinct()
+
+
 def _rows(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.coalesce(F.col("start_line").cast("long"), F.lit(1)).alias("start"), F.col("content").cast("string").alias("content")).filter((F.length("content") > 0) & F.col("chunk_id").isNotNull())
 

@@ -114,6 +114,21 @@ def test_index_equals_direct_search(tools):
     inner()
 
 
+def test_stored_index(spark, sf, tools, monkeypatch):
+    """What a stored index gives is what the index of each block gives, and holds every chunk with a match."""
+    from lodeseam.llm.queries import p2_found
+
+    chunks = spark.read.parquet(f"{sf}/chunks.parquet")
+    stored = secrets.stored_index(chunks)
+    assert stored.filter("trigram is null").count() >= 1 and {len(bytes(r.trigram)) for r in stored.filter("trigram is not null").select("trigram").distinct().collect()} == {3}
+    got = {(r.chunk_id, r.rule) for r in secrets.candidates(stored).collect()}
+    rows = [r for r in chunks.select("chunk_id", "content").distinct().collect() if r.content and r.chunk_id]
+    want = {(rows[i].chunk_id, rule) for rule, numbers in tools[0].candidates([r.content.encode() for r in rows]).items() for i in numbers.tolist()}
+    assert got == want
+    assert {r.chunk_id for r in p2_found(spark, sf).collect()} <= {c for c, _ in got}
+    assert secrets.candidates(secrets.stored_index(chunks.limit(0))).count() == 0
+
+
 def test_tables(spark):
     rows = [(f"c{i}", 10, t) for i, (t, _) in enumerate(FOUND)] + [(f"n{i}", 1, t) for i, t in enumerate(CLEAN)] + [("c0", 10, FOUND[0][0]), ("nullstart", None, FOUND[3][0]), (None, 1, FOUND[3][0]), ("long", 1, "x = 1\n" * 200_000 + FOUND[3][0])]
     df = spark.createDataFrame(rows, "chunk_id string, start_line int, content string").selectExpr("*", "1 as line_no", "'y' as n_found")
