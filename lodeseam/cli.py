@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 
 from .engine import SECRET, Engine
 from .operators import evaluate, pilot, usage
+from .operators.providers import choose
 from .session import build_session
 from .sources import git, hooks
 from .sources.jsonl import add_case, append_line, golden_cases, read_events
+from .tools import serve
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="lodeseam")
     out.add_argument("--db", required=True, help="folder of the index, as a URI or path")
     out.add_argument("--dims", type=int, default=64)
+    out.add_argument("--provider", default=os.environ.get("LODESEAM_PROVIDER", ""), help="ollama, openai, sentence or auto; hash vectors of --dims by default")
+    out.add_argument("--model")
     commands = out.add_subparsers(dest="command", required=True)
     for name in ("index", "index-root"):
         p = commands.add_parser(name)
@@ -59,6 +63,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--log", help="usage log that the search is noted in")
     commands.add_parser("get-symbol").add_argument("name")
     commands.add_parser("status")
+    commands.add_parser("serve")
     commands.add_parser("doctor")
     commands.add_parser("report").add_argument("logs", nargs="+")
     p = commands.add_parser("eval")
@@ -80,7 +85,7 @@ def _show(df: DataFrame) -> None:
 
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
     folder = args.db if "://" in args.db else f"file://{os.path.abspath(args.db)}"
-    engine = Engine(spark, folder, dims=args.dims)
+    engine = Engine(spark, folder, dims=args.dims, provider=choose(args.provider, args.model) if args.provider not in ("", "hash") else None)
     if args.command in ("index", "index-root"):
         failed = 0
         for path in args.paths:
@@ -130,6 +135,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
             append_line(args.log, pilot.search(args.text, [r.asDict() for r in rows], (time.perf_counter() - began) * 1000, _salt(folder), k=args.k, repo=args.repo))
     elif args.command == "get-symbol":
         _show(engine.symbol(spark.createDataFrame([(args.name,)], "name string")))
+    elif args.command == "serve":
+        serve(engine, sys.stdin, sys.stdout)
     elif args.command == "status":
         _show(engine.list_repos(engine.probed_heads()))
     elif args.command == "doctor":

@@ -1,5 +1,6 @@
 import hashlib
 import hmac
+import io
 import json
 import subprocess
 
@@ -66,6 +67,16 @@ def test_watch_hooks_and_pilot(spark, tmp_path, capsys):
     assert call("query", "changed thing", "--log", str(tmp_path / "log.jsonl"), "--ranking", "rrf") == 0
     found = last(capsys)
     assert found["path"] == "a.py" and not found["is_stale"] and not found["has_dirty_tracked_files"]
+    from lodeseam import tools
+    from lodeseam.engine import Engine
+
+    asked = [{"jsonrpc": "2.0", "id": 1, "method": "tools/list"}, {"jsonrpc": "2.0", "method": "notifications/initialized"}, {"jsonrpc": "2.0", "id": 2, "method": "tools/call", "params": {"name": "search_code", "arguments": {"query": "changed thing", "k": 1}}}, {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "get_symbol", "arguments": {"name": "changed_thing"}}}, {"jsonrpc": "2.0", "id": 4, "method": "nothing"}, {"jsonrpc": "2.0", "id": 5, "method": "tools/call", "params": {"name": "reindex", "arguments": {"path": "/none"}}}]
+    sink = io.StringIO()
+    tools.serve(Engine(spark, f"file://{tmp_path}/db"), io.StringIO("\n".join(map(json.dumps, asked))), sink)
+    answers = {a["id"]: a for a in map(json.loads, sink.getvalue().splitlines())}
+    assert set(answers) == {1, 2, 3, 4, 5} and len(answers[1]["result"]["tools"]) == 4 and "error" in answers[4] and answers[5]["result"]["isError"]
+    assert json.loads(answers[2]["result"]["content"][0]["text"])[0]["path"] == "a.py"
+    assert "def changed_thing" in json.loads(answers[3]["result"]["content"][0]["text"])["definition"]
     assert call("install-hooks", str(repo)) == 0 and last(capsys)["installed"] == 1
     assert call("doctor") == 0 and last(capsys)["hooks"]["repos_checked"] == 1
     fields = json.dumps({"engineer": "e", "task": "find it"})
@@ -113,3 +124,53 @@ def test_keyed_ids(spark):
     df = spark.createDataFrame([("x",), (None,)], "t string")
     got = [r.p for r in df.select(embedding.text_payload("t", b"salt").alias("p")).collect()]
     assert got[0].length == 1 and got[0].id == hmac.new(b"salt", b"x", hashlib.sha256).hexdigest()[:16] and got[0].raw is None and got[1] is None
+
+
+def test_http_providers(monkeypatch):
+    import http.server
+    import threading
+
+    from lodeseam.operators import providers
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers.get("Authorization")))
+            code, out = 200, {}
+            if self.path == "/old/api/embed":
+                code = 404
+            elif self.path == "/v1/embeddings" and len([p for p, _ in seen if p == self.path]) == 1:
+                code = 429
+            elif self.path == "/bad/embeddings":
+                code = 400
+            elif self.path.endswith("/api/embed"):
+                out = {"embeddings": [[1.0, float(len(t))] for t in body["input"]]}
+            elif self.path.endswith("/api/embeddings"):
+                out = {"embedding": [2.0, float(len(body["prompt"]))]}
+            else:
+                out = {"data": [{"index": i, "embedding": [3.0, float(len(t))]} for i, t in reversed(list(enumerate(body["input"])))]}
+            self.send_response(code)
+            self.send_header("Retry-After", "0")
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    assert providers.OllamaProvider("m", 2, url).embed_batch(["a", "bb"]) == [[1.0, 1.0], [1.0, 2.0]]
+    assert providers.OllamaProvider("m", 2, url + "/old").embed_batch(["a", "bb"]) == [[2.0, 1.0], [2.0, 2.0]]
+    assert providers.OpenAIProvider("m", 2, url + "/v1", base=0.01).embed_batch(["a", "bb"]) == [[3.0, 1.0], [3.0, 2.0]]
+    assert ("/v1/embeddings", "Bearer k") in seen and len([p for p, _ in seen if p == "/v1/embeddings"]) == 2
+    with pytest.raises(RuntimeError, match="400"):
+        providers.OpenAIProvider("m", 2, url + "/bad").embed_batch(["a"])
+    assert providers.choose("auto", url="http://127.0.0.1:9").model_id.startswith("hash") and providers.choose("ollama", url=url).model_id == "ollama:mxbai-embed-large"
+    assert [providers.pause(n, None, 0.5) for n in range(3)] == [0.5, 1.0, 2.0] and providers.pause(5, "3") == 3.0
+    with pytest.raises(ValueError):
+        providers.choose("none")
+    server.shutdown()
