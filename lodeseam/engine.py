@@ -391,9 +391,11 @@ class Engine:
         mine = maintenance.coverage(chunks, self.dims).filter(F.col("embedding_model") == self.model) if chunks is not None else None
         return bool(mine is not None and [r for r in mine.collect() if r.complete])
 
-    def search(self, queries: DataFrame, k: int = 10, repo: str | None = None, path_prefix: str | None = None, language: str | None = None, ranking: str = "current", exact_lists: bool = False, bonus: bool = False, debug: bool = False) -> DataFrame:
-        """The k best chunks of each query (query_id, query_text), with content and ranking_mode; queries that the fused
-        ranking ("rrf") can't answer are answered by the current one, with the reason in rrf_disabled_reason."""
+    def search(self, queries: DataFrame, k: int = 10, repo: str | None = None, path_prefix: str | None = None, language: str | None = None, ranking: str = "current", exact_lists: bool = False, bonus: bool = False, debug: bool = False, union_threshold: int = retrieval.UNION_THRESHOLD) -> DataFrame:
+        """The k best chunks of each query (query_id, query_text), with content, ranking_mode and candidate_path; queries
+        that the fused ranking ("rrf") can't answer are answered by the current one, with the reason in
+        rrf_disabled_reason. In an index of union_threshold chunks or more, all with vectors, queries are answered from
+        the union of their nearest and their full-text chunks where that is large enough (`retrieval.union_plan`)."""
         if self.table("features") is None:
             raise ValueError("nothing is indexed")
         asked, ready, hits = self._hits(queries, repo, path_prefix, language)
@@ -411,15 +413,31 @@ class Engine:
             reasons = materialize(reasons, "reasons")
             asked = asked.join(reasons.filter("reason is not null").select("query_id"), "query_id", "left_semi")
             fused = fused.select("query_id", "chunk_id", F.col("rrf_score").alias("score"), "position", F.lit("rrf").alias("ranking_mode"))
-        normal = retrieval.minmax(words.filter(F.col("rank") <= retrieval.FTS_LIMIT), "bm25", "bm25_normal")
-        scored = retrieval.hybrid(asked, hits, k, words=normal, ready=hits)
-        top = retrieval.diversified(scored, F.lit(k), bypass=F.col("docs_query"))
-        top = top.select("query_id", "chunk_id", "score", "position", F.lit("current").alias("ranking_mode"), *([*retrieval.WEIGHTS, "multiplier"] if debug else []))
+        top = self._current(asked, ready, hits, words, k, bool(repo or path_prefix or language), union_threshold)
+        top = top.select("query_id", "chunk_id", "score", "position", F.lit("current").alias("ranking_mode"), "candidate_path", *([*retrieval.WEIGHTS, "multiplier"] if debug else []))
         if fused is not None:
             top = top.unionByName(fused, allowMissingColumns=True).join(reasons.withColumnRenamed("reason", "rrf_disabled_reason"), "query_id", "left")
         shown = ["chunk_id", "repo_id", "repo_path", "path", "start_line", "end_line", "language", "symbol_name", "symbol_kind", "symbol_line", "symbol_confidence", "content"]
         return top.join(chunks.select(*shown), "chunk_id")
 
+    def _current(self, asked: DataFrame, ready: DataFrame, hits: DataFrame, words: DataFrame, k: int, narrowed: bool, threshold: int) -> DataFrame:
+        """The hybrid ranking: from all chunks within the filters, or from the candidates' union for the queries it holds for."""
+        first = retrieval.minmax(words.filter(F.col("rank") <= retrieval.FTS_LIMIT), "bm25", "bm25_normal")
+        whole = lambda q, w: retrieval.hybrid(q, hits, k, words=w, ready=hits).withColumn("candidate_path", F.lit("full_scan"))
+        total = self.total_chunks()
+        if total < threshold or not self.covered():
+            return retrieval.diversified(whole(asked, first), F.lit(k), bypass=F.col("docs_query"))
+        wide = retrieval.bm25(asked, ready, within=hits, limit=retrieval.UNION_FTS_LIMIT)
+        wide = materialize(wide.limit(0) if narrowed else wide, "wide")  # within filters the union is of vectors alone
+        near = materialize(retrieval.knn(asked.select("query_id", "query_vector"), hits.select("chunk_id", "path", "start_line", "vector"), retrieval.VECTOR_LIMIT, retrieval.TIES).select("query_id", "chunk_id"), "near")
+        plan = materialize(retrieval.union_plan(asked.withColumn("k", F.lit(k)), near, wide, "k", total, True, threshold), "plan")
+        chosen = asked.join(plan.filter("by_union").select("query_id"), "query_id", "left_semi")
+        rest = asked.join(plan.filter("not by_union").select("query_id"), "query_id", "left_semi")
+        candidates = near.unionByName(wide.select("query_id", "chunk_id")).distinct()
+        some = retrieval.hybrid(chosen, hits, k, candidates=candidates, words=retrieval.minmax(wide, "bm25", "bm25_normal"), ready=hits)
+        both = some.withColumn("candidate_path", F.lit("candidate_union")).unionByName(whole(rest, first))
+        return retrieval.diversified(both, F.lit(k), bypass=F.col("docs_query"))
+
     def with_state(self, results: DataFrame, heads: DataFrame | None = None) -> DataFrame:
         """Results with is_stale and has_dirty_tracked_files of their repository; heads: (repo_id, head, dirty) as probed."""
         heads = heads if heads is not None else self.spark.createDataFrame([], "repo_id string, head string, dirty boolean")

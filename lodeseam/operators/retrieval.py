@@ -307,7 +307,7 @@ def _with_queries(ready: DataFrame, values: DataFrame, q: scoring.Queries, colum
     """ready with a column of (query number, value) pairs, or of query numbers, of the rows of values (query_id, chunk_id)."""
     spark = ready.sparkSession
     kind = values.schema["query_id"].dataType.simpleString()
-    numbers = spark.createDataFrame(list(zip(q.ids, range(len(q.ids)))), f"query_id {kind}, q int")
+    numbers = spark.createDataFrame(list(zip(q.ids, range(len(q.ids)))), f"query_id {kind}, q int")  # none without queries
     pairs = values.join(F.broadcast(numbers), "query_id")  # one pass's queries
     entry = F.struct("q", F.col(value).alias("v")) if value else F.col("q")
     return ready.join(pairs.groupBy("chunk_id").agg(F.collect_list(entry).alias(column)), "chunk_id", "left")

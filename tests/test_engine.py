@@ -148,6 +148,19 @@ def test_ranking_modes_and_filters(spark, tmp_path):
     assert not engine.covered() and engine.backfill_vectors() == chunks.count() and engine.covered()
 
 
+def test_union_of_candidates(spark, tmp_path):
+    engine = Engine(spark, f"{tmp_path}/index", dims=32)
+    many = {f"src__f{i}_py": LONG.format(f"filler_{i}") for i in range(80)}
+    engine.index(files_of(spark, "a", "c1", src__target_py=LONG.format("retry_handler"), **many))
+    asked = spark.createDataFrame([(1, "retry handler"), (2, "readme of the retry handler")], QUERY)
+    found = lambda **how: {(r.query_id, r.position): r for r in engine.search(asked, 3, **how).collect()}
+    scan, union = found(), found(union_threshold=1)
+    assert {r.candidate_path for r in scan.values()} == {"full_scan"}
+    assert union[1, 1].candidate_path == "candidate_union" and union[2, 1].candidate_path == "full_scan"  # 2 asks for documents
+    assert [union[q, 1].path for q in (1, 2)] == [scan[q, 1].path for q in (1, 2)] == ["src/target.py"] * 2
+    assert found(union_threshold=1, path_prefix="src/target")[1, 1].path == "src/target.py"
+
+
 def test_files_that_become_unfit(spark, tmp_path):
     engine = Engine(spark, f"{tmp_path}/index", dims=16)
     engine.index(files_of(spark, "a", "c1", one_py=LONG.format("first_thing")))
