@@ -104,15 +104,15 @@ def cuts(data: bytes, begin: int, end: int, last: bool, plan: Plan) -> list[tupl
     return out
 
 
-_SCHEMA = "id string, range_no long, breaks long, piece long, start_byte long, end_byte long, line long, lines long, boundary string, text string"
+_SCHEMA = "id string, mark long, range_no long, breaks long, piece long, start_byte long, end_byte long, line long, lines long, boundary string, text string"
 
 
-def _emit(rows: Iterator[tuple[str, int, int, int, bytes]], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """rows: (id, range number, size of the text, offset of data in the text, data with its halo)."""
+def _emit(rows: Iterator[tuple[str, int, int, int, int, bytes]], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """rows: (id, hash of the text, range number, size of the text, offset of data in the text, data with its halo)."""
     names = [x.split(" ")[0] for x in _SCHEMA.split(", ")]
     kinds = [pa.string() if x.endswith("string") else pa.int64() for x in _SCHEMA.split(", ")]
     out: list[tuple] = []
-    for key, number, size, offset, data in rows:
+    for key, mark, number, size, offset, data in rows:
         begin = number * plan.range
         end = min(size, begin + plan.range)
         own = data[begin - offset : end - offset]
@@ -121,9 +121,9 @@ def _emit(rows: Iterator[tuple[str, int, int, int, bytes]], plan: Plan) -> Itera
         for k, (a, b, kind) in enumerate(made):
             piece = data[a:b]
             line = data.count(b"\n", 0, a) - head
-            out.append((key, number, own.count(b"\n"), k, a + offset, b + offset, line, max(0, piece.count(b"\n") - piece.endswith(b"\n")), kind, piece.decode("utf-8", "replace")))
+            out.append((key, mark, number, own.count(b"\n"), k, a + offset, b + offset, line, max(0, piece.count(b"\n") - piece.endswith(b"\n")), kind, piece.decode("utf-8", "replace")))
         if not made:
-            out.append((key, number, own.count(b"\n"), None, None, None, None, None, None, None))
+            out.append((key, mark, number, own.count(b"\n"), None, None, None, None, None, None, None))
         if len(out) >= 256:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
             out = []
@@ -132,11 +132,14 @@ def _emit(rows: Iterator[tuple[str, int, int, int, bytes]], plan: Plan) -> Itera
 
 
 def _numbered(pieces: DataFrame) -> DataFrame:
-    """Lines and numbers of pieces in the whole text, by prefix sums over the ranges."""
-    by_range = pieces.groupBy("id", "range_no").agg(F.max("breaks").alias("breaks"), F.count("piece").alias("n"))
-    before = Window.partitionBy("id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    sums = by_range.select("id", "range_no", F.coalesce(F.sum("breaks").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("pieces_before"))
-    rows = pieces.filter(F.col("piece").isNotNull()).join(sums, ["id", "range_no"])
+    """Lines and numbers of pieces in the whole text, by prefix sums over the ranges. Of texts under one id that of the
+    least hash counts, and of its repeated rows one: only numbers are compared for that, pieces are shuffled once."""
+    by_range = pieces.groupBy("id", "mark", "range_no").agg(F.max("breaks").alias("breaks"), F.coalesce(F.max("piece") + 1, F.lit(0)).alias("n"))
+    of_id = Window.partitionBy("id")
+    chosen = by_range.withColumn("least", F.min("mark").over(of_id)).filter(F.col("mark") == F.col("least"))
+    before = of_id.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    sums = chosen.select("id", "mark", "range_no", F.coalesce(F.sum("breaks").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("pieces_before"))
+    rows = pieces.filter(F.col("piece").isNotNull()).join(sums, ["id", "mark", "range_no"]).dropDuplicates(["id", "mark", "range_no", "piece"])
     first = F.col("lines_before") + F.col("line")
     return rows.select("id", (F.col("pieces_before") + F.col("piece")).alias("piece_no"), "start_byte", "end_byte", first.alias("first_line"), (first + F.col("lines")).alias("last_line"), "boundary", "text")
 
@@ -145,15 +148,16 @@ def split_texts(rows: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """Pieces of the texts longer than plan.limit bytes: (id, piece_no, start_byte, end_byte, first_line, last_line from 0,
     boundary, text). Every piece is at most plan.limit bytes, and without their repeated heads the pieces are the text.
 
-    rows: (id string, text). Null, empty and short texts and null ids give nothing; rows repeated with their id are split once.
+    rows: (id string, text). Null, empty and short texts and null ids give nothing; rows repeated with their id count
+    once, and of different texts under one id one counts. A text isn't shuffled, only its pieces are.
     """
-    long = rows.select("id", F.encode("text", "UTF-8").alias("data")).filter(F.col("id").isNotNull() & (F.octet_length("data") > plan.limit)).dropDuplicates(["id"])
+    long = rows.select("id", F.encode("text", "UTF-8").alias("data")).filter(F.col("id").isNotNull() & (F.octet_length("data") > plan.limit))
     size = F.octet_length("data").cast("long")
     ranges = long.withColumn("size", size).withColumn("no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / plan.range))))
     halo = plan.look + plan.overlap + 4
     offset = F.greatest(F.lit(0).cast("long"), F.col("no") * plan.range - halo)
     part = F.substring("data", (offset + 1).cast("int"), (F.col("no") * plan.range - offset + F.lit(plan.range + plan.limit + plan.look)).cast("int"))
-    table = ranges.select("id", "no", "size", offset.alias("offset"), part.alias("part"))
+    table = ranges.select("id", F.xxhash64("data").alias("mark"), "no", "size", offset.alias("offset"), part.alias("part"))
     pieces = table.mapInArrow(lambda batches: _emit((tuple(r.values()) for b in batches for r in b.to_pylist()), plan), _SCHEMA)
     return _numbered(pieces)
 
@@ -175,7 +179,7 @@ def split_files(paths: DataFrame, plan: Plan = Plan()) -> DataFrame:
                 offset = max(0, r["no"] * plan.range - halo)
                 with files.open_input_file(path) as f:
                     f.seek(offset)
-                    yield r["id"], r["no"], r["size"], offset, f.read(r["no"] * plan.range - offset + plan.range + plan.limit + plan.look)
+                    yield r["id"], 0, r["no"], r["size"], offset, f.read(r["no"] * plan.range - offset + plan.range + plan.limit + plan.look)
 
     known = paths.select(F.col("path").alias("id")).filter("id is not null").distinct().mapInArrow(sizes, "id string, size long").filter(F.col("size") > plan.limit)
     ranges = known.withColumn("no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / plan.range)))).repartition("id", "no")

@@ -12,7 +12,7 @@ def pieces(data: bytes, plan: sp.Plan):
     rows = []
     for no in range((len(data) - 1) // plan.range + 1):
         offset = max(0, no * plan.range - halo)
-        rows.append(("x", no, len(data), offset, data[offset : no * plan.range + plan.range + plan.limit + plan.look]))
+        rows.append(("x", 0, no, len(data), offset, data[offset : no * plan.range + plan.range + plan.limit + plan.look]))
     return [r for b in sp._emit(iter(rows), plan) for r in b.to_pylist() if r["piece"] is not None]
 
 
@@ -55,6 +55,16 @@ def test_table(spark):
     assert sp.split_texts(df.limit(0), plan).count() == 0
 
 
+def test_texts_under_one_id(spark):
+    texts = ["".join(f"{word} {i}\n" for i in range(60)) for word in ("one", "two", "three")]
+    df = spark.createDataFrame([("a", t) for t in texts * 3] + [("b", texts[0])], "id string, text string").repartition(5)
+    plan = sp.Plan(limit=100, overlap=20, range=150, look=16)
+    alone = {t: [(r.piece_no, r.first_line, r.text) for r in sp.split_texts(spark.createDataFrame([("x", t)], "id string, text string"), plan).orderBy("piece_no").collect()] for t in texts}
+    got = [(r.piece_no, r.first_line, r.text) for r in sp.split_texts(df, plan).filter("id = 'a'").orderBy("piece_no").collect()]
+    assert got in alone.values()
+    assert [(r.piece_no, r.first_line, r.text) for r in sp.split_texts(df, plan).filter("id = 'b'").orderBy("piece_no").collect()] == alone[texts[0]]
+
+
 def test_files_by_ranges(spark, tmp_path):
     text = "".join(f"row {i} é\n" for i in range(3000))
     (tmp_path / "big.txt").write_text(text, encoding="utf-8")
