@@ -337,6 +337,14 @@ def rrf_search(spark, sf):
     return found.select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), "position")
 
 
+@query
+def union_plan(spark, sf):
+    """Which queries the lists of nearest and of full-text items are large enough for."""
+    lists = table(spark, sf, "ranked_candidates").select("query_id", "source", F.col("chunk_rowid").alias("chunk_id"))
+    near, words = lists.filter("source = 'vector'"), lists.filter("source = 'fts' and query_id % 3 <> 0")
+    return retrieval.union_plan(table(spark, sf, "search_queries"), near, words, "k", retrieval.UNION_THRESHOLD, True)
+
+
 @query
 def rrf_fallback(spark, sf):
     """Why queries that hold no word of the index, or ask for nothing, have no fused ranking."""

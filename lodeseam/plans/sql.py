@@ -235,6 +235,7 @@ ORACLES: dict[str, str] = {
         "d2 AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, repo_id, path ORDER BY rank) > 2 AND NOT dq THEN 1 ELSE 0 END AS late FROM rk WHERE rank <= least(500, greatest(50, 4 * k))), "
         "d3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS position FROM d2) SELECT query_id, chunk_id, round(s, 6) AS rrf_score, position FROM d3 WHERE position <= k"
     ),
+    "union_plan": f"WITH v AS (SELECT DISTINCT query_id, chunk_rowid FROM ranked_candidates WHERE source = 'vector'), f AS (SELECT DISTINCT query_id, chunk_rowid FROM ranked_candidates WHERE source = 'fts' AND query_id % 3 <> 0), b AS (SELECT * FROM v UNION SELECT * FROM f), s AS (SELECT query_id, query_text, k, (SELECT count(*) FROM v WHERE v.query_id = q.query_id) AS nv, (SELECT count(*) FROM f WHERE f.query_id = q.query_id) AS nf, (SELECT count(*) FROM b WHERE b.query_id = q.query_id) AS n FROM search_queries q) SELECT query_id, coalesce(k IS NOT NULL AND NOT {docs_query('query_text')} AND nv > 0 AND CASE WHEN nf = 0 THEN nv >= k ELSE n >= greatest(50, 10 * k) END, FALSE) AS by_union FROM s",
     "rrf_fallback": f"WITH {BM25} SELECT query_id, CASE WHEN query_id NOT IN (SELECT query_id FROM bm) THEN 'no_fts_candidates' WHEN query_id % 2 <> 0 THEN 'no_vector_candidates' END AS reason FROM search_queries UNION ALL SELECT * FROM (VALUES (-1, 'no_fts_candidates'), (-2, 'no_fts_candidates'), (-3, 'k_none'))",
     "diversify_topk": f"WITH {RESULTS}, sc AS (SELECT query_id, chunk_rowid AS chunk_id, repo AS repo_id, path, start_line, symbol_confidence, score, k, FALSE AS dq FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_rowid ORDER BY score DESC, path DESC, start_line DESC) AS n FROM r WHERE ranking_mode = 'current' AND score IS NOT NULL) WHERE n = 1), {DIVERSE} SELECT query_id, chunk_id AS chunk_rowid, position FROM d3 WHERE position <= k",
     "rrf_plain": _rrf("AND source IN ('fts', 'vector')", False),
